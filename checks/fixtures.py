@@ -81,10 +81,10 @@ SELECT DISTINCT app_id, executor_id, host, 2 AS cores, 1704067200000 - 3600000 A
 FROM fx_tasks
 UNION ALL SELECT DISTINCT app_id, 'driver', 'host_9', 1, 1704067200000 - 3600000, CAST(NULL AS BIGINT) FROM fx_tasks""",
     "fx_conf": """
-SELECT * FROM (VALUES ('app_0','spark.executor.memory','4g'), ('app_0','spark.dynamicAllocation.enabled','true'),
+SELECT t.app_id, t.key, t.value FROM (SELECT DISTINCT app_id FROM fx_tasks) a JOIN (VALUES ('app_0','spark.executor.memory','4g'), ('app_0','spark.dynamicAllocation.enabled','true'),
   ('app_0','spark.dynamicAllocation.maxExecutors','40'), ('app_1','spark.executor.memory','2048m'),
   ('app_1','spark.executor.instances','12'), ('app_1','spark.sql.shuffle.partitions','64'),
-  ('app_2','spark.driver.memory','1073741824'), ('app_3','spark.executor.cores','4')) AS t(app_id, key, value)""",
+  ('app_2','spark.driver.memory','1073741824'), ('app_3','spark.executor.cores','4')) AS t(app_id, key, value) ON a.app_id = t.app_id""",
     "fx_apps": """
 SELECT app_id, 'job of ' || app_id AS app_name, 'analyst' AS user_name, 'default' AS queue,
   min(launch_ms) - 60000 AS submit_ms, min(launch_ms) - 30000 AS start_ms, CAST(NULL AS BIGINT) AS end_ms
@@ -112,26 +112,31 @@ SELECT '10.0.0.' || (user_id % 5) || ':9100' AS instance, event_id * 1000 AS ts_
   CASE WHEN event_type = 'signup' THEN CAST(event_id % 2 AS STRING) END AS cpu,
   CASE WHEN event_type IN ('signup', 'purchase') THEN (event_id % 500) * 0.5e0 ELSE value END AS value
 FROM events""",
+    # The same samples on the clock of the tasks: the last one lies at the evaluation time.
+    "fx_host_clock": """
+SELECT instance, ts_ms + 1704067200000 - (SELECT max(event_id) FROM events) * 1000 AS ts_ms, metric, mode, cpu, value
+FROM fx_host_samples""",
     "fx_host_names": """
 SELECT DISTINCT 'host_' || (user_id % 5) AS nodename, '10.0.0.' || (user_id % 5) || ':9100' AS instance FROM events WHERE user_id % 5 < 4""",
 }
 
 
-def _needed(sql: str) -> list[str]:
+def _needed(sql: str, views: dict[str, str]) -> list[str]:
     """Views a text refers to, directly or through other views, in order of definition."""
     found: set[str] = set()
     todo = [sql]
     while todo:
-        for name in re.findall(r"\bfx_\w+", todo.pop()):
-            if name in VIEWS and name not in found:
+        for name in re.findall(r"\b[fo]x_\w+", todo.pop()):
+            if name in views and name not in found:
                 found.add(name)
-                todo.append(VIEWS[name])
-    return [name for name in VIEWS if name in found]
+                todo.append(views[name])
+    return [name for name in views if name in found]
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, more: dict[str, str] | None = None) -> str:
     """The query with its views as CTEs; a query with CTEs of its own starts with ``WITH``."""
-    views = [f"{name} AS ({VIEWS[name].strip()})" for name in _needed(sql)]
+    known = {**VIEWS, **(more or {})}
+    views = [f"{name} AS ({known[name].strip()})" for name in _needed(sql, known)]
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join([*views, body[5:]])
@@ -156,6 +161,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, **replaced: DataFrame):
         self.spark = spark
+        self.sf_dir = sf_dir
         self.base = {name: base_table(spark, sf_dir, name) for name in BASE_TABLES} | replaced
 
     def view(self, name: str) -> DataFrame:
@@ -211,6 +217,10 @@ class Tables:
     def host_samples(self) -> DataFrame:
         return self.view("fx_host_samples")
 
+    @cached_property
+    def host_clock(self) -> DataFrame:
+        return self.view("fx_host_clock")
+
     @cached_property
     def host_names(self) -> DataFrame:
         return self.view("fx_host_names")

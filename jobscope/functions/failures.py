@@ -29,12 +29,13 @@ ADVICE = {
     ),
 }
 
+# Fixed value: fields of a task end reason in an event log.
 TASK_END_REASON = (
-    "Reason string, `Full Stack Trace` string, `Class Name` string, Description string, "
-    "`Block Manager Address` struct<`Executor ID`:string,Host:string,Port:int>, "
-    "`Shuffle ID` int, `Map ID` bigint, `Map Index` int, `Reduce ID` int, Message string, "
-    "`Kill Reason` string, `Job ID` int, `Partition ID` int, `Attempt Number` int, "
-    "`Executor ID` string, `Exit Caused By App` boolean, `Loss Reason` string"
+    "struct<Reason:string,`Full Stack Trace`:string,`Class Name`:string,Description:string,"
+    "`Block Manager Address`:struct<`Executor ID`:string,Host:string,Port:int>,"
+    "`Shuffle ID`:int,`Map ID`:bigint,`Map Index`:int,`Reduce ID`:int,Message:string,"
+    "`Kill Reason`:string,`Job ID`:int,`Partition ID`:int,`Attempt Number`:int,"
+    "`Executor ID`:string,`Exit Caused By App`:boolean,`Loss Reason`:string>"
 )
 
 
@@ -57,7 +58,7 @@ def failure_advice(text: Column) -> Column:
 
 
 def failure_text(end: Column) -> Column:
-    """Error text of a ``Task End Reason`` struct (schema ``TASK_END_REASON``); null on success."""
+    """Error text of a ``Task End Reason`` (type ``TASK_END_REASON``); null on success."""
 
     def text(column: Column) -> Column:
         return F.coalesce(column.cast("string"), F.lit("null"))

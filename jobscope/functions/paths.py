@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 
 def executor_id_from_path(path: Column) -> Column:
-    """``…/executor_7/metrics`` → ``7``; null unless a directory name starts with ``executor_``."""
-    found = F.regexp_extract(path, r"(?:^|/)executor_([^/]+)(?:/|$)", 1)
+    """``…/executor_7/metrics`` → ``7``; null unless a directory name starts with ``executor_``.
+
+    Folders of a partitioned table, ``…/executor_id=7/…``, are understood too.
+    """
+    found = F.regexp_extract(path, r"(?:^|/)executor_(?:id=)?([^/]+)(?:/|$)", 1)
     return F.when(found != "", found)
 
 
 def app_id_from_sample_path(path: Column) -> Column:
-    """The directory above ``executor_<id>``."""
-    found = F.regexp_extract(path, r"(?:^|/)([^/]+)/executor_[^/]+(?:/|$)", 1)
+    """The directory above that of the executor."""
+    found = F.regexp_extract(path, r"(?:^|/)(?:app_id=)?([^/]+)/executor_[^/]+(?:/|$)", 1)
     return F.when(found != "", found)
 
 

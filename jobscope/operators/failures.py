@@ -17,36 +17,57 @@ TASK_DIAGNOSIS = "TASK_DIAGNOSIS"
 DEFAULT_MEMORY = 1073741824
 
 
-def _alerts(df: DataFrame, event: str, rule: str, message: Column) -> DataFrame:
-    return df.select(
-        *STAGE_KEYS, F.lit(event).alias("event"), F.lit("ERROR").alias("level"), F.lit(rule).alias("rule"),
-        "task_id", "executor_id", F.col("finish_ms").alias("eval_ms"),
+def _alert_columns(event: str, rule: str, message: Column) -> list[Column]:
+    return [
+        F.lit(event).alias("event"), F.lit("ERROR").alias("level"), F.lit(rule).alias("rule"),
+        F.col("task_id"), F.col("executor_id"), F.col("finish_ms").alias("eval_ms"),
         F.lit(RULE_ORDER[rule]).alias("rule_ord"), message.alias("message"),
-    )
+    ]
 
 
-def failure_events(tasks: DataFrame) -> DataFrame:
-    """One TASK_FAILED event per attempt that ended without success."""
+def _reason() -> Column:
+    return F.coalesce(F.col("failure_reason"), F.lit(""))
+
+
+def _event_columns() -> list[Column]:
     message = F.format_string(
         "task %s.%s failed, reason: %s, running on executor %s",
-        F.col("stage_id").cast("string"), F.col("task_id").cast("string"),
-        F.coalesce(F.col("failure_reason"), F.lit("")), F.col("executor_id"),
+        F.col("stage_id").cast("string"), F.col("task_id").cast("string"), _reason(), F.col("executor_id"),
     )
-    return _alerts(failed_attempts(tasks), TASK_FAILED, "task_failed", message)
+    return _alert_columns(TASK_FAILED, "task_failed", message)
+
+
+def _cause_columns() -> list[Column]:
+    message = F.concat(
+        F.lit("task "), F.col("task_id").cast("string"), F.lit(" failed: "), _reason(), F.lit(" "),
+        failure_advice(_reason()),
+    )
+    return _alert_columns(TASK_DIAGNOSIS, "task_failure_cause", message)
 
 
 def _is_oom() -> Column:
-    return F.coalesce(F.col("failure_reason").contains(OOM_MARK), F.lit(False))
+    return _reason().contains(OOM_MARK)
+
+
+def oom_attempts(tasks: DataFrame) -> DataFrame:
+    """Failed attempts whose text shows that the container ran out of memory."""
+    return failed_attempts(tasks).filter(_is_oom())
+
+
+def failure_events(tasks: DataFrame) -> DataFrame:
+    """One TASK_FAILED event per attempt that ended without success."""
+    return failed_attempts(tasks).select(*STAGE_KEYS, *_event_columns())
 
 
 def failure_causes(tasks: DataFrame) -> DataFrame:
     """Failure text with advice, for every failure that is not the out-of-memory kind."""
-    reason = F.coalesce(F.col("failure_reason"), F.lit(""))
-    message = F.concat(
-        F.lit("task "), F.col("task_id").cast("string"), F.lit(" failed: "), reason, F.lit(" "),
-        failure_advice(reason),
-    )
-    return _alerts(failed_attempts(tasks).filter(~_is_oom()), TASK_DIAGNOSIS, "task_failure_cause", message)
+    return failed_attempts(tasks).filter(~_is_oom()).select(*STAGE_KEYS, *_cause_columns())
+
+
+def failure_alerts(tasks: DataFrame) -> DataFrame:
+    """Events and causes in one pass over the failed attempts."""
+    both = F.array(F.struct(*_event_columns()), F.when(~_is_oom(), F.struct(*_cause_columns())))
+    return failed_attempts(tasks).select(*STAGE_KEYS, F.inline(F.array_compact(both)))
 
 
 def failure_context(
@@ -88,4 +109,4 @@ def oom_reports(context: DataFrame) -> DataFrame:
               "1) data skew 2)executor memory too low 3)reading too large data\n"),
         lines,
     )
-    return _alerts(context.filter(_is_oom()), TASK_DIAGNOSIS, "oom_report", message)
+    return context.filter(_is_oom()).select(*STAGE_KEYS, *_alert_columns(TASK_DIAGNOSIS, "oom_report", message))

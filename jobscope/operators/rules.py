@@ -172,7 +172,7 @@ def straggler_alerts(stragglers: DataFrame, host_state: DataFrame) -> DataFrame:
     ``host_state``: ``(host, eval_ms, load1, load5, load15, idle, system, user)``.
     """
     def number(name: str) -> Column:
-        return F.coalesce(F.format_string("%.6f", F.col(name)), F.lit(""))
+        return F.when(F.col(name).isNull(), "").otherwise(F.format_string("%.6f", F.col(name)))
 
     modes = [
         F.when(F.col(m).isNotNull(), F.concat(F.lit(f"{m} -> "), F.format_string("%.6f", F.col(m))))

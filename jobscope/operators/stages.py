@@ -239,11 +239,18 @@ def finished_counts(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy(*STAGE_KEYS).agg(F.count_if(F.col("status") != "RUNNING").alias("n_finished"))
 
 
-def half_finished(stages: DataFrame, finished: DataFrame, at_ms: int, th: Thresholds = Thresholds()) -> DataFrame:
-    """Stages open at ``at_ms`` (submitted, not completed) with enough ended attempts to judge."""
-    is_open = (F.col("submission_ms") <= at_ms) & (
-        F.col("completion_ms").isNull() | (F.col("completion_ms") > at_ms)
+def stages_at(stages: DataFrame, at_ms: int | Column) -> DataFrame:
+    """The stages as they stood at ``at_ms``: submitted by then, open if they completed later."""
+    at = at_ms if isinstance(at_ms, Column) else F.lit(at_ms)
+    done = F.col("completion_ms") <= at
+    return stages.filter(F.col("submission_ms") <= at).withColumns(
+        {c: F.when(done, F.col(c)) for c in ("completion_ms", "failure_reason")}
     )
+
+
+def half_finished(stages: DataFrame, finished: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """Open stages (submitted, not completed) with enough ended attempts to judge them."""
+    is_open = F.col("submission_ms").isNotNull() & F.col("completion_ms").isNull()
     return (
         stages.filter(is_open)
         .join(finished, STAGE_KEYS)
