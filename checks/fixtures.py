@@ -7,6 +7,7 @@ Spark and DuckDB; :func:`with_views` puts the views a query needs in front of it
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,12 +148,14 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sql_over(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    """Runs view SQL over given base tables."""
+def sql_over(spark: SparkSession, sql: str, base: Callable[[str], DataFrame]) -> DataFrame:
+    """Runs view SQL over base tables."""
     text = with_views(sql)
-    used = {name: df for name, df in tables.items() if re.search(rf"\b{name}\b", text)}
-    for name in used:
-        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+    used = {}
+    for name in BASE_TABLES:
+        text, n = re.subn(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+        if n:
+            used[name] = base(name)
     return spark.sql(text, **used)
 
 
@@ -162,10 +165,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, **replaced: DataFrame):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.base = {name: base_table(spark, sf_dir, name) for name in BASE_TABLES} | replaced
+        self._base = dict(replaced)
+
+    def base(self, name: str) -> DataFrame:
+        if name not in self._base:
+            self._base[name] = base_table(self.spark, self.sf_dir, name)
+        return self._base[name]
 
     def view(self, name: str) -> DataFrame:
-        return sql_over(self.spark, f"SELECT * FROM {name}", **self.base)
+        return sql_over(self.spark, f"SELECT * FROM {name}", self.base)
 
     @cached_property
     def tasks(self) -> DataFrame:

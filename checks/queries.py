@@ -233,7 +233,7 @@ def _(t):
 @over_tables("task_input_eligible")
 def _(t):
     timed = tasks.with_time(t.tasks, EVAL_MS)
-    return timed.select(*TASK_KEY, tasks.input_eligible(F.col("time_ms")).alias("eligible"))
+    return timed.select(*TASK_KEY, tasks.input_eligible().alias("eligible"))
 
 
 @over_tables("stage_bytes_nonfailed")
@@ -264,7 +264,7 @@ def _(t):
 @over_tables("gc_candidate")
 def _(t):
     timed = tasks.with_time(t.tasks, EVAL_MS)
-    return timed.filter(tasks.gc_candidate(F.col("time_ms"))).select(*TASK_KEY, "gc_ms", "time_ms")
+    return timed.filter(tasks.gc_candidate()).select(*TASK_KEY, "gc_ms", "time_ms")
 
 
 @over_tables("failed_attempts")
@@ -313,7 +313,7 @@ def _(t):
 @over_tables("straggler_host_asof")
 def _(t):
     # The evaluations are spread over the time the host samples span, one stage after the other.
-    step = sql_over(t.spark, "SELECT CAST(floor(max(event_id) * 1000 / 48) AS BIGINT) AS step FROM events", **t.base)
+    step = sql_over(t.spark, "SELECT CAST(floor(max(event_id) * 1000 / 48) AS BIGINT) AS step FROM events", t.base)
     stragglers = rules.unexplained_stragglers(_stats(t), EVAL_MS).withColumn(
         "eval_ms", F.lit(EVAL_MS) - (47 - F.col("stage_id")) * step.scalar()
     )
@@ -503,7 +503,7 @@ def _fmt_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.floor(F.col("l_extendedprice") * 1000)
     sizes = base_table(spark, sf_dir, "lineitem").select(n.alias("n"))
     scaled = {"small": "n % 1500", "kilo": "n div 100", "plain": "n", "giga": "n * 997", "tera": "n * 999983"}
-    return sizes.select("n", *[fmt_bytes(F.expr(e)).alias(name) for name, e in scaled.items()])
+    return sizes.select("n", *[fmt_bytes(f"({e})").alias(name) for name, e in scaled.items()])
 
 
 QUERIES["fmt_bytes"] = _fmt_bytes
@@ -512,18 +512,18 @@ QUERIES["fmt_bytes"] = _fmt_bytes
 @over_tables("fmt_duration")
 def _(t):
     return t.view("fx_metrics").select(
-        "task_id", fmt_duration(F.col("time_ms")).alias("text"), fmt_duration(F.col("time_ms") * 997).alias("long_text")
+        "task_id", fmt_duration("time_ms").alias("text"), fmt_duration("(time_ms * 997)").alias("long_text")
     )
 
 
 @over_tables("failure_class")
 def _(t):
-    return tasks.failed_attempts(t.tasks).select(*TASK_KEY, failure_class(F.col("failure_reason")).alias("class"))
+    return tasks.failed_attempts(t.tasks).select(*TASK_KEY, failure_class("failure_reason").alias("class"))
 
 
 @over_tables("failure_advice")
 def _(t):
-    return tasks.failed_attempts(t.tasks).select(*TASK_KEY, failure_advice(F.col("failure_reason")).alias("advice"))
+    return tasks.failed_attempts(t.tasks).select(*TASK_KEY, failure_advice("failure_reason").alias("advice"))
 
 
 @over_tables("parse_size")
@@ -531,7 +531,8 @@ def _(t):
     units = F.array(*[F.lit(u) for u in ("", "b", "k", "kb", "m", "mb", "g", "gb", "t", "tb", "p", "pb", "x")])
     key = F.col("o_orderkey")
     text = F.concat((key % 4096).cast("string"), F.get(units, (key % 13).cast("int")))
-    return t.base["orders"].select("o_orderkey", text.alias("text"), parse_size(text).alias("bytes"))
+    sizes = t.base("orders").select("o_orderkey", text.alias("text"))
+    return sizes.select("*", parse_size("text").alias("bytes"))
 
 
 @over_tables("app_config")
@@ -543,7 +544,7 @@ def _(t):
 def _(t):
     ended = t.tasks.filter(F.col("status") != "RUNNING")
     reason = F.from_json(F.to_json(_end_reason()), TASK_END_REASON)
-    return ended.select(*TASK_KEY, failure_text(reason).alias("text"))
+    return ended.select(*TASK_KEY, reason.alias("reason")).select(*TASK_KEY, failure_text("reason").alias("text"))
 
 
 @over_tables("executor_id_from_path")

@@ -39,67 +39,71 @@ TASK_END_REASON = (
 )
 
 
-def failure_class(text: Column) -> Column:
-    """OOM, fetch failure or lost executor, tested in that order; null when none applies."""
+def is_oom_sql(text: str) -> str:
+    return f"contains({text}, '{OOM_MARK}')"
+
+
+def failure_class_sql(text: str) -> str:
+    fetch = " AND ".join(f"contains({text}, '{mark}')" for mark in FETCH_MARKS)
     return (
-        F.when(text.contains(OOM_MARK), F.lit(OOM))
-        .when(text.contains(FETCH_MARKS[0]) & text.contains(FETCH_MARKS[1]), F.lit(FETCH))
-        .when(text.contains(LOST_MARK), F.lit(LOST))
+        f"CASE WHEN {is_oom_sql(text)} THEN '{OOM}' WHEN {fetch} THEN '{FETCH}' "
+        f"WHEN contains({text}, '{LOST_MARK}') THEN '{LOST}' END"
     )
 
 
-def failure_advice(text: Column) -> Column:
-    """``reason: …, solutions: …`` for the class of the text, or the empty string."""
-    kind = failure_class(text)
-    advice = F.lit("")
-    for name, (reason, solution) in ADVICE.items():
-        advice = F.when(kind == name, F.lit(f"reason: {reason}, solutions: {solution}")).otherwise(advice)
-    return advice
-
-
-def failure_text(end: Column) -> Column:
-    """Error text of a ``Task End Reason`` (type ``TASK_END_REASON``); null on success."""
-
-    def text(column: Column) -> Column:
-        return F.coalesce(column.cast("string"), F.lit("null"))
-
-    kind = end["Reason"]
-    address = end["Block Manager Address"]
-    manager = F.when(address.isNull(), "null").otherwise(
-        F.format_string(
-            "BlockManagerId(%s, %s, %s, None)",
-            text(address["Executor ID"]), text(address["Host"]), text(address["Port"]),
-        )
-    )
-    fetch = F.format_string(
-        "FetchFailed(%s, shuffleId=%s, mapIndex=%s, mapId=%s, reduceId=%s, message=\n%s\n)",
-        manager, text(end["Shuffle ID"]), text(end["Map Index"]), text(end["Map ID"]),
-        text(end["Reduce ID"]), text(end["Message"]),
-    )
-    exception = F.coalesce(
-        end["Full Stack Trace"],
-        F.concat_ws(": ", end["Class Name"], end["Description"]),
-    )
-    blame = F.when(end["Exit Caused By App"], "caused by one of the running tasks").otherwise(
-        "unrelated to the running tasks"
-    )
-    lost = F.concat(
-        F.lit("ExecutorLostFailure (executor "), text(end["Executor ID"]), F.lit(" exited "), blame,
-        F.lit(")"),
-        F.coalesce(F.concat(F.lit(" Reason: "), end["Loss Reason"]), F.lit("")),
-    )
-    denied = F.format_string(
-        "TaskCommitDenied (Driver denied task commit) for job: %s, partition: %s, attemptNumber: %s",
-        text(end["Job ID"]), text(end["Partition ID"]), text(end["Attempt Number"]),
+def failure_class(text: str) -> Column:
+    """OOM, fetch failure or lost executor, tested in that order; null when none applies."""
+    return F.expr(failure_class_sql(text))
+
+
+def failure_advice_sql(text: str) -> str:
+    cases = " ".join(
+        f"WHEN '{name}' THEN 'reason: {reason}, solutions: {solution}'"
+        for name, (reason, solution) in ADVICE.items()
     )
-    return (
-        F.when(kind == "Success", F.lit(None).cast("string"))
-        .when(kind == "ExceptionFailure", exception)
-        .when(kind == "FetchFailed", fetch)
-        .when(kind == "ExecutorLostFailure", lost)
-        .when(kind == "TaskKilled", F.concat(F.lit("TaskKilled ("), text(end["Kill Reason"]), F.lit(")")))
-        .when(kind == "TaskCommitDenied", denied)
-        .when(kind == "Resubmitted", "Resubmitted (resubmitted due to lost executor)")
-        .when(kind == "TaskResultLost", "TaskResultLost (result lost from block manager)")
-        .otherwise(kind)
+    return f"CASE {failure_class_sql(text)} {cases} ELSE '' END"
+
+
+def failure_advice(text: str) -> Column:
+    """``reason: …, solutions: …`` for the class of the text, or the empty string."""
+    return F.expr(failure_advice_sql(text))
+
+
+def failure_text(end: str) -> Column:
+    """Error text of a ``Task End Reason`` column (type ``TASK_END_REASON``); null on success."""
+    def field(name: str) -> str:
+        return f"{end}.`{name}`"
+
+    def text(name: str) -> str:
+        return f"coalesce(string({field(name)}), 'null')"
+
+    address = field("Block Manager Address")
+    manager = (
+        f"if({address} IS NULL, 'null', concat('BlockManagerId(', {address}.`Executor ID`, ', ', {address}.Host, "
+        f"', ', {address}.Port, ', None)'))"
     )
+    # The texts Spark itself gives these reasons.
+    texts = {
+        "Success": "string(NULL)",
+        "ExceptionFailure": (
+            f"coalesce({field('Full Stack Trace')}, concat_ws(': ', {field('Class Name')}, {field('Description')}))"
+        ),
+        "FetchFailed": (
+            f"concat('FetchFailed(', {manager}, ', shuffleId=', {text('Shuffle ID')}, ', mapIndex=', {text('Map Index')}, "
+            f"', mapId=', {text('Map ID')}, ', reduceId=', {text('Reduce ID')}, ', message=\n', {text('Message')}, '\n)')"
+        ),
+        "ExecutorLostFailure": (
+            f"concat('ExecutorLostFailure (executor ', {text('Executor ID')}, ' exited ', "
+            f"if({field('Exit Caused By App')}, 'caused by one of the running tasks', 'unrelated to the running tasks'), ')', "
+            f"coalesce(concat(' Reason: ', {field('Loss Reason')}), ''))"
+        ),
+        "TaskKilled": f"concat('TaskKilled (', {text('Kill Reason')}, ')')",
+        "TaskCommitDenied": (
+            f"concat('TaskCommitDenied (Driver denied task commit) for job: ', {text('Job ID')}, ', partition: ', "
+            f"{text('Partition ID')}, ', attemptNumber: ', {text('Attempt Number')})"
+        ),
+        "Resubmitted": "'Resubmitted (resubmitted due to lost executor)'",
+        "TaskResultLost": "'TaskResultLost (result lost from block manager)'",
+    }
+    cases = " ".join(f"WHEN '{kind}' THEN {sql}" for kind, sql in texts.items())
+    return F.expr(f"CASE {field('Reason')} {cases} ELSE {field('Reason')} END")

@@ -1,4 +1,8 @@
-"""Text forms of byte counts and durations, and the reverse for sizes."""
+"""Text forms of byte counts and durations, and the reverse for sizes.
+
+The functions take a column name or SQL expression and give a column; the ``…_sql`` forms give SQL,
+for use inside longer messages.
+"""
 
 from __future__ import annotations
 
@@ -9,46 +13,47 @@ from pyspark.sql import functions as F
 BYTE_PATTERN = "#.00"
 BYTE_UNITS = ["KB", "MB", "GB", "TB"]
 SIZE_SUFFIXES = ["b", "k", "m", "g", "t", "p"]
+DURATION_UNITS = [(86400000, None, "day"), (3600000, 24, "hour"), (60000, 60, "mins"), (1000, 60, "secs")]
+
 
+def fmt_bytes_sql(n: str) -> str:
+    cases = [f"WHEN {n} < 1024 THEN concat({n}, ' B')"]
+    for power, unit in enumerate(BYTE_UNITS, start=1):
+        text = f"concat(format_number({n} / {1024**power}D, '{BYTE_PATTERN}'), ' {unit}')"
+        last = unit == BYTE_UNITS[-1]
+        cases.append(f"ELSE {text}" if last else f"WHEN {n} < {1024 ** (power + 1)} THEN {text}")
+    return f"CASE {' '.join(cases)} END"
 
-def fmt_bytes(n: Column) -> Column:
+
+def fmt_bytes(n: str) -> Column:
     """``1536`` → ``1.50 KB``.  Below 1024 (negative values too) the plain number with `` B``.
 
     Rounds half to even, has no thousands separators and stops at TB.
     """
-    text = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for power, unit in enumerate(BYTE_UNITS, start=1):
-        scaled = F.call_function("format_number", n / F.lit(float(1024**power)), F.lit(BYTE_PATTERN))
-        labelled = F.concat(scaled, F.lit(f" {unit}"))
-        text = text.otherwise(labelled) if unit == "TB" else text.when(n < 1024 ** (power + 1), labelled)
-    return text
+    return F.expr(fmt_bytes_sql(n))
 
 
-def fmt_duration(ms: Column) -> Column:
+def fmt_duration_sql(ms: str) -> str:
+    words = []
+    for size, wrap, unit in DURATION_UNITS:
+        value = f"({ms} div {size})" + (f" % {wrap}" if wrap else "")
+        words.append(f"if({value} > 0, concat({value}, ' {unit} '), '')")
+    return f"if({ms} < 1000, concat({ms}, ' ms'), concat({', '.join(words)}))"
+
+
+def fmt_duration(ms: str) -> Column:
     """``90061000`` → ``1 day 1 hour 1 mins 1 secs `` (each part has a trailing space).
 
     Below one second the milliseconds are given, above they are dropped; zero parts are left out.
     """
-    seconds = F.floor(ms / 1000)
-    parts = [
-        (F.floor(seconds / 86400), "day"),
-        (F.floor(seconds / 3600) % 24, "hour"),
-        (F.floor(seconds / 60) % 60, "mins"),
-        (seconds % 60, "secs"),
-    ]
-    words = [
-        F.when(value > 0, F.concat(value.cast("string"), F.lit(f" {unit} "))).otherwise("")
-        for value, unit in parts
-    ]
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(F.concat(*words))
-
-
-def parse_size(text: Column) -> Column:
+    return F.expr(fmt_duration_sql(ms))
+
+
+def parse_size(text: str) -> Column:
     """Size setting to bytes: ``4g`` → 4294967296.  No suffix means bytes; bad text gives null."""
-    lower = F.lower(F.trim(text))
-    number = F.regexp_extract(lower, r"^(-?[0-9]+)([kmgtp]?b?)$", 1)
-    suffix = F.substring(F.regexp_extract(lower, r"^(-?[0-9]+)([kmgtp]?b?)$", 2), 1, 1)
-    factor = F.when(suffix == "", F.lit(1).cast("bigint"))
-    for power, letter in enumerate(SIZE_SUFFIXES):
-        factor = factor.when(suffix == letter, F.lit(1024**power).cast("bigint"))
-    return F.when(number != "", number.try_cast("bigint") * factor)
+    parts = rf"lower(trim({text})), r'^(-?[0-9]+)([kmgtp]?b?)$'"
+    suffix = f"substring(regexp_extract({parts}, 2), 1, 1)"
+    factors = " ".join(f"WHEN '{s}' THEN {1024**power}L" for power, s in enumerate(SIZE_SUFFIXES))
+    return F.expr(
+        f"try_cast(nullif(regexp_extract({parts}, 1), '') AS bigint) * CASE {suffix} WHEN '' THEN 1L {factors} END"
+    )

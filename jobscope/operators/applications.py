@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import parse_size
+from ..functions.text import time_sql
 from .failures import DEFAULT_MEMORY
 
-# Settings that are reported, and their defaults.
-DEFAULT_CORES = 1
-DEFAULT_SHUFFLE_PARTITIONS = 200
+# The settings that are read, and the defaults of those that are reported.
+SETTINGS = {
+    "driver_memory": "spark.driver.memory",
+    "executor_memory": "spark.executor.memory",
+    "executor_cores": "spark.executor.cores",
+    "shuffle_partitions": "spark.sql.shuffle.partitions",
+    "dynamic": "spark.dynamicAllocation.enabled",
+    "max_executors": "spark.dynamicAllocation.maxExecutors",
+    "instances": "spark.executor.instances",
+}
+DEFAULTS = {
+    "driver_memory": DEFAULT_MEMORY,
+    "executor_memory": DEFAULT_MEMORY,
+    "executor_cores": 1,
+    "shuffle_partitions": 200,
+}
 DEFAULT_EXECUTORS = 5
 
 
@@ -19,70 +33,49 @@ def app_configs(app_conf: DataFrame) -> DataFrame:
 
     ``max_dynamic_executors`` is set under dynamic allocation, ``executor_instances`` otherwise.
     """
-    def setting(key: str) -> Column:
-        return F.max(F.when(F.col("key") == key, F.col("value")))
-
     raw = app_conf.groupBy("app_id").agg(
-        setting("spark.driver.memory").alias("driver_memory"),
-        setting("spark.executor.memory").alias("executor_memory"),
-        setting("spark.executor.cores").alias("executor_cores"),
-        setting("spark.sql.shuffle.partitions").alias("shuffle_partitions"),
-        setting("spark.dynamicAllocation.enabled").alias("dynamic"),
-        setting("spark.dynamicAllocation.maxExecutors").alias("max_executors"),
-        setting("spark.executor.instances").alias("instances"),
+        *[F.expr(f"max(if(key = '{key}', value, NULL)) AS {name}") for name, key in SETTINGS.items()]
     )
 
-    def size(name: str) -> Column:
-        return F.coalesce(parse_size(F.col(name)), F.lit(DEFAULT_MEMORY)).alias(name)
-
-    def number(name: str, default: int) -> Column:
-        return F.coalesce(F.col(name).try_cast("int"), F.lit(default))
+    def number(name: str, default: int) -> str:
+        return f"coalesce(try_cast({name} AS int), {default})"
 
-    dynamic = F.coalesce(F.lower("dynamic") == "true", F.lit(False))
+    sizes = [
+        F.coalesce(parse_size(name), F.lit(DEFAULTS[name])).alias(name) for name in ("driver_memory", "executor_memory")
+    ]
+    counts = [f"{number(name, DEFAULTS[name])} AS {name}" for name in ("executor_cores", "shuffle_partitions")]
+    dynamic = "coalesce(lower(dynamic) = 'true', false)"
     return raw.select(
-        "app_id", size("driver_memory"), size("executor_memory"),
-        number("executor_cores", DEFAULT_CORES).alias("executor_cores"),
-        number("shuffle_partitions", DEFAULT_SHUFFLE_PARTITIONS).alias("shuffle_partitions"),
-        F.when(dynamic, number("max_executors", DEFAULT_EXECUTORS)).alias("max_dynamic_executors"),
-        F.when(~dynamic, number("instances", DEFAULT_EXECUTORS)).alias("executor_instances"),
+        "app_id", *sizes, *map(F.expr, counts),
+        F.expr(f"if({dynamic}, {number('max_executors', DEFAULT_EXECUTORS)}, NULL) AS max_dynamic_executors"),
+        F.expr(f"if({dynamic}, NULL, {number('instances', DEFAULT_EXECUTORS)}) AS executor_instances"),
     )
 
 
-def resource_seconds(executors: DataFrame, configs: DataFrame, end_ms: int | Column) -> DataFrame:
+def resource_seconds(executors: DataFrame, configs: DataFrame, end_ms: int | str) -> DataFrame:
     """Memory-seconds (MB) and core-seconds per application, over the life of every executor."""
-    end = end_ms if isinstance(end_ms, Column) else F.lit(end_ms)
-    alive_s = F.floor((F.coalesce(F.col("removed_ms"), end) - F.col("added_ms")) / 1000)
+    alive = f"(coalesce(removed_ms, {time_sql(end_ms)}) - added_ms) div 1000"
     per_app = executors.groupBy("app_id").agg(
-        F.sum(alive_s).alias("alive_seconds"),
-        F.sum(alive_s * F.col("cores")).cast("bigint").alias("vcore_seconds"),
+        F.expr(f"sum({alive}) AS alive_seconds"), F.expr(f"sum({alive} * cores) AS vcore_seconds")
     )
-    memory = F.coalesce(F.col("executor_memory"), F.lit(DEFAULT_MEMORY))
-    return per_app.join(configs.select("app_id", "executor_memory"), "app_id", "left").select(
-        "app_id",
-        (F.col("alive_seconds") * F.floor(memory / 1048576)).cast("bigint").alias("memory_seconds"),
-        "vcore_seconds",
+    memory = f"coalesce(executor_memory, {DEFAULT_MEMORY}L) div 1048576"
+    return per_app.join(configs.select("app_id", "executor_memory"), "app_id", "left").selectExpr(
+        "app_id", f"alive_seconds * ({memory}) AS memory_seconds", "vcore_seconds"
     )
 
 
 def app_summary(
-    applications: DataFrame, configs: DataFrame, executors: DataFrame, end_ms: int | Column
+    applications: DataFrame, configs: DataFrame, executors: DataFrame, end_ms: int | str
 ) -> DataFrame:
     """Start and end facts of each application; one still running is measured up to ``end_ms``."""
-    end = end_ms if isinstance(end_ms, Column) else F.lit(end_ms)
-    facts = applications.select(
-        "app_id", "user", "queue", "submit_ms", "start_ms",
-        F.coalesce(F.col("end_ms"), end).alias("end_ms"),
-    ).withColumn("elapsed_ms", F.col("end_ms") - F.col("start_ms"))
-    defaults = {
-        "driver_memory": DEFAULT_MEMORY, "executor_memory": DEFAULT_MEMORY,
-        "executor_cores": DEFAULT_CORES, "shuffle_partitions": DEFAULT_SHUFFLE_PARTITIONS,
-    }
-    known = facts.join(configs, "app_id", "left").fillna(defaults)
-    instances = F.coalesce(
-        "executor_instances", F.when(F.col("max_dynamic_executors").isNull(), F.lit(DEFAULT_EXECUTORS))
+    end = f"coalesce(end_ms, {time_sql(end_ms)})"
+    facts = applications.selectExpr(
+        "app_id", "user", "queue", "submit_ms", "start_ms", f"{end} AS end_ms", f"{end} - start_ms AS elapsed_ms"
     )
+    known = facts.join(configs, "app_id", "left").fillna(DEFAULTS)
+    instances = f"coalesce(executor_instances, if(max_dynamic_executors IS NULL, {DEFAULT_EXECUTORS}, NULL))"
     return (
-        known.withColumn("executor_instances", instances)
+        known.withColumn("executor_instances", F.expr(instances))
         .join(resource_seconds(executors, configs, end_ms), "app_id", "left")
         .fillna(0, ["memory_seconds", "vcore_seconds"])
     )

@@ -2,71 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formats import fmt_bytes
+from ..functions.formats import fmt_bytes_sql
+from ..functions.text import message_sql, time_sql
 from ..schemas import EXECUTOR_KEYS
 from ..settings import RULE_ORDER, Thresholds
 from .failures import DEFAULT_MEMORY
 from .skew import running_total
-from .tasks import metric, shuffle_read_bytes
+from .tasks import READ_BYTES, metric
 
-# Event name, and the id of the driver, which is not an executor.
+# Event name, the id of the driver, which is not an executor, and message templates.
 EXECUTOR_INFO = "EXECUTOR_INFO"
 DRIVER = "driver"
+PRESSURE_TEXT = "executor_{executor_id} max memory is {limit}, current heap memory is {heap}"
+LOST_TEXT = "lost executor_{executor_id} {polls} times, jvm info: {info}"
+HEAP_TEXT = "min heap memory: {low}; average heap memory: {mean}; max heap memory: {high} "
 # Polls of one executor within this time are counted in one task.
 SLICE_MS = 3_600_000
 
 
 def executor_inventory(executors: DataFrame) -> DataFrame:
-    return executors.filter(F.col("executor_id") != DRIVER).select(*EXECUTOR_KEYS, "host")
+    return executors.filter(f"executor_id <> '{DRIVER}'").select(*EXECUTOR_KEYS, "host")
 
 
 def heap_stats(samples: DataFrame) -> DataFrame:
     """Minimum, maximum, total, count and whole-number average of the heap of each executor."""
-    return samples.groupBy(*EXECUTOR_KEYS).agg(
-        F.min("heap_used").alias("min_heap"),
-        F.max("heap_used").alias("max_heap"),
-        F.sum("heap_used").alias("total_heap"),
-        F.count("heap_used").alias("samples"),
-    ).withColumn("avg_heap", F.expr("total_heap div nullif(samples, 0)"))
-
-
-def heap_text() -> Column:
-    """Heap statistics as text, over the columns of :func:`heap_stats`."""
-    return F.concat(
-        F.lit("min heap memory: "), fmt_bytes(F.col("min_heap")),
-        F.lit("; average heap memory: "), fmt_bytes(F.col("avg_heap")),
-        F.lit("; max heap memory: "), fmt_bytes(F.col("max_heap")), F.lit(" "),
+    return samples.groupBy(*EXECUTOR_KEYS).agg(*map(F.expr, [
+        "min(heap_used) AS min_heap", "max(heap_used) AS max_heap", "sum(heap_used) AS total_heap",
+        "count(heap_used) AS samples", "sum(heap_used) div nullif(count(heap_used), 0) AS avg_heap",
+    ]))
+
+
+def heap_text() -> str:
+    """SQL for heap statistics as text, over the columns of :func:`heap_stats`."""
+    return message_sql(
+        HEAP_TEXT, low=fmt_bytes_sql("min_heap"), mean=fmt_bytes_sql("avg_heap"), high=fmt_bytes_sql("max_heap")
     )
 
 
-def _alerts(df: DataFrame, rule: str, level: str, message: Column) -> DataFrame:
-    return df.select(
-        "app_id", F.lit(None).cast("int").alias("stage_id"), F.lit(None).cast("int").alias("stage_attempt_id"),
-        F.lit(EXECUTOR_INFO).alias("event"), F.lit(level).alias("level"), F.lit(rule).alias("rule"),
-        F.lit(None).cast("bigint").alias("task_id"), "executor_id", F.col("ts_ms").alias("eval_ms"),
-        F.lit(RULE_ORDER[rule]).alias("rule_ord"), message.alias("message"),
+def _alerts(df: DataFrame, rule: str, level: str, message: str) -> DataFrame:
+    return df.selectExpr(
+        "app_id", "int(NULL) AS stage_id", "int(NULL) AS stage_attempt_id", f"'{EXECUTOR_INFO}' AS event",
+        f"'{level}' AS level", f"'{rule}' AS rule", "bigint(NULL) AS task_id", "executor_id", "ts_ms AS eval_ms",
+        f"{RULE_ORDER[rule]} AS rule_ord", f"{message} AS message",
     )
 
 
 def heap_pressure(
     samples: DataFrame, app_configs: DataFrame | None = None, th: Thresholds = Thresholds()
 ) -> DataFrame:
-    """Samples whose heap fills most of the executor memory (1 GiB where no setting is known)."""
-    if app_configs is None:
-        known = samples.withColumn("executor_memory", F.lit(DEFAULT_MEMORY))
-    else:
-        known = samples.join(app_configs.select("app_id", "executor_memory"), "app_id", "left").withColumn(
-            "executor_memory", F.coalesce("executor_memory", F.lit(DEFAULT_MEMORY))
-        )
-    full = F.col("heap_used").cast("double") / F.col("executor_memory").cast("double") > th.heap_ratio
-    message = F.format_string(
-        "executor_%s max memory is %s, current heap memory is %s",
-        F.col("executor_id"), fmt_bytes(F.col("executor_memory")), fmt_bytes(F.col("heap_used")),
-    )
-    return _alerts(known.filter(full), "heap_pressure", "WARN", message)
+    """Samples whose heap fills most of the executor memory (1 GiB where no setting is known).
+
+    Without ``app_configs`` the limit is a constant and the rule a plain filter on the scan.
+    """
+    limit = f"{DEFAULT_MEMORY}L"
+    if app_configs is not None:
+        samples = samples.join(app_configs.select("app_id", "executor_memory"), "app_id", "left")
+        limit = f"coalesce(executor_memory, {limit})"
+    message = message_sql(PRESSURE_TEXT, limit=fmt_bytes_sql(limit), heap=fmt_bytes_sql("heap_used"))
+    full = samples.filter(f"double(heap_used) / double({limit}) > {th.heap_ratio!r}D")
+    return _alerts(full, "heap_pressure", "WARN", message)
 
 
 def latest_samples(samples: DataFrame) -> DataFrame:
@@ -83,8 +80,7 @@ def poll_failures(polls: DataFrame) -> DataFrame:
     an hour of polls of one executor.
     """
     return running_total(
-        polls, EXECUTOR_KEYS, [F.floor(F.col("ts_ms") / SLICE_MS)], ["ts_ms"],
-        F.when(F.col("ok"), 0).otherwise(1), "failed_polls",
+        polls, EXECUTOR_KEYS, [f"ts_ms div {SLICE_MS}"], ["ts_ms"], "if(ok, 0, 1)", "failed_polls"
     )
 
 
@@ -94,25 +90,17 @@ def lost_executors(
     """The failed poll at which an executor counts as lost; a success in between changes nothing.
 
     Only failed polls are shuffled, and at most ``lost_polls`` per executor and input partition.
-    The heap text covers the samples up to that moment's table, empty if there are none.
+    The heap text is empty for an executor that was never sampled.
     """
     order = Window.partitionBy(*EXECUTOR_KEYS).orderBy("ts_ms")
-    failed = polls.filter(~F.col("ok")).select(*EXECUTOR_KEYS, "ts_ms")
-    lost = (
-        failed.withColumn("nth", F.row_number().over(order))
-        .filter(F.col("nth") <= th.lost_polls)
-        .filter(F.col("nth") == th.lost_polls)
-    )
+    failed = polls.filter("NOT ok").select(*EXECUTOR_KEYS, "ts_ms", F.row_number().over(order).alias("nth"))
+    # The bound lets Spark cut each partition to its first polls; the equality alone would not.
+    lost = failed.filter(F.col("nth") <= th.lost_polls).filter(F.col("nth") == th.lost_polls)
     if samples is None:
         known = lost.withColumn("info", F.lit(""))
     else:
-        info = heap_stats(samples).select(*EXECUTOR_KEYS, heap_text().alias("info"))
-        known = lost.join(info, EXECUTOR_KEYS, "left")
-    message = F.format_string(
-        "lost executor_%s %s times, jvm info: %s",
-        F.col("executor_id"), F.lit(str(th.lost_polls)), F.coalesce(F.col("info"), F.lit("")),
-    )
-    return _alerts(known, "executor_lost", "ERROR", message)
+        known = lost.join(heap_stats(samples).selectExpr(*EXECUTOR_KEYS, f"{heap_text()} AS info"), EXECUTOR_KEYS, "left")
+    return _alerts(known, "executor_lost", "ERROR", message_sql(LOST_TEXT, polls=str(th.lost_polls)))
 
 
 def with_heap(rollup: DataFrame, samples: DataFrame) -> DataFrame:
@@ -123,26 +111,23 @@ def with_heap(rollup: DataFrame, samples: DataFrame) -> DataFrame:
 
 def executor_work(tasks: DataFrame) -> DataFrame:
     """Completed and failed attempts and bytes read, per executor."""
-    return tasks.groupBy(*EXECUTOR_KEYS).agg(
-        F.count_if(F.col("status") == "SUCCESS").alias("completed_tasks"),
-        F.count_if(F.col("status") == "FAILED").alias("failed_tasks"),
-        F.sum(metric("input_bytes")).alias("input_bytes"),
-        F.sum(shuffle_read_bytes()).alias("shuffle_read_bytes"),
-    )
+    return tasks.groupBy(*EXECUTOR_KEYS).agg(*map(F.expr, [
+        "count_if(status = 'SUCCESS') AS completed_tasks", "count_if(status = 'FAILED') AS failed_tasks",
+        f"sum({metric('input_bytes')}) AS input_bytes", f"sum({READ_BYTES}) AS shuffle_read_bytes",
+    ]))
 
 
 def executor_rollup(
-    executors: DataFrame, tasks: DataFrame, samples: DataFrame, end_ms: int | Column
+    executors: DataFrame, tasks: DataFrame, samples: DataFrame, end_ms: int | str
 ) -> DataFrame:
     """What each executor did: when it was removed or, if still there, at the application's end.
 
     The executor table leads, so a task on an unknown executor makes no row.
     """
-    end = end_ms if isinstance(end_ms, Column) else F.lit(end_ms)
-    at = F.coalesce(F.col("removed_ms"), end)
-    alive = executors.filter(F.col("executor_id") != DRIVER).select(
-        *EXECUTOR_KEYS, "host", (at - F.col("added_ms")).alias("elapsed_ms"), at.alias("eval_ms")
+    at = f"coalesce(removed_ms, {time_sql(end_ms)})"
+    known = executors.filter(f"executor_id <> '{DRIVER}'").selectExpr(
+        *EXECUTOR_KEYS, "host", f"{at} - added_ms AS elapsed_ms", f"{at} AS eval_ms"
     )
     work = ["completed_tasks", "failed_tasks", "input_bytes", "shuffle_read_bytes"]
-    joined = alive.join(executor_work(tasks), EXECUTOR_KEYS, "left").fillna(0, work)
+    joined = known.join(executor_work(tasks), EXECUTOR_KEYS, "left").fillna(0, work)
     return with_heap(joined, samples)

@@ -2,72 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.failures import OOM_MARK, failure_advice
-from ..functions.formats import fmt_bytes
+from ..functions.failures import failure_advice_sql, is_oom_sql
+from ..functions.formats import fmt_bytes_sql
+from ..functions.text import message_sql
 from ..schemas import STAGE_KEYS
 from ..settings import RULE_ORDER
 from .tasks import failed_attempts
 
-# Event names.
+# Event names, default memory, message templates.
 TASK_FAILED = "TASK_FAILED"
 TASK_DIAGNOSIS = "TASK_DIAGNOSIS"
 DEFAULT_MEMORY = 1073741824
+EVENT_TEXT = "task {stage_id}.{task_id} failed, reason: {failure_reason}, running on executor {executor_id}"
+CAUSE_TEXT = "task {task_id} failed: {failure_reason} {advice}"
+OOM_TEXT = (
+    "executor {executor_id} failed due to OOM, possible reasons: "
+    "1) data skew 2)executor memory too low 3)reading too large data\n{lines}"
+)
+MEMORY_LINE = "current executor memory: {size}"
+INPUT_LINE = "stage_{stage_id} input data: {size}"
+READ_LINE = "stage_{stage_id} shuffle read data: {size}"
 
+REASON = "coalesce(failure_reason, '')"
+IS_OOM = is_oom_sql(REASON)
 
-def _alert_columns(event: str, rule: str, message: Column) -> list[Column]:
+
+def _alert_columns(event: str, rule: str, message: str) -> list[str]:
     return [
-        F.lit(event).alias("event"), F.lit("ERROR").alias("level"), F.lit(rule).alias("rule"),
-        F.col("task_id"), F.col("executor_id"), F.col("finish_ms").alias("eval_ms"),
-        F.lit(RULE_ORDER[rule]).alias("rule_ord"), message.alias("message"),
+        f"'{event}' AS event", "'ERROR' AS level", f"'{rule}' AS rule", "task_id", "executor_id",
+        "finish_ms AS eval_ms", f"{RULE_ORDER[rule]} AS rule_ord", f"{message} AS message",
     ]
 
 
-def _reason() -> Column:
-    return F.coalesce(F.col("failure_reason"), F.lit(""))
-
-
-def _event_columns() -> list[Column]:
-    message = F.format_string(
-        "task %s.%s failed, reason: %s, running on executor %s",
-        F.col("stage_id").cast("string"), F.col("task_id").cast("string"), _reason(), F.col("executor_id"),
-    )
-    return _alert_columns(TASK_FAILED, "task_failed", message)
-
-
-def _cause_columns() -> list[Column]:
-    message = F.concat(
-        F.lit("task "), F.col("task_id").cast("string"), F.lit(" failed: "), _reason(), F.lit(" "),
-        failure_advice(_reason()),
-    )
-    return _alert_columns(TASK_DIAGNOSIS, "task_failure_cause", message)
-
-
-def _is_oom() -> Column:
-    return _reason().contains(OOM_MARK)
+EVENT = _alert_columns(TASK_FAILED, "task_failed", message_sql(EVENT_TEXT))
+CAUSE = _alert_columns(
+    TASK_DIAGNOSIS, "task_failure_cause", message_sql(CAUSE_TEXT, advice=failure_advice_sql(REASON))
+)
 
 
 def oom_attempts(tasks: DataFrame) -> DataFrame:
     """Failed attempts whose text shows that the container ran out of memory."""
-    return failed_attempts(tasks).filter(_is_oom())
+    return failed_attempts(tasks).filter(IS_OOM)
 
 
 def failure_events(tasks: DataFrame) -> DataFrame:
     """One TASK_FAILED event per attempt that ended without success."""
-    return failed_attempts(tasks).select(*STAGE_KEYS, *_event_columns())
+    return failed_attempts(tasks).selectExpr(*STAGE_KEYS, *EVENT)
 
 
 def failure_causes(tasks: DataFrame) -> DataFrame:
     """Failure text with advice, for every failure that is not the out-of-memory kind."""
-    return failed_attempts(tasks).filter(~_is_oom()).select(*STAGE_KEYS, *_cause_columns())
+    return failed_attempts(tasks).filter(f"NOT {IS_OOM}").selectExpr(*STAGE_KEYS, *CAUSE)
 
 
 def failure_alerts(tasks: DataFrame) -> DataFrame:
     """Events and causes in one pass over the failed attempts."""
-    both = F.array(F.struct(*_event_columns()), F.when(~_is_oom(), F.struct(*_cause_columns())))
-    return failed_attempts(tasks).select(*STAGE_KEYS, F.inline(F.array_compact(both)))
+    event, cause = f"struct({', '.join(EVENT)})", f"struct({', '.join(CAUSE)})"
+    return failed_attempts(tasks).selectExpr(
+        *STAGE_KEYS, f"inline(array_compact(array({event}, if({IS_OOM}, NULL, {cause}))))"
+    )
 
 
 def failure_context(
@@ -78,35 +74,24 @@ def failure_context(
     The three sides have one row per stage or application, so no join multiplies rows; whether one
     is small enough to broadcast is left to the size statistics.
     """
-    return (
+    context = (
         failed_attempts(tasks)
         .select(*STAGE_KEYS, "task_id", "executor_id", "finish_ms", "failure_reason")
         .join(stage_bytes.select(*STAGE_KEYS, "input_bytes", "shuffle_read_bytes"), STAGE_KEYS, "left")
         .join(skew_flags, STAGE_KEYS, "left")
         .join(app_configs.select("app_id", "executor_memory"), "app_id", "left")
-        .withColumn("executor_memory", F.coalesce("executor_memory", F.lit(DEFAULT_MEMORY)))
     )
+    return context.withColumn("executor_memory", F.expr(f"coalesce(executor_memory, {DEFAULT_MEMORY}L)"))
 
 
 def oom_reports(context: DataFrame) -> DataFrame:
     """Out-of-memory report: memory setting, data of the stage where there was any, skew if flagged."""
-    stage = F.col("stage_id").cast("string")
-
-    def data(label: str, column: str) -> Column:
-        text = F.concat(F.lit("stage_"), stage, F.lit(f" {label} data: "), fmt_bytes(F.col(column)))
-        return F.when(F.col(column) > 0, text)
-
-    lines = F.concat_ws(
-        "\n",
-        F.concat(F.lit("current executor memory: "), fmt_bytes(F.col("executor_memory"))),
-        data("input", "input_bytes"),
-        data("shuffle read", "shuffle_read_bytes"),
-        F.col("skew_flag"),
-    )
-    message = F.concat(
-        F.lit("executor "), F.col("executor_id"),
-        F.lit(" failed due to OOM, possible reasons: "
-              "1) data skew 2)executor memory too low 3)reading too large data\n"),
-        lines,
-    )
-    return context.filter(_is_oom()).select(*STAGE_KEYS, *_alert_columns(TASK_DIAGNOSIS, "oom_report", message))
+    def data(template: str, column: str) -> str:
+        return f"if({column} > 0, {message_sql(template, size=fmt_bytes_sql(column))}, NULL)"
+
+    lines = [
+        message_sql(MEMORY_LINE, size=fmt_bytes_sql("executor_memory")),
+        data(INPUT_LINE, "input_bytes"), data(READ_LINE, "shuffle_read_bytes"), "skew_flag",
+    ]
+    message = message_sql(OOM_TEXT, lines=f"concat_ws('\\n', {', '.join(lines)})")
+    return context.filter(IS_OOM).selectExpr(*STAGE_KEYS, *_alert_columns(TASK_DIAGNOSIS, "oom_report", message))

@@ -1,7 +1,7 @@
 """Diagnosis rules over stage statistics.
 
-A rule is a condition and a message over one row of :func:`stages.stage_stats`, joined with the
-stage name and, for shuffle skew, the call site.  One rule alone is a filter, so Spark prunes the
+A rule is a condition and a message, in SQL, over one row of :func:`stages.stage_stats` joined with
+the stage name and, for shuffle skew, the call site.  One rule alone is a filter, so Spark prunes the
 statistics the rule does not read; all rules together are one pass that emits the fired ones.
 """
 
@@ -9,92 +9,94 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formats import fmt_bytes
+from ..functions.formats import fmt_bytes_sql
+from ..functions.text import message_sql, time_sql
 from ..schemas import STAGE_KEYS
 from ..settings import RULE_ORDER, Thresholds
-from .stages import parent_shuffle
+from .stages import parent_shuffle, union_all
 
-# Fixed value: event name of stage diagnoses.
+# Event name and message templates.
 STAGE_DIAGNOSIS = "STAGE_DIAGNOSIS"
-
-
-def gap_ratio(top: Column, base: Column) -> Column:
-    """Distance of the maximum from a base, relative to the base; 1 for a base of 0."""
-    return F.when(base == 0, F.lit(1.0)).otherwise(F.try_divide((top - base).cast("double"), base.cast("double")))
+TEXTS = {
+    "long_tail": "longTail task occurred in stage {stage_id} ({name}), max time: {time_max} ms, taskId: {time_task_id}",
+    "shuffle_read_skew": (
+        "shuffle read skew occurred in stage {stage_id} ({name}), "
+        "max shuffle read records: {read_max}, taskId: {read_task_id}{site}"
+    ),
+    "shuffle_write_skew": (
+        "shuffle write skew occurred in stage {stage_id} ({name}), "
+        "max shuffle write records: {write_max}, taskId: {write_task_id}{site}"
+    ),
+    "input_skew": (
+        "input skew occurred in stage {stage_id} ({name}), max input records: {input_max}, taskId: {input_task_id}"
+    ),
+    "gc_overhead": "task {stage_id}.{gc_task_id} GC overhead: running time:{gc_time} ms, gc time:{gc_max} ms",
+    "unexplained_straggler": (
+        "task {task_id} running on {host}, Load 1m: {load1}, Load 5m: {load5}, Load 15m: {load15} "
+        "CPU usage: Map({usage})"
+    ),
+    "scheduler_delay": "stage {stage_id} average task time: {run}.0 ms, average delay {delay}.0 ms",
+    "shuffle_read_notice": "stage {stage_id} ({name}) prepare to shuffle read {size}, total tasks: {num_tasks}",
+}
+SITE = ", site: {callsite}"
+CPU_MODES = ["idle", "system", "user"]
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    level: str
     metric: str
-    fires: Column
-    message: Column
+    fires: str
 
+    @property
+    def message(self) -> str:
+        site = f"if(callsite IS NULL, '', {message_sql(SITE)})"
+        return message_sql(TEXTS[self.name], site=site)
 
-def _skew(m: str, gap: int, ratio: float, divisor: float) -> Column:
-    top, mid, p75 = (F.col(f"{m}_{part}") for part in ("max", "mid", "p75"))
-    return (
-        (top - mid > gap)
-        & (gap_ratio(top, mid) > ratio)
-        & (gap_ratio(top, p75) > ratio / divisor)
-    )
+    def condition(self, only_running: bool) -> str:
+        """With ``only_running`` a rule holds only if its own largest task is still running."""
+        return f"({self.fires} AND {self.metric}_running)" if only_running else f"({self.fires})"
 
+    def alert(self, eval_ms: int | str) -> list[str]:
+        return [
+            f"'{STAGE_DIAGNOSIS}' AS event", "'WARN' AS level", f"'{self.name}' AS rule",
+            f"{self.metric}_task_id AS task_id", "string(NULL) AS executor_id",
+            f"bigint({time_sql(eval_ms)}) AS eval_ms", f"{RULE_ORDER[self.name]} AS rule_ord",
+            f"{self.message} AS message",
+        ]
 
-def _text(template: str, *columns: str) -> Column:
-    return F.format_string(template, *[F.col(c).cast("string") for c in columns])
+
+def gap_ratio(top: str, base: str) -> str:
+    """Distance of the maximum from a base, relative to the base; 1 for a base of 0."""
+    return f"if({base} = 0, 1D, try_divide(double({top} - {base}), double({base})))"
 
 
-def _site(message: Column) -> Column:
-    return F.concat(message, F.coalesce(F.concat(F.lit(", site: "), F.col("callsite")), F.lit("")))
+def _skewed(m: str, gap: int, ratio: float, p75_ratio: float) -> str:
+    top, mid, p75 = f"{m}_max", f"{m}_mid", f"{m}_p75"
+    return (
+        f"{top} - {mid} > {gap} AND {gap_ratio(top, mid)} > {ratio!r}D AND {gap_ratio(top, p75)} > {p75_ratio!r}D"
+    )
 
 
 def task_rules(th: Thresholds = Thresholds()) -> dict[str, Rule]:
     """The rules about the largest task of a stage, in the order they are evaluated."""
-    # Message templates.
+    shuffle = (th.shuffle_gap_records, th.shuffle_skew_ratio, th.shuffle_skew_ratio / th.p75_divisor)
+    source = (th.input_gap_records, th.input_skew_ratio, th.input_skew_ratio / th.p75_divisor)
+    long_tail = (
+        f"time_max - time_mid > {th.long_tail_gap_ms} AND {gap_ratio('time_max', 'time_mid')} > {th.long_tail_ratio!r}D"
+    )
+    gc = f"gc_max > {th.gc_ms} AND try_divide(double(gc_max), double(gc_time)) > {th.gc_ratio!r}D"
     rules = [
-        Rule(
-            "long_tail", "WARN", "time",
-            (F.col("time_max") - F.col("time_mid") > th.long_tail_gap_ms)
-            & (gap_ratio(F.col("time_max"), F.col("time_mid")) > th.long_tail_ratio),
-            _text("longTail task occurred in stage %s (%s), max time: %s ms, taskId: %s",
-                  "stage_id", "name", "time_max", "time_task_id"),
-        ),
-        Rule(
-            "shuffle_read_skew", "WARN", "read",
-            _skew("read", th.shuffle_gap_records, th.shuffle_skew_ratio, th.p75_divisor),
-            _site(_text("shuffle read skew occurred in stage %s (%s), max shuffle read records: %s, taskId: %s",
-                        "stage_id", "name", "read_max", "read_task_id")),
-        ),
-        Rule(
-            "shuffle_write_skew", "WARN", "write",
-            _skew("write", th.shuffle_gap_records, th.shuffle_skew_ratio, th.p75_divisor),
-            _site(_text("shuffle write skew occurred in stage %s (%s), max shuffle write records: %s, taskId: %s",
-                        "stage_id", "name", "write_max", "write_task_id")),
-        ),
-        Rule(
-            "input_skew", "WARN", "input",
-            _skew("input", th.input_gap_records, th.input_skew_ratio, th.p75_divisor),
-            _text("input skew occurred in stage %s (%s), max input records: %s, taskId: %s",
-                  "stage_id", "name", "input_max", "input_task_id"),
-        ),
-        Rule(
-            "gc_overhead", "WARN", "gc",
-            (F.col("gc_max") > th.gc_ms)
-            & (F.try_divide(F.col("gc_max").cast("double"), F.col("gc_time").cast("double")) > th.gc_ratio),
-            _text("task %s.%s GC overhead: running time:%s ms, gc time:%s ms",
-                  "stage_id", "gc_task_id", "gc_time", "gc_max"),
-        ),
+        Rule("long_tail", "time", long_tail),
+        Rule("shuffle_read_skew", "read", _skewed("read", *shuffle)),
+        Rule("shuffle_write_skew", "write", _skewed("write", *shuffle)),
+        Rule("input_skew", "input", _skewed("input", *source)),
+        Rule("gc_overhead", "gc", gc),
     ]
-    return {r.name: r for r in rules}
-
-
-def _fires(rule: Rule, only_running: bool) -> Column:
-    """With ``only_running`` a rule holds only if its own largest task is still running."""
-    return rule.fires & F.col(f"{rule.metric}_running") if only_running else rule.fires
+    return {rule.name: rule for rule in rules}
 
 
 def describe(stats: DataFrame, stages: DataFrame, callsites: DataFrame | None = None) -> DataFrame:
@@ -105,65 +107,55 @@ def describe(stats: DataFrame, stages: DataFrame, callsites: DataFrame | None =
     return named.join(callsites.select(*STAGE_KEYS, "callsite"), STAGE_KEYS, "left")
 
 
-def _alert_columns(rule: Rule, eval_ms: Column) -> list[Column]:
-    return [
-        F.lit(STAGE_DIAGNOSIS).alias("event"),
-        F.lit(rule.level).alias("level"),
-        F.lit(rule.name).alias("rule"),
-        F.col(f"{rule.metric}_task_id").alias("task_id"),
-        F.lit(None).cast("string").alias("executor_id"),
-        eval_ms.cast("bigint").alias("eval_ms"),
-        F.lit(RULE_ORDER[rule.name]).alias("rule_ord"),
-        rule.message.alias("message"),
-    ]
-
-
 def one_rule(
-    described: DataFrame, name: str, eval_ms: int | Column, th: Thresholds = Thresholds(),
-    only_running: bool = False,
+    described: DataFrame, name: str, eval_ms: int | str, th: Thresholds = Thresholds(), only_running: bool = False
 ) -> DataFrame:
     """The alerts of a single rule."""
     rule = task_rules(th)[name]
-    now = eval_ms if isinstance(eval_ms, Column) else F.lit(eval_ms)
-    return described.filter(_fires(rule, only_running)).select(*STAGE_KEYS, *_alert_columns(rule, now))
+    return described.filter(rule.condition(only_running)).selectExpr(*STAGE_KEYS, *rule.alert(eval_ms))
 
 
 def task_alerts(
-    described: DataFrame, eval_ms: int | Column, th: Thresholds = Thresholds(), only_running: bool = False
+    described: DataFrame, eval_ms: int | str, th: Thresholds = Thresholds(), only_running: bool = False
 ) -> DataFrame:
     """The alerts of all task rules in one pass over the statistics."""
-    now = eval_ms if isinstance(eval_ms, Column) else F.lit(eval_ms)
     fired = [
-        F.when(_fires(rule, only_running), F.struct(*_alert_columns(rule, now)))
+        f"if({rule.condition(only_running)}, struct({', '.join(rule.alert(eval_ms))}), NULL)"
         for rule in task_rules(th).values()
     ]
-    return described.select(*STAGE_KEYS, F.inline(F.array_compact(F.array(*fired))))
+    return described.selectExpr(*STAGE_KEYS, f"inline(array_compact(array({', '.join(fired)})))")
 
 
 def skew_flags(described: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """``(stage, skew_flag)``: the last skew message of a stage; write skew sets none."""
     rules = task_rules(th)
-    flag = F.when(rules["input_skew"].fires, rules["input_skew"].message).when(
-        rules["shuffle_read_skew"].fires, rules["shuffle_read_skew"].message
+    flags = " ".join(
+        f"WHEN {rules[name].fires} THEN {rules[name].message}" for name in ("input_skew", "shuffle_read_skew")
     )
-    return described.select(*STAGE_KEYS, flag.alias("skew_flag")).filter(F.col("skew_flag").isNotNull())
+    return described.selectExpr(*STAGE_KEYS, f"CASE {flags} END AS skew_flag").filter("skew_flag IS NOT NULL")
 
 
 def unexplained_stragglers(
-    stats: DataFrame, eval_ms: int | Column, th: Thresholds = Thresholds(), only_running: bool = False
+    stats: DataFrame, eval_ms: int | str, th: Thresholds = Thresholds(), only_running: bool = False
 ) -> DataFrame:
     """``(stage, task_id, host, eval_ms)`` of long-tail tasks no other fired rule points at."""
     rules = task_rules(th)
-    explained = F.lit(False)
-    for name in ("shuffle_read_skew", "shuffle_write_skew", "input_skew", "gc_overhead"):
-        rule = rules[name]
-        same_task = F.col(f"{rule.metric}_task_id") == F.col("time_task_id")
-        explained = explained | (_fires(rule, only_running) & same_task)
-    now = eval_ms if isinstance(eval_ms, Column) else F.lit(eval_ms)
-    return stats.filter(
-        _fires(rules["long_tail"], only_running) & ~explained & (F.col("time_host") != "")
-    ).select(*STAGE_KEYS, F.col("time_task_id").alias("task_id"), F.col("time_host").alias("host"),
-             now.cast("bigint").alias("eval_ms"))
+    explained = " OR ".join(
+        f"coalesce({rule.condition(only_running)}, false) AND {rule.metric}_task_id = time_task_id"
+        for name, rule in rules.items() if name != "long_tail"
+    )
+    condition = f"{rules['long_tail'].condition(only_running)} AND time_host <> '' AND NOT ({explained})"
+    return stats.filter(condition).selectExpr(
+        *STAGE_KEYS, "time_task_id AS task_id", "time_host AS host", f"bigint({time_sql(eval_ms)}) AS eval_ms"
+    )
+
+
+def _stage_alert(df: DataFrame, rule: str, level: str, task: str, eval_ms: str, message: str) -> DataFrame:
+    return df.selectExpr(
+        *STAGE_KEYS, f"'{STAGE_DIAGNOSIS}' AS event", f"'{level}' AS level", f"'{rule}' AS rule",
+        f"{task} AS task_id", "string(NULL) AS executor_id", f"bigint({eval_ms}) AS eval_ms",
+        f"{RULE_ORDER[rule]} AS rule_ord", f"{message} AS message",
+    )
 
 
 def straggler_alerts(stragglers: DataFrame, host_state: DataFrame) -> DataFrame:
@@ -171,57 +163,26 @@ def straggler_alerts(stragglers: DataFrame, host_state: DataFrame) -> DataFrame:
 
     ``host_state``: ``(host, eval_ms, load1, load5, load15, idle, system, user)``.
     """
-    def number(name: str) -> Column:
-        return F.when(F.col(name).isNull(), "").otherwise(F.format_string("%.6f", F.col(name)))
+    def number(name: str) -> str:
+        return f"if({name} IS NULL, NULL, format_string('%.6f', {name}))"
 
-    modes = [
-        F.when(F.col(m).isNotNull(), F.concat(F.lit(f"{m} -> "), F.format_string("%.6f", F.col(m))))
-        for m in ("idle", "system", "user")
-    ]
-    usage = F.concat(F.lit("Map("), F.concat_ws(", ", *modes), F.lit(")"))
-    message = F.format_string(
-        "task %s running on %s, Load 1m: %s, Load 5m: %s, Load 15m: %s CPU usage: %s",
-        F.col("task_id").cast("string"), F.col("host"),
-        number("load1"), number("load5"), number("load15"), usage,
-    )
-    return stragglers.join(host_state, ["host", "eval_ms"], "left").select(
-        *STAGE_KEYS,
-        F.lit(STAGE_DIAGNOSIS).alias("event"), F.lit("INFO").alias("level"),
-        F.lit("unexplained_straggler").alias("rule"), "task_id",
-        F.lit(None).cast("string").alias("executor_id"), "eval_ms",
-        F.lit(RULE_ORDER["unexplained_straggler"]).alias("rule_ord"), message.alias("message"),
-    )
-
-
-def _stage_alert(df: DataFrame, rule: str, level: str, eval_ms: Column, message: Column) -> DataFrame:
-    return df.select(
-        *STAGE_KEYS, F.lit(STAGE_DIAGNOSIS).alias("event"), F.lit(level).alias("level"),
-        F.lit(rule).alias("rule"), F.lit(None).cast("bigint").alias("task_id"),
-        F.lit(None).cast("string").alias("executor_id"), eval_ms.cast("bigint").alias("eval_ms"),
-        F.lit(RULE_ORDER[rule]).alias("rule_ord"), message.alias("message"),
-    )
+    modes = ", ".join(f"concat('{m} -> ', {number(f'`{m}`')})" for m in CPU_MODES)
+    loads = {name: number(name) for name in ("load1", "load5", "load15")}
+    message = message_sql(TEXTS["unexplained_straggler"], usage=f"concat_ws(', ', {modes})", **loads)
+    known = stragglers.join(host_state, ["host", "eval_ms"], "left")
+    return _stage_alert(known, "unexplained_straggler", "INFO", "task_id", "eval_ms", message)
 
 
-def scheduler_delay_alerts(
-    stats: DataFrame, eval_ms: int | Column, th: Thresholds = Thresholds()
-) -> DataFrame:
+def scheduler_delay_alerts(stats: DataFrame, eval_ms: int | str, th: Thresholds = Thresholds()) -> DataFrame:
     """Delay quantiles that sum up to a large share of the run-time quantiles.
 
     No run time at all fires when there is any delay, and does not when there is none.
     """
-    def total(name: str) -> Column:
-        return F.aggregate(name, F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-    run, delay = total("run_five"), total("delay_five")
-    heavy = F.when(run == 0, delay > 0).otherwise(
-        F.try_divide(delay.cast("double"), run.cast("double")) > th.scheduler_delay_ratio
-    )
-    now = eval_ms if isinstance(eval_ms, Column) else F.lit(eval_ms)
-    message = F.format_string(
-        "stage %s average task time: %s.0 ms, average delay %s.0 ms",
-        F.col("stage_id").cast("string"), F.col("run_five")[2].cast("string"), F.col("delay_five")[2].cast("string"),
-    )
-    return _stage_alert(stats.filter(heavy), "scheduler_delay", "WARN", now, message)
+    run, delay = (f"aggregate({m}_five, 0L, (a, b) -> a + b)" for m in ("run", "delay"))
+    share = f"try_divide(double({delay}), double({run}))"
+    heavy = stats.filter(f"if({run} = 0, {delay} > 0, {share} > {th.scheduler_delay_ratio!r}D)")
+    message = message_sql(TEXTS["scheduler_delay"], run="run_five[2]", delay="delay_five[2]")
+    return _stage_alert(heavy, "scheduler_delay", "WARN", "bigint(NULL)", time_sql(eval_ms), message)
 
 
 def shuffle_read_notices(
@@ -229,9 +190,15 @@ def shuffle_read_notices(
 ) -> DataFrame:
     """What a stage is about to read from its parents, at its submission."""
     found = parent_shuffle(stages, written, join_keys)
-    message = F.format_string(
-        "stage %s (%s) prepare to shuffle read %s, total tasks: %s",
-        F.col("stage_id").cast("string"), F.col("name"), fmt_bytes(F.col("parent_shuffle_bytes")),
-        F.col("num_tasks").cast("string"),
-    )
-    return _stage_alert(found, "shuffle_read_notice", "INFO", F.col("submission_ms"), message)
+    message = message_sql(TEXTS["shuffle_read_notice"], size=fmt_bytes_sql("parent_shuffle_bytes"))
+    return _stage_alert(found, "shuffle_read_notice", "INFO", "bigint(NULL)", "submission_ms", message)
+
+
+def all_stage_alerts(
+    described: DataFrame, eval_ms: int | str, th: Thresholds = Thresholds(), only_running: bool = False
+) -> DataFrame:
+    """Task rules and scheduling delay, which is judged at stage completion only."""
+    alerts = task_alerts(described, eval_ms, th, only_running)
+    if only_running:
+        return alerts
+    return union_all(alerts, scheduler_delay_alerts(described, eval_ms, th))

@@ -8,9 +8,9 @@ whose size does not follow the size of the key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import HOT_ROWS, MAX_HOT_KEYS
@@ -45,42 +45,34 @@ def split_hot(
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
-def exact_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    metrics: dict[str, Column],
-    ranks: Callable[[Column], Column],
-) -> DataFrame:
+def exact_ranks(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], ranks: str) -> DataFrame:
     """Values at given ranks of each metric within each key, exact for keys of any size.
 
-    ``ranks`` maps the number of non-null values to an array of 0-based ranks.  Returns
-    ``(keys, metric, n, rank, value)``.  Values are counted first, so equal values collapse before
-    the shuffle.  A value lies in the cell ``floor(sqrt(value))``: running counts over cells find
-    the cell of each rank, running counts inside that cell find the value.  Both windows see
+    ``ranks`` is SQL for an array of 0-based ranks over ``n``, the number of non-null values.
+    Returns ``(keys, metric, n, rank, value)``.  Values are counted first, so equal values collapse
+    before the shuffle.  A value lies in the cell ``floor(sqrt(value))``: running counts over cells
+    find the cell of each rank, running counts inside that cell find the value.  Both windows see
     O(sqrt(max value)) rows, never all rows of a key.
     """
     keys = list(keys)
-    pairs = F.array(*[F.struct(F.lit(name).alias("metric"), column.cast("bigint").alias("value"))
-                      for name, column in metrics.items()])
+    pairs = ", ".join(f"struct('{m}' AS metric, bigint({m}) AS value)" for m in metrics)
     counts = (
-        df.select(*keys, F.inline(pairs))
-        .filter(F.col("value").isNotNull())
+        df.selectExpr(*keys, f"inline(array({pairs}))")
+        .filter("value IS NOT NULL")
         .groupBy(*keys, "metric", "value")
         .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("cell", (F.signum("value") * F.floor(F.sqrt(F.abs("value")))).cast("bigint"))
+        .withColumn("cell", F.expr("bigint(signum(value) * floor(sqrt(abs(value))))"))
     )
     whole = Window.partitionBy(*keys, "metric")
     upto = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wanted = (
         counts.groupBy(*keys, "metric", "cell")
         .agg(F.sum("c").alias("cell_n"))
-        .select(*keys, "metric", "cell", "cell_n",
-                F.sum("cell_n").over(upto).alias("cell_upto"),
-                F.sum("cell_n").over(whole).alias("n"))
-        .withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n")))))
-        .withColumn("cell_before", F.col("cell_upto") - F.col("cell_n"))
-        .filter((F.col("rank") >= F.col("cell_before")) & (F.col("rank") < F.col("cell_upto")))
-        .select(*keys, "metric", "cell", "rank", "n", "cell_before")
+        .select("*", F.sum("cell_n").over(upto).alias("cell_upto"), F.sum("cell_n").over(whole).alias("n"))
+        .selectExpr(*keys, "metric", "cell", "n", "cell_upto", "cell_upto - cell_n AS cell_before",
+                    f"explode(array_distinct({ranks})) AS rank")
+        .filter("rank >= cell_before AND rank < cell_upto")
+        .drop("cell_upto")
     )
     inside = (
         Window.partitionBy(*keys, "metric", "cell", "rank")
@@ -90,7 +82,7 @@ def exact_ranks(
     return (
         counts.join(wanted, [*keys, "metric", "cell"])
         .withColumn("upto", F.col("cell_before") + F.sum("c").over(inside))
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        .filter("rank < upto AND rank >= upto - c")
         .select(*keys, "metric", "n", "rank", "value")
     )
 
@@ -98,36 +90,33 @@ def exact_ranks(
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
-    slice_by: Sequence[Column],
-    order_by: Sequence[Column | str],
-    value: Column,
+    slice_by: Sequence[str],
+    order_by: Sequence[str],
+    value: str,
     out: str,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key, in the order ``(slice_by, order_by)``.
 
-    ``slice_by`` cuts a key into consecutive slices, each of a size the caller can bound.  Rows are
-    shuffled by key and slice; only slice totals (combined before their shuffle) are brought
+    ``slice_by`` (SQL) cuts a key into consecutive slices, each of a size the caller can bound.  Rows
+    are shuffled by key and slice; only slice totals (combined before their shuffle) are brought
     together per key.  The totals come back by a join on the partitioning the rows already have.
     """
     keys = list(keys)
     names = [f"_slice{i}" for i in range(len(slice_by))]
-    sliced = df.select("*", *[c.alias(n) for c, n in zip(slice_by, names)], value.cast("bigint").alias("_v"))
+    sliced = df.selectExpr("*", *[f"{c} AS {n}" for c, n in zip(slice_by, names)], f"bigint({value}) AS _v")
     inside = (
         Window.partitionBy(*keys, *names)
         .orderBy(*order_by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sliced.groupBy(*keys, *names)
         .agg(F.sum("_v").alias("_total"))
-        .select(*keys, *names, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+        .select(*keys, *names, F.sum("_total").over(before).alias("_before"))
     )
     return (
         sliced.withColumn("_inside", F.sum("_v").over(inside))
         .join(carried, [*keys, *names])
-        .withColumn(out, F.col("_inside") + F.col("_before"))
-        .select(*df.columns, out)
+        .selectExpr(*df.columns, f"_inside + coalesce(_before, 0L) AS {out}")
     )

@@ -4,140 +4,138 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import time_sql
 from ..schemas import STAGE_KEYS
 from ..settings import HOT_ROWS, Thresholds
 from .skew import exact_ranks, split_hot
-from .tasks import (
-    effective_time,
-    gc_candidate,
-    input_eligible,
-    metric,
-    scheduler_delay,
-    shuffle_read_bytes,
-)
+from .tasks import DELAY, GC_CANDIDATE, INPUT_ELIGIBLE, READ_BYTES, effective_time, metric
 
 # Quantiles of the five-number summary, and the percentiles of each distribution.
 FIVE_QUANTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 PERCENTILES = {"time": [0.5], "input": [0.75], "read": [0.5, 0.75], "write": [0.5, 0.75]}
 FIVE_METRICS = ["run", "delay"]
-# The argmax columns of each metric.
+SPREAD = ["time", "input", "read", "write"]
+# Task id where no task has a value above 0.
 NO_TASK = -1
 
 
-def _measures(tasks: DataFrame, eval_ms: int | Column, th: Thresholds) -> DataFrame:
+def _measures(tasks: DataFrame, eval_ms: int | str, th: Thresholds) -> DataFrame:
     """The columns the aggregates need, with the per-metric row conditions folded in as nulls."""
-    time = effective_time(eval_ms)
-    success = F.col("status") == "SUCCESS"
-    not_failed = F.col("status") != "FAILED"
-    return tasks.select(
-        *STAGE_KEYS, "task_id", "host",
-        (F.col("status") == "RUNNING").alias("running"),
-        time.alias("time"),
-        F.when(input_eligible(time, th), metric("input_records")).alias("input"),
-        metric("shuffle_read_records").alias("read"),
-        metric("shuffle_write_records").alias("write"),
-        F.when(gc_candidate(time, th), metric("gc_ms")).alias("gc"),
-        F.when(success, metric("run_ms")).alias("run"),
-        F.when(success, scheduler_delay()).alias("delay"),
-        F.when(not_failed, metric("input_bytes")).alias("in_bytes"),
-        F.when(not_failed, shuffle_read_bytes()).alias("read_bytes"),
-        F.when(not_failed, metric("shuffle_write_bytes")).alias("write_bytes"),
-        F.when(not_failed, metric("output_bytes")).alias("out_bytes"),
+    timed = tasks.withColumn("time", F.expr(effective_time(eval_ms)))
+    eligible = INPUT_ELIGIBLE.format(time="time", old=th.old_task_ms)
+    candidate = GC_CANDIDATE.format(time="time", old=th.old_task_ms, floor=th.gc_floor_ms)
+    ok, kept = "status = 'SUCCESS'", "status <> 'FAILED'"
+    return timed.selectExpr(
+        *STAGE_KEYS, "task_id", "host", "status = 'RUNNING' AS running", "time",
+        f"if({eligible}, {metric('input_records')}, NULL) AS input",
+        f"{metric('shuffle_read_records')} AS read",
+        f"{metric('shuffle_write_records')} AS write",
+        f"if({candidate}, {metric('gc_ms')}, NULL) AS gc",
+        f"if({ok}, {metric('run_ms')}, NULL) AS run",
+        f"if({ok}, {DELAY}, NULL) AS delay",
+        f"if({kept}, {metric('input_bytes')}, NULL) AS in_bytes",
+        f"if({kept}, {READ_BYTES}, NULL) AS read_bytes",
+        f"if({kept}, {metric('shuffle_write_bytes')}, NULL) AS write_bytes",
+        f"if({kept}, {metric('output_bytes')}, NULL) AS out_bytes",
     )
 
 
-def _argmax(name: str) -> Column:
+def _argmax(m: str) -> str:
     """Row of the largest value above 0; ties go to the longest task, then to the lowest id."""
-    row = F.struct(F.col(name).alias("value"), F.col("time"), (-F.col("task_id")).alias("neg_id"),
-                   F.col("host"), F.col("running"))
-    return F.max(F.when(F.col(name) > 0, row)).alias(f"{name}_top")
-
-
-def _bounded_aggregates() -> list[Column]:
-    """Aggregates with buffers of fixed size, for stages of any size."""
-    return [
-        F.count(F.lit(1)).alias("n_tasks"),
-        F.count_if(~F.col("running")).alias("n_finished"),
-        *[F.min(m).alias(f"{m}_min") for m in ("time", "input", "read", "write")],
-        *[F.max(m).alias(f"{m}_max") for m in ("time", "input", "read", "write")],
-        F.sum("input").alias("input_sum"),
-        F.count("input").alias("input_n"),
-        *[_argmax(m) for m in ("time", "input", "read", "write", "gc")],
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(f"{m}_sum")
-          for m in ("in_bytes", "read_bytes", "write_bytes", "out_bytes")],
-    ]
+    row = f"struct({m} AS value, time, -task_id AS neg_id, host, running)"
+    return f"max(if({m} > 0, {row}, NULL)) AS {m}_top"
 
 
-def _at_index(values: Column, q: float) -> Column:
-    """Value at index floor(q·n), at most n−1, of a sorted array; null when it is empty."""
-    n = F.size(values)
-    index = F.least(F.floor(F.lit(q) * n), n - 1).cast("int")
-    return F.when(n > 0, F.get(values, index))
+# Aggregates with buffers of fixed size, for stages of any size.
+BOUNDED = [
+    "count(*) AS n_tasks",
+    "count_if(NOT running) AS n_finished",
+    *[f"{f}({m}) AS {m}_{f}" for m in SPREAD for f in ("min", "max")],
+    "sum(input) AS input_sum",
+    "count(input) AS input_n",
+    *[_argmax(m) for m in [*SPREAD, "gc"]],
+    *[f"coalesce(sum({m}), 0) AS {m}_sum" for m in ("in_bytes", "read_bytes", "write_bytes", "out_bytes")],
+]
 
 
 def _ordinary(measures: DataFrame) -> DataFrame:
     """Everything in one aggregation, for stages whose values fit a task."""
-    lists = [F.sort_array(F.collect_list(m)).alias(f"{m}_values") for m in FIVE_METRICS]
-    percentiles = [
-        F.percentile(m, F.array(*[F.lit(p) for p in ps])).alias(f"{m}_pct") for m, ps in PERCENTILES.items()
-    ]
-    stats = measures.groupBy(*STAGE_KEYS).agg(*_bounded_aggregates(), *percentiles, *lists)
-    fives = [
-        F.array(*[_at_index(F.col(f"{m}_values"), q) for q in FIVE_QUANTILES]).alias(f"{m}_five")
-        for m in FIVE_METRICS
-    ]
-    return stats.select("*", *fives).drop(*[f"{m}_values" for m in FIVE_METRICS])
+    percentiles = [f"percentile({m}, array({', '.join(map(str, ps))})) AS {m}_pct" for m, ps in PERCENTILES.items()]
+    lists = [f"sort_array(collect_list({m})) AS {m}_list" for m in FIVE_METRICS]
+    stats = measures.groupBy(*STAGE_KEYS).agg(*map(F.expr, [*BOUNDED, *percentiles, *lists]))
 
+    def five(m: str) -> str:
+        index = [f"int(least(floor({q}D * size({m}_list)), size({m}_list) - 1))" for q in FIVE_QUANTILES]
+        values = ", ".join(f"get({m}_list, {i})" for i in index)
+        return f"if(size({m}_list) > 0, array({values}), NULL) AS {m}_five"
 
-def _hot(measures: DataFrame) -> DataFrame:
-    """The same columns for hot stages: fixed-size aggregates, and percentiles by exact ranks."""
-    base = measures.groupBy(*STAGE_KEYS).agg(*_bounded_aggregates())
-
-    def position(p: float, n: Column) -> Column:
-        return F.lit(p) * (n - 1)
+    return stats.selectExpr(
+        *[c for c in stats.columns if not c.endswith("_list")], *[five(m) for m in FIVE_METRICS]
+    )
 
-    def percentile_ranks(n: Column) -> Column:
-        positions = [position(p, n) for p in (0.5, 0.75)]
-        return F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)])
 
-    def five_ranks(n: Column) -> Column:
-        return F.array(*[F.least(F.floor(F.lit(q) * n), n - 1).cast("bigint") for q in FIVE_QUANTILES])
+def _hot(measures: DataFrame) -> DataFrame:
+    """The same columns for hot stages: fixed-size aggregates, and percentiles by exact ranks."""
+    base = measures.groupBy(*STAGE_KEYS).agg(*map(F.expr, BOUNDED))
 
-    at = F.col("rank")
+    def five_rank(q: float) -> str:
+        return f"bigint(least(floor({q}D * n), n - 1))"
 
-    def value_at(m: str, rank: Column) -> Column:
-        return F.max(F.when((F.col("metric") == m) & (at == rank), F.col("value")))
+    position = {p: f"({p}D * (n - 1))" for p in (0.5, 0.75)}
+    ranks = [f"bigint({f}({at}))" for at in position.values() for f in ("floor", "ceil")]
+    ranks += [five_rank(q) for q in FIVE_QUANTILES]
+    found = exact_ranks(measures, STAGE_KEYS, [*PERCENTILES, *FIVE_METRICS], f"array({', '.join(ranks)})")
 
-    n = F.col("n")
+    def value_at(m: str, rank: str) -> str:
+        return f"max(if(metric = '{m}' AND rank = {rank}, value, NULL))"
 
-    def interpolated(m: str, p: float) -> Column:
-        low, high = value_at(m, F.floor(position(p, n))), value_at(m, F.ceil(position(p, n)))
-        share = F.max(F.when(F.col("metric") == m, position(p, n) - F.floor(position(p, n))))
-        return low * (1 - share) + high * share
+    def interpolated(m: str, p: float) -> str:
+        at = position[p]
+        share = f"max(if(metric = '{m}', {at} - floor({at}), NULL))"
+        low, high = value_at(m, f"floor({at})"), value_at(m, f"ceil({at})")
+        return f"{low} * (1 - {share}) + {high} * {share}"
 
-    found = exact_ranks(
-        measures,
-        STAGE_KEYS,
-        {m: F.col(m) for m in [*PERCENTILES, *FIVE_METRICS]},
-        lambda n: F.concat(percentile_ranks(n), five_ranks(n)),
-    )
     picked = found.groupBy(*STAGE_KEYS).agg(
-        *[F.array(*[interpolated(m, p) for p in ps]).alias(f"{m}_pct") for m, ps in PERCENTILES.items()],
+        *[F.expr(f"array({', '.join(interpolated(m, p) for p in ps)}) AS {m}_pct") for m, ps in PERCENTILES.items()],
         *[
-            F.array(*[value_at(m, F.least(F.floor(F.lit(q) * n), n - 1)) for q in FIVE_QUANTILES])
-            .alias(f"{m}_five")
+            F.expr(f"array({', '.join(value_at(m, five_rank(q)) for q in FIVE_QUANTILES)}) AS {m}_five")
             for m in FIVE_METRICS
         ],
     )
     return base.join(picked, STAGE_KEYS, "left")
 
 
+def _statistics() -> list[str]:
+    """The published columns; an empty distribution counts as 0."""
+    def whole(sql: str, name: str) -> str:
+        return f"coalesce(bigint(floor({sql})), 0L) AS {name}"
+
+    columns = ["n_tasks", "n_finished"]
+    for m in SPREAD:
+        columns += [f"coalesce({m}_{f}, 0L) AS {m}_{f}" for f in ("min", "max")]
+        columns += [f"coalesce(-{m}_top.neg_id, {NO_TASK}L) AS {m}_task_id",
+                    f"coalesce({m}_top.running, false) AS {m}_running"]
+    columns += [
+        whole("time_pct[0]", "time_mid"),
+        "coalesce(input_sum div nullif(input_n, 0), 0L) AS input_mid", whole("input_pct[0]", "input_p75"),
+        whole("read_pct[0]", "read_mid"), whole("read_pct[1]", "read_p75"),
+        whole("write_pct[0]", "write_mid"), whole("write_pct[1]", "write_p75"),
+        f"coalesce(-gc_top.neg_id, {NO_TASK}L) AS gc_task_id", "coalesce(gc_top.running, false) AS gc_running",
+        "coalesce(gc_top.value, 0L) AS gc_max", "coalesce(gc_top.time, 0L) AS gc_time",
+        "coalesce(time_top.host, '') AS time_host",
+        "in_bytes_sum AS input_bytes", "read_bytes_sum AS shuffle_read_bytes",
+        "write_bytes_sum AS shuffle_write_bytes", "out_bytes_sum AS output_bytes",
+        "run_five", "delay_five",
+    ]
+    return columns
+
+
 def stage_stats(
     tasks: DataFrame,
-    eval_ms: int | Column,
+    eval_ms: int | str,
     th: Thresholds = Thresholds(),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
@@ -148,49 +146,11 @@ def stage_stats(
     use are pruned together with their aggregates.  Hot stages get their percentiles another way, see
     :mod:`skew`; the look-up for them counts the attempts per stage at once.
     """
-    measures = _measures(tasks, eval_ms, th)
-    ordinary, hot = split_hot(measures, STAGE_KEYS, hot_rows)
+    ordinary, hot = split_hot(_measures(tasks, eval_ms, th), STAGE_KEYS, hot_rows)
     stats = _ordinary(ordinary)
     if hot is not None:
         stats = stats.unionByName(_hot(hot))
-
-    def whole(c: Column) -> Column:
-        return F.coalesce(F.floor(c).cast("bigint"), F.lit(0))
-
-    def zero(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).alias(name)
-
-    def top(m: str) -> list[Column]:
-        row = F.col(f"{m}_top")
-        return [
-            F.coalesce(-row["neg_id"], F.lit(NO_TASK)).alias(f"{m}_task_id"),
-            F.coalesce(row["running"], F.lit(False)).alias(f"{m}_running"),
-        ]
-
-    return stats.select(
-        *STAGE_KEYS, "n_tasks", "n_finished",
-        zero("time_min"), whole(F.col("time_pct")[0]).alias("time_mid"), zero("time_max"),
-        zero("input_min"),
-        F.coalesce(F.expr("input_sum div nullif(input_n, 0)"), F.lit(0)).alias("input_mid"),
-        whole(F.col("input_pct")[0]).alias("input_p75"), zero("input_max"),
-        *[
-            c
-            for m in ("read", "write")
-            for c in (
-                zero(f"{m}_min"), whole(F.col(f"{m}_pct")[0]).alias(f"{m}_mid"),
-                whole(F.col(f"{m}_pct")[1]).alias(f"{m}_p75"), zero(f"{m}_max"),
-            )
-        ],
-        *[c for m in ("time", "input", "read", "write", "gc") for c in top(m)],
-        F.coalesce(F.col("time_top")["host"], F.lit("")).alias("time_host"),
-        F.coalesce(F.col("gc_top")["value"], F.lit(0)).alias("gc_max"),
-        F.coalesce(F.col("gc_top")["time"], F.lit(0)).alias("gc_time"),
-        F.col("in_bytes_sum").alias("input_bytes"),
-        F.col("read_bytes_sum").alias("shuffle_read_bytes"),
-        F.col("write_bytes_sum").alias("shuffle_write_bytes"),
-        F.col("out_bytes_sum").alias("output_bytes"),
-        "run_five", "delay_five",
-    )
+    return stats.selectExpr(*STAGE_KEYS, *_statistics())
 
 
 def task_distribution(stats: DataFrame) -> DataFrame:
@@ -212,9 +172,8 @@ def argmax_tasks(stats: DataFrame) -> DataFrame:
 def five_numbers(stats: DataFrame) -> DataFrame:
     """Quantiles 0, ¼, ½, ¾, 1 of run time and scheduler delay over successful attempts."""
     names = ["min", "q1", "median", "q3", "max"]
-    return stats.filter(F.col("run_five").isNotNull() & F.col("run_five")[0].isNotNull()).select(
-        *STAGE_KEYS,
-        *[F.col(f"{m}_five")[i].alias(f"{m}_{name}") for m in FIVE_METRICS for i, name in enumerate(names)],
+    return stats.filter("run_five[0] IS NOT NULL").selectExpr(
+        *STAGE_KEYS, *[f"{m}_five[{i}] AS {m}_{name}" for m in FIVE_METRICS for i, name in enumerate(names)]
     )
 
 
@@ -225,48 +184,47 @@ def running_bytes(stats: DataFrame) -> DataFrame:
 
 def stage_bytes(tasks: DataFrame) -> DataFrame:
     """Bytes moved by attempts that did not fail, straight from the tasks."""
-    not_failed = tasks.filter(F.col("status") != "FAILED")
-    return not_failed.groupBy(*STAGE_KEYS).agg(
-        F.sum(metric("input_bytes")).alias("input_bytes"),
-        F.sum(metric("output_bytes")).alias("output_bytes"),
-        F.sum(shuffle_read_bytes()).alias("shuffle_read_bytes"),
-        F.sum(metric("shuffle_write_bytes")).alias("shuffle_write_bytes"),
+    sums = {
+        "input_bytes": metric("input_bytes"), "output_bytes": metric("output_bytes"),
+        "shuffle_read_bytes": READ_BYTES, "shuffle_write_bytes": metric("shuffle_write_bytes"),
+    }
+    # Failed attempts give 0 instead of being filtered out, so a stage of failures keeps its row.
+    return tasks.groupBy(*STAGE_KEYS).agg(
+        *[F.expr(f"sum(if(status <> 'FAILED', {sql}, 0L)) AS {name}") for name, sql in sums.items()]
     )
 
 
 def finished_counts(tasks: DataFrame) -> DataFrame:
     """Ended attempts per stage, failures included."""
-    return tasks.groupBy(*STAGE_KEYS).agg(F.count_if(F.col("status") != "RUNNING").alias("n_finished"))
+    return tasks.groupBy(*STAGE_KEYS).agg(F.expr("count_if(status <> 'RUNNING') AS n_finished"))
 
 
-def stages_at(stages: DataFrame, at_ms: int | Column) -> DataFrame:
+def stages_at(stages: DataFrame, at_ms: int | str) -> DataFrame:
     """The stages as they stood at ``at_ms``: submitted by then, open if they completed later."""
-    at = at_ms if isinstance(at_ms, Column) else F.lit(at_ms)
-    done = F.col("completion_ms") <= at
-    return stages.filter(F.col("submission_ms") <= at).withColumns(
-        {c: F.when(done, F.col(c)) for c in ("completion_ms", "failure_reason")}
-    )
+    at = time_sql(at_ms)
+    later = [
+        f"if(completion_ms <= {at}, {c}, NULL) AS {c}" if c in ("completion_ms", "failure_reason") else c
+        for c in stages.columns
+    ]
+    return stages.filter(f"submission_ms <= {at}").selectExpr(*later)
 
 
 def half_finished(stages: DataFrame, finished: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """Open stages (submitted, not completed) with enough ended attempts to judge them."""
-    is_open = F.col("submission_ms").isNotNull() & F.col("completion_ms").isNull()
     return (
-        stages.filter(is_open)
+        stages.filter("submission_ms IS NOT NULL AND completion_ms IS NULL")
         .join(finished, STAGE_KEYS)
-        .filter(F.col("n_finished") >= th.finished_ratio * F.col("num_tasks"))
+        .filter(f"n_finished >= {th.finished_ratio}D * num_tasks")
     )
 
 
 def stage_summary(stages: DataFrame, tasks: DataFrame) -> DataFrame:
     """Facts of completed stages without a failure reason."""
-    done = stages.filter(F.col("completion_ms").isNotNull() & F.col("failure_reason").isNull())
-    elapsed = F.col("completion_ms") - F.coalesce(F.col("submission_ms"), F.lit(0))
+    done = stages.filter("completion_ms IS NOT NULL AND failure_reason IS NULL")
     moved = ["input_bytes", "output_bytes", "shuffle_read_bytes", "shuffle_write_bytes"]
-    return done.join(stage_bytes(tasks), STAGE_KEYS, "left").select(
-        *STAGE_KEYS, elapsed.alias("elapsed_ms"), "num_tasks",
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in moved],
-        F.col("completion_ms").alias("eval_ms"),
+    return done.join(stage_bytes(tasks), STAGE_KEYS, "left").selectExpr(
+        *STAGE_KEYS, "completion_ms - coalesce(submission_ms, 0L) AS elapsed_ms", "num_tasks",
+        *[f"coalesce({c}, 0L) AS {c}" for c in moved], "completion_ms AS eval_ms",
     )
 
 
@@ -280,15 +238,15 @@ def parent_shuffle(
     shares with its parents besides the parent id.
     """
     keys = list(join_keys)
-    last = F.max(F.struct("stage_attempt_id", "shuffle_write_bytes"))["shuffle_write_bytes"]
-    per_stage = written.groupBy(*keys, F.col("stage_id").alias("parent_id")).agg(last.alias("parent_bytes"))
-    links = stages.select(*STAGE_KEYS, "name", "num_tasks", "submission_ms",
-                          F.explode("parent_ids").alias("parent_id"))
+    last = "max(struct(stage_attempt_id, shuffle_write_bytes)).shuffle_write_bytes AS parent_bytes"
+    per_stage = written.groupBy(*keys, F.col("stage_id").alias("parent_id")).agg(F.expr(last))
+    stage = [*STAGE_KEYS, "name", "num_tasks", "submission_ms"]
+    links = stages.selectExpr(*stage, "explode(parent_ids) AS parent_id")
     return (
         links.join(per_stage, [*keys, "parent_id"])
-        .groupBy(*STAGE_KEYS, "name", "num_tasks", "submission_ms")
+        .groupBy(*stage)
         .agg(F.sum("parent_bytes").alias("parent_shuffle_bytes"))
-        .filter(F.col("parent_shuffle_bytes") > 0)
+        .filter("parent_shuffle_bytes > 0")
     )
 
 

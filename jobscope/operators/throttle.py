@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..settings import THROTTLE_GROUPS, THROTTLE_PERIODS
 from .skew import running_total
@@ -12,20 +11,16 @@ from .skew import running_total
 STAGES_PER_SLICE = 1024
 SLICE_MS = 3_600_000
 
+COUNTER = ["app_id", "throttle_group", "counter_executor"]
+# Counter a rule belongs to; null for rules that are never throttled.
+GROUP = "CASE rule {} END".format(" ".join(f"WHEN '{r}' THEN '{g}'" for r, g in THROTTLE_GROUPS.items()))
 
-def throttle_group(rule: Column) -> Column:
-    """Counter a rule belongs to; null for rules that are never throttled."""
-    group = F.lit(None).cast("string")
-    for name, value in THROTTLE_GROUPS.items():
-        group = F.when(rule == name, value).otherwise(group)
-    return group
 
-
-def throttle_period(group: Column, periods: dict[str, int]) -> Column:
-    period = F.lit(1)
-    for name, n in periods.items():
-        period = F.when(group == name, n).otherwise(period)
-    return period
+def passes(nth: str, periods: dict[str, int] | None = None) -> str:
+    """SQL: whether the ``nth`` firing of a counter is let through."""
+    known = {**THROTTLE_PERIODS, **(periods or {})}
+    cases = " ".join(f"WHEN '{group}' THEN {n}" for group, n in known.items())
+    return f"({nth} - 1) % CASE throttle_group {cases} END = 0"
 
 
 def numbered(alerts: DataFrame) -> DataFrame:
@@ -35,31 +30,23 @@ def numbered(alerts: DataFrame) -> DataFrame:
     time, stage, rule.  A counter is cut into slices by evaluation hour and stage range, so a single
     application with a large share of all alerts is numbered by many tasks.
     """
-    group = throttle_group(F.col("rule"))
-    keyed = alerts.withColumn("throttle_group", group).filter(F.col("throttle_group").isNotNull())
-    keyed = keyed.withColumn(
-        "counter_executor", F.when(F.col("throttle_group") == "heap", F.col("executor_id")).otherwise("")
-    )
-    stage = F.coalesce(F.col("stage_id"), F.lit(-1))
-    return running_total(
-        keyed,
-        ["app_id", "throttle_group", "counter_executor"],
-        [
-            F.floor(F.col("eval_ms") / SLICE_MS),
-            F.when(F.col("throttle_group") == "heap", F.lit(0)).otherwise(F.col("eval_ms")),
-            F.floor(stage / STAGES_PER_SLICE),
-        ],
-        ["eval_ms", stage, "stage_attempt_id", "rule_ord", "task_id"],
-        F.lit(1),
-        "firing",
+    keyed = alerts.filter(f"{GROUP} IS NOT NULL").selectExpr(
+        "*", f"{GROUP} AS throttle_group", f"if({GROUP} = 'heap', executor_id, '') AS counter_executor"
     )
+    slices = [
+        f"eval_ms div {SLICE_MS}",
+        "if(throttle_group = 'heap', 0L, eval_ms)",
+        f"coalesce(stage_id, -1) div {STAGES_PER_SLICE}",
+    ]
+    order = ["eval_ms", "stage_id", "stage_attempt_id", "rule_ord", "task_id"]
+    return running_total(keyed, COUNTER, slices, order, "1", "firing")
+
+
+def unthrottled(alerts: DataFrame) -> DataFrame:
+    return alerts.filter(f"{GROUP} IS NULL")
 
 
 def throttle(alerts: DataFrame, periods: dict[str, int] | None = None) -> DataFrame:
     """The alerts that pass; rules without a counter always pass."""
-    periods = {**THROTTLE_PERIODS, **(periods or {})}
-    passed = numbered(alerts).filter(
-        (F.col("firing") - 1) % throttle_period(F.col("throttle_group"), periods) == 0
-    )
-    free = alerts.filter(throttle_group(F.col("rule")).isNull())
-    return passed.select(*alerts.columns).unionByName(free)
+    passed = numbered(alerts).filter(passes("firing", periods))
+    return passed.select(*alerts.columns).unionByName(unthrottled(alerts))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import applications, executors, failures, hosts, lineage, rules, stages
-from ..schemas import STAGE_KEYS
 from ..session import ensure_checkpoint_dir
 from ..settings import HOT_ROWS, Thresholds
 from ..sinks import records as sink_records
@@ -56,8 +54,7 @@ def diagnose(
     described = rules.describe(stats, t.stages, sites).checkpoint()
 
     found = [
-        rules.task_alerts(described, eval_ms, th, only_running),
-        rules.scheduler_delay_alerts(described, eval_ms, th),
+        rules.all_stage_alerts(described, eval_ms, th, only_running),
         failures.failure_alerts(t.tasks),
     ]
     if "parent_ids" in t.stages.columns:

@@ -7,143 +7,126 @@ it is projection; nothing is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.formats import fmt_bytes, fmt_duration
+from ..functions.formats import fmt_bytes_sql, fmt_duration_sql
+from ..functions.text import literal, message_sql
 from ..operators.tasks import failed_attempts
 
-# Event names.
+# Event names, console templates, point prefixes.
 APP_START = "APP_START"
 APP_END = "APP_END"
 STAGE_COMPLETED = "STAGE_COMPLETED"
 EXECUTOR_REMOVED = "EXECUTOR_REMOVED"
 TASK_FAILED = "TASK_FAILED"
-
-
-def _text(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(""))
-
-
-def _record(
-    df: DataFrame,
-    event: str,
-    level: str,
-    eval_ms: Column,
-    text: Column,
-    fields: dict[str, Column],
-    points: list[str],
-    prefix: Column,
+TEXTS = {
+    APP_START: "appId: {app_id}, configuration: {settings}",
+    APP_END: (
+        "{app_id} end, elapsed time: {elapsed} memorySeconds: {memory_seconds}, vCoreSeconds: {vcore_seconds}"
+    ),
+    STAGE_COMPLETED: (
+        "stage {stage_id} complete, time: {elapsed}, totalTask: {num_tasks}, input: {input}, output: {output}, "
+        "shuffleRead: {shuffle_read}, shuffleWrite: {shuffle_write}"
+    ),
+    TASK_FAILED: "task {stage_id}.{task_id} failed, reason: {failure_reason}, running on executor {executor_id}",
+    EXECUTOR_REMOVED: (
+        "executor_{executor_id}, host: {host}, completedTasks: {completed_tasks}, failedTask: {failed_tasks}, "
+        "inputBytes: {input}, shuffleReadBytes: {shuffle_read}, "
+        "average heap memory: {mean_heap}, max heap memory: {top_heap}"
+    ),
+}
+PREFIXES = {
+    APP_START: "{app_id}_APP_START",
+    APP_END: "{app_id}_APP_END",
+    STAGE_COMPLETED: "{app_id}_STAGE_COMPLETED_stage{stage_id}",
+    TASK_FAILED: "{app_id}_TASK_FAILED_stage{stage_id}_{task_id}",
+    EXECUTOR_REMOVED: "{app_id}_EXECUTOR_REMOVED_executor{executor_id}",
+}
+
+
+def _records(
+    df: DataFrame, event: str, level: str, eval_ms: str, fields: dict[str, str], points: list[str], **parts: str
 ) -> DataFrame:
-    """``fields`` are the JSON body in order; ``points`` names those that become Graphite points."""
-    body = F.struct(F.col("app_id").alias("appId"), *[c.alias(name) for name, c in fields.items()])
-    lines = [F.concat(prefix, F.lit(f"_{name} "), _text(fields[name])) for name in points]
-    return df.select(
-        "app_id", F.lit(event).alias("event"), F.lit(level).alias("level"),
-        eval_ms.cast("bigint").alias("eval_ms"), text.alias("text"),
-        F.to_json(body).alias("body"), F.array(*lines).alias("points"),
+    """``fields`` (name to SQL) are the JSON body in order; ``points`` names the Graphite points."""
+    body = ", ".join(f"{sql} AS {name}" for name, sql in {"appId": "app_id", **fields}.items())
+    prefix = message_sql(PREFIXES[event])
+    lines = [f"concat({prefix}, {literal(f'_{name} ')}, coalesce(string({fields[name]}), ''))" for name in points]
+    return df.selectExpr(
+        "app_id", f"'{event}' AS event", f"'{level}' AS level", f"bigint({eval_ms}) AS eval_ms",
+        f"{message_sql(TEXTS[event], **parts)} AS text", f"to_json(struct({body})) AS body",
+        f"array({', '.join(lines)}) AS points",
     )
 
 
-def _prefix(event: str, *parts: Column | str) -> Column:
-    tail = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-    return F.concat(F.col("app_id"), F.lit(f"_{event}"), *tail)
-
-
 def app_start_records(summary: DataFrame) -> DataFrame:
     # Field names; settings with "memory" in their name are shown in byte units.
     settings = {
-        "driverMemory": F.col("driver_memory"), "executorMemory": F.col("executor_memory"),
-        "executorCores": F.col("executor_cores"), "shufflePartitions": F.col("shuffle_partitions"),
-        "maxDynamicExecutors": F.col("max_dynamic_executors"),
-        "executorInstances": F.col("executor_instances"),
+        "driverMemory": "driver_memory", "executorMemory": "executor_memory", "executorCores": "executor_cores",
+        "shufflePartitions": "shuffle_partitions", "maxDynamicExecutors": "max_dynamic_executors",
+        "executorInstances": "executor_instances",
     }
-    shown = [
-        F.concat(F.lit(f"{k}: "), fmt_bytes(c) if "memory" in k.lower() else c.cast("string"))
-        for k, c in settings.items()
-    ]
-    text = F.concat(F.lit("appId: "), F.col("app_id"), F.lit(", configuration: "), F.concat_ws(", ", *shown))
+    shown = ", ".join(
+        f"concat('{k}: ', {fmt_bytes_sql(c) if 'memory' in k.lower() else c})" for k, c in settings.items()
+    )
+    configuration = ", ".join(f"{c} AS {k}" for k, c in settings.items())
     fields = {
-        "submitTime": F.col("submit_ms"), "startTime": F.col("start_ms"), "user": F.col("user"),
-        "queue": F.col("queue"), "configuration": F.struct(*[c.alias(k) for k, c in settings.items()]),
+        "submitTime": "submit_ms", "startTime": "start_ms", "user": "`user`", "queue": "queue",
+        "configuration": f"struct({configuration})",
     }
     points = ["submitTime", "startTime", "user", "queue"]
-    return _record(summary, APP_START, "INFO", F.col("start_ms"), text, fields, points, _prefix(APP_START))
+    return _records(
+        summary, APP_START, "INFO", "start_ms", fields, points, settings=f"concat_ws(', ', {shown})"
+    )
 
 
 def app_end_records(summary: DataFrame) -> DataFrame:
-    fields = {
-        "elapseTime": F.col("elapsed_ms"), "memorySeconds": F.col("memory_seconds"),
-        "vCoreSeconds": F.col("vcore_seconds"),
-    }
-    text = F.concat(
-        F.col("app_id"), F.lit(" end, elapsed time: "), fmt_duration(F.col("elapsed_ms")),
-        F.lit(" memorySeconds: "), _text(F.col("memory_seconds")),
-        F.lit(", vCoreSeconds: "), _text(F.col("vcore_seconds")),
+    fields = {"elapseTime": "elapsed_ms", "memorySeconds": "memory_seconds", "vCoreSeconds": "vcore_seconds"}
+    return _records(
+        summary, APP_END, "INFO", "end_ms", fields, list(fields), elapsed=fmt_duration_sql("elapsed_ms")
     )
-    return _record(summary, APP_END, "INFO", F.col("end_ms"), text, fields, list(fields), _prefix(APP_END))
 
 
 def stage_records(summary: DataFrame) -> DataFrame:
     fields = {
-        "elapseTime": F.col("elapsed_ms"), "stageId": F.col("stage_id"), "totalTask": F.col("num_tasks"),
-        "inputBytes": F.col("input_bytes"), "outputBytes": F.col("output_bytes"),
-        "shuffleReadBytes": F.col("shuffle_read_bytes"), "shuffleWriteBytes": F.col("shuffle_write_bytes"),
+        "elapseTime": "elapsed_ms", "stageId": "stage_id", "totalTask": "num_tasks", "inputBytes": "input_bytes",
+        "outputBytes": "output_bytes", "shuffleReadBytes": "shuffle_read_bytes",
+        "shuffleWriteBytes": "shuffle_write_bytes",
     }
-    text = F.concat(
-        F.lit("stage "), _text(F.col("stage_id")), F.lit(" complete, time: "), fmt_duration(F.col("elapsed_ms")),
-        F.lit(", totalTask: "), _text(F.col("num_tasks")),
-        F.lit(", input: "), fmt_bytes(F.col("input_bytes")),
-        F.lit(", output: "), fmt_bytes(F.col("output_bytes")),
-        F.lit(", shuffleRead: "), fmt_bytes(F.col("shuffle_read_bytes")),
-        F.lit(", shuffleWrite: "), fmt_bytes(F.col("shuffle_write_bytes")),
-    )
     points = ["totalTask", "inputBytes", "outputBytes", "shuffleReadBytes", "shuffleWriteBytes"]
-    prefix = _prefix(STAGE_COMPLETED, "_stage", F.col("stage_id"))
-    return _record(summary, STAGE_COMPLETED, "INFO", F.col("eval_ms"), text, fields, points, prefix)
+    sizes = {m: fmt_bytes_sql(f"{m}_bytes") for m in ("input", "output", "shuffle_read", "shuffle_write")}
+    return _records(
+        summary, STAGE_COMPLETED, "INFO", "eval_ms", fields, points, elapsed=fmt_duration_sql("elapsed_ms"), **sizes
+    )
 
 
 def failure_records(tasks: DataFrame) -> DataFrame:
-    reason = F.coalesce(F.col("failure_reason"), F.lit(""))
     fields = {
-        "stageId": F.col("stage_id"), "taskId": F.col("task_id"), "executorId": F.col("executor_id"),
-        "failedReason": reason,
+        "stageId": "stage_id", "taskId": "task_id", "executorId": "executor_id",
+        "failedReason": "coalesce(failure_reason, '')",
     }
-    text = F.concat(
-        F.lit("task "), _text(F.col("stage_id")), F.lit("."), _text(F.col("task_id")),
-        F.lit(" failed, reason: "), reason, F.lit(", running on executor "), F.col("executor_id"),
-    )
-    prefix = _prefix(TASK_FAILED, "_stage", F.col("stage_id"), "_", F.col("task_id"))
-    return _record(
-        failed_attempts(tasks), TASK_FAILED, "ERROR", F.col("finish_ms"), text, fields,
-        ["executorId", "failedReason"], prefix,
-    )
+    failed = failed_attempts(tasks)
+    return _records(failed, TASK_FAILED, "ERROR", "finish_ms", fields, ["executorId", "failedReason"])
 
 
 def executor_records(rollup: DataFrame) -> DataFrame:
     fields = {
-        "executorId": F.col("executor_id"), "host": F.col("host"), "elapseTime": F.col("elapsed_ms"),
-        "completedTasks": F.col("completed_tasks"), "failedTask": F.col("failed_tasks"),
-        "inputBytes": F.col("input_bytes"), "shuffleReadBytes": F.col("shuffle_read_bytes"),
-        "averageHeapMemory": F.col("avg_heap"), "maxHeapMemory": F.col("max_heap"),
+        "executorId": "executor_id", "host": "host", "elapseTime": "elapsed_ms", "completedTasks": "completed_tasks",
+        "failedTask": "failed_tasks", "inputBytes": "input_bytes", "shuffleReadBytes": "shuffle_read_bytes",
+        "averageHeapMemory": "avg_heap", "maxHeapMemory": "max_heap",
+    }
+    sizes = {
+        "input": "input_bytes", "shuffle_read": "shuffle_read_bytes", "mean_heap": "avg_heap", "top_heap": "max_heap",
     }
-    text = F.concat(
-        F.lit("executor_"), F.col("executor_id"), F.lit(", host: "), F.col("host"),
-        F.lit(", completedTasks: "), _text(F.col("completed_tasks")),
-        F.lit(", failedTask: "), _text(F.col("failed_tasks")),
-        F.lit(", inputBytes: "), fmt_bytes(F.col("input_bytes")),
-        F.lit(", shuffleReadBytes: "), fmt_bytes(F.col("shuffle_read_bytes")),
-        F.lit(", average heap memory: "), fmt_bytes(F.col("avg_heap")),
-        F.lit(", max heap memory: "), fmt_bytes(F.col("max_heap")),
-    )
     points = [name for name in fields if name != "executorId"]
-    prefix = _prefix(EXECUTOR_REMOVED, "_executor", F.col("executor_id"))
-    return _record(rollup, EXECUTOR_REMOVED, "INFO", F.col("eval_ms"), text, fields, points, prefix)
+    return _records(
+        rollup, EXECUTOR_REMOVED, "INFO", "eval_ms", fields, points,
+        **{name: fmt_bytes_sql(column) for name, column in sizes.items()},
+    )
 
 
 def diagnosis_records(diagnostics: DataFrame) -> DataFrame:
     """Diagnoses have a console text only."""
-    return diagnostics.filter(F.col("event") != TASK_FAILED).select(
-        "app_id", "event", "level", "eval_ms", F.col("message").alias("text"),
-        F.lit(None).cast("string").alias("body"), F.array().cast("array<string>").alias("points"),
+    return diagnostics.filter(f"event <> '{TASK_FAILED}'").selectExpr(
+        "app_id", "event", "level", "eval_ms", "message AS text", "string(NULL) AS body",
+        "cast(array() AS array<string>) AS points",
     )

@@ -92,7 +92,7 @@ def ended_attempts(lines: DataFrame) -> DataFrame:
         (info["Finish Time"] - info["Launch Time"]).alias("duration_ms"),
         F.when(fetching > 0, info["Finish Time"] - fetching).otherwise(F.lit(0)).alias("getting_result_ms"),
         *_end_metrics(),
-        failure_text(F.col("Task End Reason")).alias("failure_reason"),
+        failure_text("`Task End Reason`").alias("failure_reason"),
     )
 
 

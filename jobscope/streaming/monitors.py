@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import executors, failures, rules, stages, tasks, throttle
 from ..schemas import EXECUTOR_KEYS, STAGE_KEYS, TASK_ATTEMPTS
-from ..settings import HOT_ROWS, THROTTLE_PERIODS, Thresholds
+from ..settings import HOT_ROWS, Thresholds
 from .state import BatchTable, append_batch, run
 
 # Evaluation periods, and how late a row may be.
@@ -153,21 +153,20 @@ def throttled_alerts(
     and continue the carried counters (one row each).
     """
     table = BatchTable(state_path, COUNTERS)
-    counter = ["app_id", "throttle_group", "counter_executor"]
-    all_periods = {**THROTTLE_PERIODS, **(periods or {})}
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         before = table.before(batch.sparkSession, batch_id)
-        # Many triggers bring few rows: the batch is used twice, so it is kept for the time being.
+        # The batch is read several times; alerts are few, so it is kept for the time being.
         batch.persist()
         numbered = throttle.numbered(batch)
-        here = numbered.groupBy(*counter).agg(F.count(F.lit(1)).alias("fired"))
-        table.write(before.unionByName(here).groupBy(*counter).agg(F.sum("fired").alias("fired")), batch_id)
-        period = throttle.throttle_period(F.col("throttle_group"), all_periods)
-        nth = F.col("firing") + F.coalesce("fired", F.lit(0))
-        passed = numbered.join(before, counter, "left").filter((nth - 1) % period == 0)
-        free = batch.filter(throttle.throttle_group(F.col("rule")).isNull())
-        append_batch(passed.select(*batch.columns).unionByName(free), out_path, batch_id)
+        here = numbered.groupBy(*throttle.COUNTER).agg(F.count(F.lit(1)).alias("fired"))
+        fired = before.unionByName(here).groupBy(*throttle.COUNTER).agg(F.sum("fired").alias("fired"))
+        table.write(fired, batch_id)
+        continued = numbered.join(before, throttle.COUNTER, "left")
+        passed = continued.filter(throttle.passes("(firing + coalesce(fired, 0L))", periods))
+        append_batch(
+            passed.select(*batch.columns).unionByName(throttle.unthrottled(batch)), out_path, batch_id
+        )
         batch.unpersist()
 
     return run(alerts, on_batch, checkpoint, every=every)
@@ -201,7 +200,7 @@ def lost_executors(
     polls: DataFrame, out_path: str, checkpoint: str, th: Thresholds = Thresholds(), every: str | None = None
 ) -> StreamingQuery:
     """An executor's third failed poll, once; a success in between changes nothing."""
-    failed = polls.filter(~F.col("ok")).select(*EXECUTOR_KEYS, "ts_ms")
+    failed = polls.filter("NOT ok").select(*EXECUTOR_KEYS, "ts_ms")
     lost = failed.groupBy(*EXECUTOR_KEYS).applyInPandasWithState(
         _count_failures(th.lost_polls), LOST_ROWS, LOST_STATE, "append", GroupStateTimeout.NoTimeout
     )
