@@ -30,7 +30,7 @@ from jobscope.operators import (
 )
 from jobscope.plans import Telemetry, diagnose, event_records
 from jobscope.schemas import STAGE_KEYS
-from jobscope.session import scratch_path
+from jobscope.session import materialise, scratch_path
 from jobscope.sinks import (
     console_lines,
     diagnosis_records,
@@ -286,7 +286,7 @@ def _described(t: Tables) -> DataFrame:
 
 
 def _context(t: Tables) -> DataFrame:
-    described = _described(t)
+    described = materialise(_described(t), "stage-stats")
     configs = applications.app_configs(t.conf)
     return failures.failure_context(t.tasks, described, rules.skew_flags(described), configs)
 
@@ -310,11 +310,15 @@ def _(t):
     return hosts.resolve_hosts(_hosts(t), t.host_names)
 
 
+def _stragglers(t: Tables) -> DataFrame:
+    return materialise(rules.unexplained_stragglers(_stats(t), EVAL_MS), "stragglers")
+
+
 @over_tables("straggler_host_asof")
 def _(t):
     # The evaluations are spread over the time the host samples span, one stage after the other.
     step = sql_over(t.spark, "SELECT CAST(floor(max(event_id) * 1000 / 48) AS BIGINT) AS step FROM events", t.base)
-    stragglers = rules.unexplained_stragglers(_stats(t), EVAL_MS).withColumn(
+    stragglers = _stragglers(t).withColumn(
         "eval_ms", F.lit(EVAL_MS) - (47 - F.col("stage_id")) * step.scalar()
     )
     state = hosts.host_state_asof(stragglers, t.host_names, t.host_clock)
@@ -323,7 +327,7 @@ def _(t):
 
 @over_tables("skew_with_callsite")
 def _(t):
-    described = _described(t)
+    described = materialise(_described(t), "stage-stats")
     both = [rules.one_rule(described, r, EVAL_MS) for r in ("shuffle_read_skew", "shuffle_write_skew")]
     return stages.union_all(*both).select("app_id", "stage_id", "rule", "task_id", "message")
 
@@ -410,7 +414,7 @@ def _(t):
 
 @over_tables("diag_unexplained_straggler")
 def _(t):
-    stragglers = rules.unexplained_stragglers(_stats(t), EVAL_MS)
+    stragglers = _stragglers(t)
     state = hosts.host_state_asof(stragglers, t.host_names, t.host_clock)
     return rules.straggler_alerts(stragglers, state).select(*ALERT)
 
@@ -441,7 +445,7 @@ def _(t):
 @over_tables("alert_throttle")
 def _(t):
     alerts = rules.task_alerts(_described(t), EVAL_MS).unionByName(executors.heap_pressure(t.samples))
-    return throttle.throttle(alerts, PERIODS).select(*ALERT)
+    return throttle.throttle(materialise(alerts, "alerts"), PERIODS).select(*ALERT)
 
 
 @over_tables("executor_latest_sample")

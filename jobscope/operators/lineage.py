@@ -67,7 +67,7 @@ def stage_callsites(rdds: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
     without RDDs has no row.  ``hot_rows=None`` skips the look-up for hot stages where lineages are
     known to be small, as they are in a table made from event logs: all RDDs of a stage were one record.
     """
-    ordinary, hot = split_hot(_next_rdds(rdds), STAGE_KEYS, hot_rows)
+    ordinary, hot = split_hot(_next_rdds(rdds), STAGE_KEYS, hot_rows, counted=rdds)
     stops = _walk_in_rows(ordinary)
     if hot is not None:
         stops = stops.unionByName(_walk_by_doubling(hot))

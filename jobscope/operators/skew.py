@@ -28,17 +28,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(rows of ordinary keys, rows of hot keys)``; the second is None when no key is hot.
 
-    Whether there is a hot key is looked up at once, by one count over the key columns.  So the
-    usual plan stays a single aggregation.  ``hot_rows=None`` skips the look-up where the caller
-    knows the groups to be small.
+    Whether there is a hot key is looked up at once, by one count over the key columns (of
+    ``counted``, where that is a cheaper table with the same rows per key).  So the usual plan stays
+    a single aggregation.  ``hot_rows=None`` skips the look-up where groups are known to be small.
     """
     if hot_rows is None:
         return df, None
-    found = hot_keys(df, keys, hot_rows)
+    found = hot_keys(df if counted is None else counted, keys, hot_rows)
     if found.isEmpty():
         return df, None
     hot = F.broadcast(found)

@@ -47,6 +47,10 @@ def unthrottled(alerts: DataFrame) -> DataFrame:
 
 
 def throttle(alerts: DataFrame, periods: dict[str, int] | None = None) -> DataFrame:
-    """The alerts that pass; rules without a counter always pass."""
+    """The alerts that pass; rules without a counter always pass.
+
+    The alerts are read several times.  They are few but costly to find, so unless they are a table
+    already, pass ``materialise(alerts, …)``.
+    """
     passed = numbered(alerts).filter(passes("firing", periods))
     return passed.select(*alerts.columns).unionByName(unthrottled(alerts))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import applications, executors, failures, hosts, lineage, rules, stages
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 from ..settings import HOT_ROWS, Thresholds
 from ..sinks import records as sink_records
 
@@ -45,13 +45,12 @@ def diagnose(
     """Every rule over the tables, as one table of diagnoses.
 
     The task table is aggregated once.  The result, one row per stage, feeds the stage rules, the
-    parent notice, the skew flags and the out-of-memory report, so it is checkpointed to the shared
+    parent notice, the skew flags and the out-of-memory report, so it is written to the shared
     folder: small next to the tasks, and safe when executors are lost.
     """
-    ensure_checkpoint_dir(t.tasks.sparkSession)
     sites = None if t.rdds is None else lineage.stage_callsites(t.rdds, hot_rows)
     stats = stages.stage_stats(t.tasks, eval_ms, th, hot_rows)
-    described = rules.describe(stats, t.stages, sites).checkpoint()
+    described = materialise(rules.describe(stats, t.stages, sites), "stage-stats")
 
     found = [
         rules.all_stage_alerts(described, eval_ms, th, only_running),
