@@ -286,9 +286,8 @@ def _described(t: Tables) -> DataFrame:
 
 
 def _context(t: Tables) -> DataFrame:
-    described = materialise(_described(t), "stage-stats")
-    configs = applications.app_configs(t.conf)
-    return failures.failure_context(t.tasks, described, rules.skew_flags(described), configs)
+    known = failures.stage_context(_described(t), applications.app_configs(t.conf))
+    return failures.failure_context(t.tasks, known)
 
 
 @over_tables("failure_stage_context")

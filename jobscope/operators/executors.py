@@ -69,6 +69,11 @@ def heap_pressure(
 def latest_samples(samples: DataFrame) -> DataFrame:
     """Newest sample of each executor, combined before the shuffle."""
     others = [c for c in samples.columns if c not in (*EXECUTOR_KEYS, "ts_ms")]
+    if len(others) == 1:
+        # Two plain numbers per group: aggregated by hash, without a sort.
+        return samples.groupBy(*EXECUTOR_KEYS).agg(
+            F.max("ts_ms").alias("ts_ms"), F.max_by(others[0], "ts_ms").alias(others[0])
+        )
     newest = F.max(F.struct("ts_ms", *others)).alias("newest")
     return samples.groupBy(*EXECUTOR_KEYS).agg(newest).select(*EXECUTOR_KEYS, "newest.*")
 

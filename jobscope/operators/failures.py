@@ -9,7 +9,8 @@ from ..functions.failures import failure_advice_sql, is_oom_sql
 from ..functions.formats import fmt_bytes_sql
 from ..functions.text import message_sql
 from ..schemas import STAGE_KEYS
-from ..settings import RULE_ORDER
+from ..settings import RULE_ORDER, Thresholds
+from .rules import skew_flag
 from .tasks import failed_attempts
 
 # Event names, default memory, message templates.
@@ -66,22 +67,25 @@ def failure_alerts(tasks: DataFrame) -> DataFrame:
     )
 
 
-def failure_context(
-    tasks: DataFrame, stage_bytes: DataFrame, skew_flags: DataFrame, app_configs: DataFrame
-) -> DataFrame:
-    """Failed attempts with the bytes and skew flag of their stage and the executor memory.
+def stage_context(described: DataFrame, app_configs: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """Per stage: bytes read, skew flag, executor memory.  ``described`` as from :func:`rules.describe`."""
+    known = described.selectExpr(
+        *STAGE_KEYS, "input_bytes", "shuffle_read_bytes", f"{skew_flag(th)} AS skew_flag"
+    ).join(app_configs.select("app_id", "executor_memory"), "app_id", "left")
+    return known.withColumn("executor_memory", F.expr(f"coalesce(executor_memory, {DEFAULT_MEMORY}L)"))
 
-    The three sides have one row per stage or application, so no join multiplies rows; whether one
-    is small enough to broadcast is left to the size statistics.
+
+def failure_context(tasks: DataFrame, context: DataFrame) -> DataFrame:
+    """Failed attempts with the context of their stage.
+
+    The context is put together per stage first, so the failures are joined once and each finds one
+    row.  A stage with a large share of all failures is split by Spark's skew join, since nothing
+    after this join needs its partitioning.  Whether the context is small enough to broadcast is left
+    to the size statistics.
     """
-    context = (
-        failed_attempts(tasks)
-        .select(*STAGE_KEYS, "task_id", "executor_id", "finish_ms", "failure_reason")
-        .join(stage_bytes.select(*STAGE_KEYS, "input_bytes", "shuffle_read_bytes"), STAGE_KEYS, "left")
-        .join(skew_flags, STAGE_KEYS, "left")
-        .join(app_configs.select("app_id", "executor_memory"), "app_id", "left")
-    )
-    return context.withColumn("executor_memory", F.expr(f"coalesce(executor_memory, {DEFAULT_MEMORY}L)"))
+    failed = failed_attempts(tasks).select(*STAGE_KEYS, "task_id", "executor_id", "finish_ms", "failure_reason")
+    known = failed.join(context, STAGE_KEYS, "left")
+    return known.withColumn("executor_memory", F.expr(f"coalesce(executor_memory, {DEFAULT_MEMORY}L)"))
 
 
 def oom_reports(context: DataFrame) -> DataFrame:

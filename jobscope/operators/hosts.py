@@ -103,31 +103,32 @@ def _series_rates(seen: DataFrame) -> DataFrame:
     keys = [*SERIES, "eval_ms"]
     series = Window.partitionBy(*keys).orderBy("ts_ms")
     steps = seen.select(
-        *keys, "ts_ms",
+        *keys, "ts_ms", "value",
         F.lag("ts_ms").over(series).alias("before_ms"),
         _increase(F.lag("value").over(series), F.col("value")).alias("step"),
     )
-    edge = F.col("eval_ms") - RATE_MS
-    recent, both_recent = F.col("ts_ms") > edge, F.col("before_ms") > edge
-    last = F.max(F.struct("ts_ms", "before_ms", "step"))
-    return steps.groupBy(*keys).agg(
-        F.try_divide(
-            F.sum(F.when(both_recent, F.col("step"))),
-            (F.max(F.when(recent, F.col("ts_ms"))) - F.min(F.when(recent, F.col("ts_ms")))) / 1000,
-        ).alias("rate"),
-        F.try_divide(last["step"], (last["ts_ms"] - last["before_ms"]) / 1000).alias("irate"),
-    )
+    edge = f"(eval_ms - {RATE_MS})"
+    newest = "max(struct(ts_ms, before_ms, step, value))"
+    first, last = (f"{f}(if(ts_ms > {edge}, ts_ms, NULL))" for f in ("min", "max"))
+    return steps.groupBy(*keys).agg(*map(F.expr, [
+        f"try_divide(sum(if(before_ms > {edge}, step, NULL)), ({last} - {first}) / 1000) AS rate",
+        f"try_divide({newest}.step, ({newest}.ts_ms - {newest}.before_ms) / 1000) AS irate",
+        f"{newest}.value AS latest",
+    ]))
+
+
+# Percent of time of a CPU mode, from the rates of its cores.
+USAGE = "round(coalesce(sum(rate), sum(irate)) * 100 / count(*), 6)"
 
 
 def cpu_usage(seen: DataFrame) -> DataFrame:
     """Percent of time per CPU mode; which rate is used is decided per mode, after the sum over cores."""
     cpu = seen.filter((F.col("metric") == CPU) & F.col("mode").isin(CPU_MODES))
-    usage = F.coalesce(F.sum("rate"), F.sum("irate")) * 100 / F.count(F.lit(1))
     return (
         _series_rates(cpu)
         .groupBy("instance", "eval_ms", "mode")
-        .agg(F.round(usage, 6).alias("usage"))
-        .filter(F.col("usage").isNotNull())
+        .agg(F.expr(f"{USAGE} AS usage"))
+        .filter("usage IS NOT NULL")
     )
 
 
@@ -145,7 +146,7 @@ def _latest(samples: DataFrame, metrics: dict[str, str], at_ms: int | None) -> D
         kept = kept.filter(F.col("ts_ms") <= at_ms)
     return kept.groupBy("instance").agg(
         *[
-            F.max(F.when(F.col("metric") == name, F.struct("ts_ms", "value")))["value"].alias(out)
+            F.max_by("value", F.when(F.col("metric") == name, F.col("ts_ms"))).alias(out)
             for out, name in metrics.items()
         ]
     )
@@ -196,19 +197,15 @@ def host_state_asof(probes: DataFrame, names: DataFrame, samples: DataFrame) ->
     Values older than the look-back are unknown.  One row per distinct probe; unknown is null.
     """
     placed = resolve_hosts(probes.select("host", "eval_ms").distinct(), names)
-    wanted = [*LOADS.values(), CPU]
-    seen = at_times(samples.filter(F.col("metric").isin(wanted)), placed.filter(F.col("instance").isNotNull()))
-    loads = seen.groupBy("instance", "eval_ms").agg(
-        *[
-            F.max(F.when(F.col("metric") == name, F.struct("ts_ms", "value")))["value"].alias(out)
-            for out, name in LOADS.items()
-        ]
-    )
-    usage = cpu_usage(seen).groupBy("instance", "eval_ms").agg(
-        *[F.max(F.when(F.col("mode") == m, F.col("usage"))).alias(m) for m in CPU_MODES]
+    wanted = samples.filter(
+        F.col("metric").isin(*LOADS.values()) | ((F.col("metric") == CPU) & F.col("mode").isin(CPU_MODES))
     )
-    return (
-        placed.join(loads, ["instance", "eval_ms"], "left")
-        .join(usage, ["instance", "eval_ms"], "left")
-        .select("host", "eval_ms", *LOADS, *CPU_MODES)
+    seen = at_times(wanted, placed.filter("instance IS NOT NULL"))
+    # One pass for all of it: series, then metric and mode, then columns.
+    per_mode = _series_rates(seen).groupBy("instance", "eval_ms", "metric", "mode").agg(
+        F.expr(f"{USAGE} AS usage"), F.max("latest").alias("latest")
     )
+    columns = [f"max(if(metric = '{name}', latest, NULL)) AS {out}" for out, name in LOADS.items()]
+    columns += [f"max(if(mode = '{mode}', usage, NULL)) AS `{mode}`" for mode in CPU_MODES]
+    state = per_mode.groupBy("instance", "eval_ms").agg(*map(F.expr, columns))
+    return placed.join(state, ["instance", "eval_ms"], "left").select("host", "eval_ms", *LOADS, *CPU_MODES)

@@ -126,13 +126,13 @@ def task_alerts(
     return described.selectExpr(*STAGE_KEYS, f"inline(array_compact(array({', '.join(fired)})))")
 
 
-def skew_flags(described: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """``(stage, skew_flag)``: the last skew message of a stage; write skew sets none."""
+def skew_flag(th: Thresholds = Thresholds()) -> str:
+    """SQL of the last skew message of a stage, else null; write skew sets none."""
     rules = task_rules(th)
-    flags = " ".join(
+    cases = " ".join(
         f"WHEN {rules[name].fires} THEN {rules[name].message}" for name in ("input_skew", "shuffle_read_skew")
     )
-    return described.selectExpr(*STAGE_KEYS, f"CASE {flags} END AS skew_flag").filter("skew_flag IS NOT NULL")
+    return f"CASE {cases} END"
 
 
 def unexplained_stragglers(

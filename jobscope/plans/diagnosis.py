@@ -64,10 +64,8 @@ def diagnose(
         state = hosts.host_state_asof(stragglers, names, t.host_samples)
         found.append(rules.straggler_alerts(stragglers, state))
     if t.app_conf is not None:
-        context = failures.failure_context(
-            failures.oom_attempts(t.tasks), described, rules.skew_flags(described, th),
-            applications.app_configs(t.app_conf),
-        )
+        known = failures.stage_context(described, applications.app_configs(t.app_conf), th)
+        context = failures.failure_context(failures.oom_attempts(t.tasks), known)
         found.append(failures.oom_reports(context))
     if t.samples is not None:
         found.append(executors.heap_pressure(t.samples, heap_limits, th))
