@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..settings import HOT_ROWS, MAX_HOT_KEYS
 
 
@@ -34,14 +35,15 @@ def split_hot(
 
     Whether there is a hot key is looked up at once, by one count over the key columns (of
     ``counted``, where that is a cheaper table with the same rows per key).  So the usual plan stays
-    a single aggregation.  ``hot_rows=None`` skips the look-up where groups are known to be small.
+    a single aggregation; hot keys, where there are any, are written once and broadcast.
+    ``hot_rows=None`` skips the look-up where groups are known to be small.
     """
     if hot_rows is None:
         return df, None
     found = hot_keys(df if counted is None else counted, keys, hot_rows)
     if found.isEmpty():
         return df, None
-    hot = F.broadcast(found)
+    hot = F.broadcast(materialise(found, "hot-keys"))
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
@@ -117,6 +119,6 @@ def running_total(
     )
     return (
         sliced.withColumn("_inside", F.sum("_v").over(inside))
-        .join(carried, [*keys, *names])
+        .join(carried, [*keys, *names], "left")
         .selectExpr(*df.columns, f"_inside + coalesce(_before, 0L) AS {out}")
     )

@@ -3,17 +3,10 @@
 from checks.fixtures import EVAL_MS, HALF_MS
 from jobscope.operators import applications, executors, failures, hosts, rules, stages, tasks, throttle
 from jobscope.plans import Telemetry, diagnose
-from jobscope.schemas import STAGE_KEYS, TASK_ATTEMPTS
+from jobscope.schemas import TASK_ATTEMPTS
 from jobscope.settings import Thresholds
 from pyspark.sql import functions as F
 
-METRICS = [
-    "run_ms", "deserialize_ms", "result_ser_ms", "getting_result_ms", "gc_ms", "input_bytes", "input_records",
-    "output_bytes", "shuffle_local_bytes", "shuffle_remote_bytes", "shuffle_read_records", "shuffle_write_bytes",
-    "shuffle_write_records",
-]
-
-
 def attempts(spark, rows):
     """Task table from dicts; what is not given is null, as in a feed with optional metrics."""
     names = [part.split()[0] for part in TASK_ATTEMPTS.split(", ")]
@@ -244,4 +237,3 @@ def test_diagnose_with_only_tasks_and_stages(tables):
 def test_failure_alerts_equal_their_parts(tables):
     apart = failures.failure_events(tables.tasks).unionByName(failures.failure_causes(tables.tasks))
     assert sorted(apart.collect()) == sorted(failures.failure_alerts(tables.tasks).select(*apart.columns).collect())
-    assert STAGE_KEYS[0] == "app_id"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from checks.fixtures import EVAL_MS
 from jobscope.operators import lineage, stages
 from jobscope.operators.skew import exact_ranks, hot_keys, running_total
-from jobscope.schemas import STAGE_KEYS, STAGE_RDDS
+from jobscope.schemas import STAGE_RDDS
+from jobscope.session import scratch_path
 
 
 def rows(df):
@@ -95,4 +96,7 @@ def test_long_chain_by_doubling(spark):
     )
     for limit in (None, 1):
         assert lineage.stage_callsites(df, hot_rows=limit).first()["rdd_id"] == 17
-    assert STAGE_KEYS == ["app_id", "stage_id", "stage_attempt_id"]
+
+
+def test_intermediate_tables_lie_in_the_shared_folder(spark):
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
