@@ -14,36 +14,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from ..settings import HOT_ROWS, MAX_HOT_KEYS
+from ..settings import HOT_ROWS, MAX_BROADCAST_KEYS
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows, and at least 1/MAX_HOT_KEYS of all rows.
-
-    The second condition proves the size: there are at most MAX_HOT_KEYS such keys, so the result
-    may be broadcast however large ``df`` is.  Only the key columns are read.
-    """
+    """Keys with at least ``hot_rows`` rows.  Only the key columns are read."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.filter((F.col("n") >= hot_rows) & (F.col("n") * MAX_HOT_KEYS >= total)).select(*keys)
+    return counts.filter(F.col("n") >= hot_rows).select(*keys)
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS, counted: DataFrame | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int | None = HOT_ROWS,
+    counted: DataFrame | None = None,
+    max_broadcast: int = MAX_BROADCAST_KEYS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(rows of ordinary keys, rows of hot keys)``; the second is None when no key is hot.
 
-    Whether there is a hot key is looked up at once, by one count over the key columns (of
-    ``counted``, where that is a cheaper table with the same rows per key).  So the usual plan stays
-    a single aggregation; hot keys, where there are any, are written once and broadcast.
-    ``hot_rows=None`` skips the look-up where groups are known to be small.
+    Hot keys are looked up at once, by one count over the key columns (of ``counted``, where that is
+    a cheaper table with the same rows per key).  So the usual plan stays a single aggregation.  Hot
+    keys, where there are any, are written and counted: up to ``max_broadcast`` of them are
+    broadcast, more are joined by a shuffle, in which Spark may split a key.  ``hot_rows=None`` skips
+    the look-up where groups are known to be small.
     """
     if hot_rows is None:
         return df, None
     found = hot_keys(df if counted is None else counted, keys, hot_rows)
     if found.isEmpty():
         return df, None
-    hot = F.broadcast(materialise(found, "hot-keys"))
+    hot = materialise(found, "hot-keys")
+    if hot.count() <= max_broadcast:
+        hot = F.broadcast(hot)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 

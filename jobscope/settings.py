@@ -62,7 +62,8 @@ RULE_ORDER = {
     "executor_lost": 12,
 }
 
-# A key with at least this many rows is "hot": its rows are never gathered in one task.
-HOT_ROWS = 1_000_000
-# Upper bound on the number of hot keys, so the broadcast list of them has a proven size.
-MAX_HOT_KEYS = 100_000
+# A key with at least this many rows is "hot": its rows are never gathered in one task.  An
+# aggregation task may hold the lists of about a hundred ordinary keys at a time.
+HOT_ROWS = 100_000
+# Hot keys up to this number (some megabytes) are broadcast, more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 100_000

@@ -34,15 +34,14 @@ def event_json(records: DataFrame) -> DataFrame:
     return records.select("app_id", "event", line.alias("line"))
 
 
-def graphite_lines(records: DataFrame, epoch_s: int | Column) -> DataFrame:
-    """``<prefix>_<field> <value> <epoch seconds>``, one row per point."""
-    now = epoch_s if isinstance(epoch_s, Column) else F.lit(epoch_s)
-    points = records.select("app_id", "event", F.explode("points").alias("point"))
-    return points.select("app_id", "event", F.concat_ws(" ", "point", now.cast("string")).alias("line"))
+def graphite_lines(records: DataFrame, epoch_s: int | str) -> DataFrame:
+    """``<prefix>_<field> <value> <epoch seconds>``, one row per point; the time may be SQL."""
+    points = records.selectExpr("app_id", "event", f"bigint({epoch_s}) AS epoch_s", "explode(points) AS point")
+    return points.selectExpr("app_id", "event", "concat(point, ' ', epoch_s) AS line")
 
 
 def external_lines(
-    records: DataFrame, sink_type: str, address: str | None, epoch_s: int | Column
+    records: DataFrame, sink_type: str, address: str | None, epoch_s: int | str
 ) -> DataFrame | None:
     """Lines for the external sink, or None without one: unknown name, or no address."""
     outgoing = records.filter(F.col("event").isin(EXTERNAL_EVENTS))
@@ -58,7 +57,7 @@ def external_lines(
 
 def route(
     records: DataFrame, sink_type: str = META_SERVER, address: str | None = None,
-    epoch_s: int | Column = 0,
+    epoch_s: int | str = 0,
 ) -> DataFrame:
     """``(sink, app_id, event, line)``: every record to the log, some events to the external sink."""
     log = console_lines(records).select(F.lit("log").alias("sink"), "app_id", "event", "line")
@@ -70,7 +69,7 @@ def route(
 
 def deliver(
     records: DataFrame, log_path: str, sink_type: str = META_SERVER, address: str | None = None,
-    epoch_s: int | Column = 0, mode: str = "append",
+    epoch_s: int | str = 0, mode: str = "append",
 ) -> None:
     """Writes the log and, if there is one, the external sink as text; ``address`` is its folder."""
     console_lines(records).select("line").write.mode(mode).text(log_path)

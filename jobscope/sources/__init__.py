@@ -1,6 +1,6 @@
 """Readers: event logs, executor samples and host metrics as canonical tables."""
 
-from .event_log import parse_event_log, read_event_log, write_tables
+from .event_log import parse_event_log, read_event_log, stream_ended_attempts, write_tables
 from .executor_samples import parse_executor_samples, read_executor_samples
 from .prometheus import parse_prometheus
 
@@ -10,5 +10,6 @@ __all__ = [
     "parse_prometheus",
     "read_event_log",
     "read_executor_samples",
+    "stream_ended_attempts",
     "write_tables",
 ]

@@ -167,6 +167,12 @@ def read_event_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return parse_event_log(text.select(app_id_from_log_path(F.col("_metadata.file_path")).alias("app_id"), "value"))
 
 
+def stream_ended_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """Attempts as they end, from finished log files moved into ``path``; a file is read once."""
+    text = spark.readStream.option("recursiveFileLookup", "true").format("text").load(path)
+    return ended_attempts(text.select(app_id_from_log_path(F.col("_metadata.file_path")).alias("app_id"), "value"))
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """One parquet table per name, so later runs read only the columns they need."""
     for name, df in tables.items():

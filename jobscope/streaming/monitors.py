@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import executors, failures, rules, stages, tasks, throttle
 from ..schemas import EXECUTOR_KEYS, STAGE_KEYS, TASK_ATTEMPTS
 from ..settings import HOT_ROWS, Thresholds
+from ..sinks.delivery import META_SERVER, deliver
 from .state import BatchTable, append_batch, run
 
 # Evaluation periods, and how late a row may be.
@@ -211,3 +212,21 @@ def task_failures(updates: DataFrame, out_path: str, checkpoint: str, every: str
     """TASK_FAILED events and failure causes as attempts fail."""
     alerts = failures.failure_alerts(updates)
     return run(alerts, lambda df, i: append_batch(df, out_path, i), checkpoint, every=every)
+
+
+def delivered(
+    records: DataFrame,
+    log_path: str,
+    checkpoint: str,
+    sink_type: str = META_SERVER,
+    address: str | None = None,
+    epoch_s: int | str = "eval_ms div 1000",
+    every: str | None = None,
+) -> StreamingQuery:
+    """Routes a stream of records to the log and the external sink, one folder per micro-batch."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        part = f"batch_id={batch_id}"
+        outside = f"{address.rstrip('/')}/{part}" if address else None
+        deliver(batch, f"{log_path.rstrip('/')}/{part}", sink_type, outside, epoch_s, "overwrite")
+
+    return run(records, on_batch, checkpoint, every=every)

@@ -9,20 +9,11 @@ from checks.queries import QUERIES
 from jobscope.operators import stages, tasks
 from jobscope.operators.rules import describe, one_rule
 
-BATCH = [name for name in QUERIES if not name.startswith("stream_")]
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", BATCH)
-def test_no_cross_products_and_no_python(spark, sf_dir, name):
-    text = plan(QUERIES[name](spark, sf_dir))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "Python" not in text and "InPandas" not in text
-
-
 def test_top_k_is_cut_before_the_shuffle(tables):
     text = plan(tasks.top_tasks(tables.tasks, EVAL_MS, 3))
     assert text.count("WindowGroupLimit") == 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import EVAL_MS
 from jobscope.operators import lineage, stages
-from jobscope.operators.skew import exact_ranks, hot_keys, running_total
+from jobscope.operators.skew import exact_ranks, hot_keys, running_total, split_hot
 from jobscope.schemas import STAGE_RDDS
 from jobscope.session import scratch_path
 
@@ -28,12 +28,15 @@ def test_hot_stages_have_the_same_statistics(tables):
         assert rows(stages.stage_stats(tables.tasks, EVAL_MS, hot_rows=limit)) == expected
 
 
-def test_hot_keys_are_bounded_by_their_share(spark, monkeypatch):
-    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
+def test_hot_keys_by_count_and_both_joins(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 100).alias("k"), "id")
     assert [r["k"] for r in hot_keys(df, ["k"], 100).collect()] == [0]
-    assert hot_keys(df, ["k"], 401).isEmpty()
-    monkeypatch.setattr("jobscope.operators.skew.MAX_HOT_KEYS", 2)
-    assert hot_keys(df, ["k"], 1).isEmpty()  # 400 of 1000 rows are less than half
+    assert split_hot(df, ["k"], 407)[1] is None and split_hot(df, ["k"], None)[1] is None
+    for most in (0, 10):
+        ordinary, hot = split_hot(df, ["k"], 100, max_broadcast=most)
+        assert (ordinary.count(), hot.count()) == (594, 406)
+        plan = hot._jdf.queryExecution().analyzed().toString()
+        assert ("ResolvedHint" in plan) == (most > 0)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))

@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from checks.fixtures import EVAL_MS
-from jobscope.operators import executors, rules, stages, tasks, throttle
+from checks.queries import _event_lines
+from jobscope.operators import executors, failures, rules, stages, tasks, throttle
+from jobscope.sinks import graphite_lines
+from jobscope.sinks.records import failure_records
+from jobscope.sources import stream_ended_attempts
 from jobscope.streaming import monitors
 from jobscope.streaming.state import BatchTable
 
@@ -98,3 +102,27 @@ def test_inflight_updates_replace_each_other_and_completed_stages_leave(spark, t
     still_open = tables.stages.filter("completion_ms IS NULL")
     assert kept.select("stage_id").distinct().count() == still_open.count()
     assert tasks.failed_attempts(kept).count() > 0
+
+
+def test_event_log_files_as_a_stream(spark, tables, tmp_path):
+    """Log files moved into a folder, one per application, give the failures of the batch."""
+    lines = _event_lines(tables.tasks)
+    for app in ("app_0", "app_1", "app_2", "app_3"):
+        lines.filter(F.col("app_id") == app).select("value").coalesce(1).write.text(
+            str(tmp_path / "in" / f"eventlog_v2_{app}")
+        )
+    _, out, checkpoint = paths(tmp_path)
+    stream = stream_ended_attempts(spark, str(tmp_path / "in"))
+    monitors.task_failures(stream, out, checkpoint).awaitTermination()
+    expected = failures.failure_alerts(tables.tasks).select(*ALERT_ORDER)
+    assert sorted(spark.read.parquet(out).select(*ALERT_ORDER).collect()) == sorted(expected.collect())
+
+
+def test_delivery_of_a_stream(spark, tables, tmp_path):
+    records = failure_records(tables.tasks)
+    stream = in_files(spark, records, str(tmp_path / "in"), ["eval_ms"], 2)
+    log, events = str(tmp_path / "log"), str(tmp_path / "events")
+    monitors.delivered(stream, log, str(tmp_path / "cp"), "graphite", events).awaitTermination()
+    assert spark.read.text(log).count() == records.count()
+    points = graphite_lines(records, "eval_ms div 1000").select("line")
+    assert sorted(r["value"] for r in spark.read.text(events).collect()) == sorted(r["line"] for r in points.collect())
