@@ -99,14 +99,18 @@ def task_rules(th: Thresholds = Thresholds()) -> dict[str, Rule]:
     return {rule.name: rule for rule in rules}
 
 
-def describe(stats: DataFrame, stages: DataFrame, callsites: DataFrame | None = None) -> DataFrame:
-    """Statistics with the stage name and, where known, the call site."""
-    named = stats.join(stages.select(*STAGE_KEYS, "name"), STAGE_KEYS, "left")
+def with_sites(named: DataFrame, callsites: DataFrame | None = None) -> DataFrame:
+    """Adds the call site of each stage, null where it is not known."""
     if callsites is None:
         return named.withColumn("callsite", F.lit(None).cast("string"))
     return named.join(callsites.select(*STAGE_KEYS, "callsite"), STAGE_KEYS, "left")
 
 
+def describe(stats: DataFrame, stages: DataFrame, callsites: DataFrame | None = None) -> DataFrame:
+    """Statistics with the stage name and, where known, the call site."""
+    return with_sites(stats.join(stages.select(*STAGE_KEYS, "name"), STAGE_KEYS, "left"), callsites)
+
+
 def one_rule(
     described: DataFrame, name: str, eval_ms: int | str, th: Thresholds = Thresholds(), only_running: bool = False
 ) -> DataFrame:

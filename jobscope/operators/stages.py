@@ -224,7 +224,10 @@ def stages_at(stages: DataFrame, at_ms: int | str) -> DataFrame:
 
 
 def half_finished(stages: DataFrame, finished: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Open stages (submitted, not completed) with enough ended attempts to judge them."""
+    """Open stages (submitted, not completed) with enough ended attempts to judge them.
+
+    ``finished`` has ``n_finished`` per stage; its other columns are kept, so whole statistics will do.
+    """
     return (
         stages.filter("submission_ms IS NOT NULL AND completion_ms IS NULL")
         .join(finished, STAGE_KEYS)

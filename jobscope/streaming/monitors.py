@@ -40,6 +40,7 @@ def inflight_monitor(
     out_path: str,
     checkpoint: str,
     at_ms: int | None = None,
+    callsites: DataFrame | None = None,
     th: Thresholds = Thresholds(),
     hot_rows: int | None = HOT_ROWS,
     every: str | None = INFLIGHT_PERIOD,
@@ -69,11 +70,10 @@ def inflight_monitor(
         open_stages = known.filter(F.col("completion_ms").isNull())
         carried = table.write(latest.join(open_stages, STAGE_KEYS, "left_semi"), batch_id)
 
-        view = tasks.snapshot_at(carried, now)
-        ready = stages.half_finished(known, stages.finished_counts(view), th)
-        judged = view.join(ready, STAGE_KEYS, "left_semi")
-        stats = stages.stage_stats(judged, now, th, hot_rows)
-        alerts = rules.task_alerts(rules.describe(stats, known), now, th, only_running=True)
+        # Finished attempts come with the statistics, so judging which stages are ready costs no pass.
+        stats = stages.stage_stats(tasks.snapshot_at(carried, now), now, th, hot_rows)
+        ready = rules.with_sites(stages.half_finished(known, stats, th), callsites)
+        alerts = rules.task_alerts(ready, now, th, only_running=True)
         append_batch(alerts, out_path, batch_id)
 
     return run(updates, on_batch, checkpoint, every=every)
