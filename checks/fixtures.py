@@ -159,6 +159,9 @@ def sql_over(spark: SparkSession, sql: str, base: Callable[[str], DataFrame]) ->
     return spark.sql(text, **used)
 
 
+_DEFINED: dict[int, tuple[SparkSession, dict[str, Tables]]] = {}
+
+
 class Tables:
     """The telemetry tables of one test directory."""
 
@@ -167,6 +170,12 @@ class Tables:
         self.sf_dir = sf_dir
         self._base = dict(replaced)
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        """The tables of a directory, defined once per session."""
+        known = _DEFINED.setdefault(id(spark), (spark, {}))[1]
+        return known.setdefault(sf_dir, cls(spark, sf_dir))
+
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
             self._base[name] = base_table(self.spark, self.sf_dir, name)

@@ -64,7 +64,7 @@ PERIODS = dict.fromkeys(["long_tail", "skew", "gc", "host", "heap"], 3)
 def over_tables(name: str):
     """Registers a query that is a function of the telemetry tables."""
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(Tables.of(spark, sf_dir))
         return build
 
     return register

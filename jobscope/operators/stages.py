@@ -100,6 +100,18 @@ def _ordinary(measures: DataFrame) -> DataFrame:
     )
 
 
+def _approximate(measures: DataFrame, accuracy: int) -> DataFrame:
+    """One aggregation with sketches of fixed size: order statistics within 1/accuracy of their rank."""
+    def sketch(m: str, ps: list[float], name: str) -> str:
+        return f"percentile_approx({m}, array({', '.join(f'{p}D' for p in ps)}), {accuracy}) AS {m}_{name}"
+
+    return measures.groupBy(*STAGE_KEYS).agg(*map(F.expr, [
+        *BOUNDED,
+        *[sketch(m, ps, "pct") for m, ps in PERCENTILES.items()],
+        *[sketch(m, FIVE_QUANTILES, "five") for m in FIVE_METRICS],
+    ]))
+
+
 def _hot(measures: DataFrame) -> DataFrame:
     """The same columns for hot stages: fixed-size aggregates, and order statistics by exact ranks."""
     base = measures.groupBy(*STAGE_KEYS).agg(*map(F.expr, BOUNDED))
@@ -152,6 +164,7 @@ def stage_stats(
     eval_ms: int | str,
     th: Thresholds = Thresholds(),
     hot_rows: int | None = HOT_ROWS,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """All per-stage statistics the rules use: one row per stage attempt, one pass over the tasks.
 
@@ -159,8 +172,14 @@ def stage_stats(
     The centre is the median, except for input, where it is the mean.  Columns a caller does not
     use are pruned together with their aggregates.  Hot stages get their percentiles another way, see
     :mod:`skew`; the look-up for them counts the attempts per stage at once.
+
+    With ``accuracy`` the order statistics are approximate (maxima and largest tasks stay exact) and
+    stages of any size take the same single pass.
     """
-    ordinary, hot = split_hot(_measures(tasks, eval_ms, th), STAGE_KEYS, hot_rows)
+    measures = _measures(tasks, eval_ms, th)
+    if accuracy is not None:
+        return _approximate(measures, accuracy).selectExpr(*STAGE_KEYS, *_statistics())
+    ordinary, hot = split_hot(measures, STAGE_KEYS, hot_rows)
     stats = _ordinary(ordinary)
     if hot is not None:
         stats = stats.unionByName(_hot(hot))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import EVAL_MS
 from jobscope.operators import lineage, stages
 from jobscope.operators.skew import exact_ranks, hot_keys, running_total, split_hot
-from jobscope.schemas import STAGE_RDDS
+from jobscope.schemas import STAGE_KEYS, STAGE_RDDS
 from jobscope.session import scratch_path
 
 
@@ -28,6 +28,18 @@ def test_hot_stages_have_the_same_statistics(tables):
         assert rows(stages.stage_stats(tables.tasks, EVAL_MS, hot_rows=limit)) == expected
 
 
+def test_approximate_statistics_keep_maxima_and_come_close(tables):
+    exact = stages.stage_stats(tables.tasks, EVAL_MS, hot_rows=None)
+    close = stages.stage_stats(tables.tasks, EVAL_MS, accuracy=10_000)
+    same = [c for c in exact.columns if c.endswith(("_max", "_task_id", "_bytes", "_running")) or c == "input_mid"]
+    assert rows(exact.select(*STAGE_KEYS, *same)) == rows(close.select(*STAGE_KEYS, *same))
+    # With this accuracy the rank is right; only the interpolation between two values is missing.
+    near = exact.alias("e").join(close.alias("c"), STAGE_KEYS)
+    apart = near.filter("abs(e.time_mid - c.time_mid) > 0.2 * e.time_mid + 5000")
+    assert apart.isEmpty()
+    assert near.filter("e.run_five[0] <> c.run_five[0] OR e.run_five[4] <> c.run_five[4]").isEmpty()
+
+
 def test_hot_keys_by_count_and_both_joins(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 100).alias("k"), "id")
     assert [r["k"] for r in hot_keys(df, ["k"], 100).collect()] == [0]
