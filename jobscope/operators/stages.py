@@ -77,7 +77,7 @@ def _interpolated(low: str, high: str, share: str) -> str:
 def _ordinary(measures: DataFrame) -> DataFrame:
     """Everything in one aggregation, for stages whose values fit a task.
 
-    Sorted lists give all order statistics; they cost a third of hash-based percentiles.  A rank in an
+    Sorted lists give all order statistics and are cheaper than hash-based percentiles.  A rank in an
     empty list is null.  Picking the values inside the aggregation keeps the conditions of the rules,
     which Spark moves down to it, short.
     """
