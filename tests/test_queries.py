@@ -43,4 +43,5 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["app_id", "event", "level"]
     assert df.count() > 0
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
