@@ -28,6 +28,7 @@ _MARKED = frozenset(
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
     "complementary contentinfo search alert".split()
 )
+_ARTICLE = frozenset("article article-body article-content content entry entry-content main main-content post post-content story".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary "
@@ -66,6 +67,12 @@ def _set_aside(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _holds_article(attributes: str) -> bool:
+    return any(
+        word in _ARTICLE for found in _MARK.finditer(attributes) for word in (found[1] or found[2] or found[3] or "").lower().split()
+    )
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
     """The blocks of a page in order: (text, number of the article or main element around it, 0 for none).
 
@@ -73,7 +80,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     """
     lines: list[tuple[str, int]] = []
     piece: list[str] = []
-    stack: list[str] = []
+    stack: list[tuple[str, bool]] = []
     articles: list[int] = []
     number, skipped, place = 0, None, 0
 
@@ -87,7 +94,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     def leave(depth: int) -> None:
         nonlocal skipped
         while len(stack) > depth:
-            if stack.pop() in ("article", "main") and skipped is None:
+            if stack.pop()[1]:
                 articles.pop()
             if skipped is not None and len(stack) <= skipped:
                 skipped = None
@@ -106,16 +113,16 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             if name in _BLOCKS and skipped is None:
                 end_line()
             for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] == name:
+                if stack[depth][0] == name:
                     leave(depth)
                     break
-                if skipped is not None and depth <= skipped and stack[depth] not in _OPEN_ENDED and name not in ("article", "main", "body", "html"):
+                if skipped is not None and depth <= skipped and stack[depth][0] not in _OPEN_ENDED and name not in ("article", "main", "body", "html"):
                     break  # a stray end tag inside a set-aside element does not end what is around it
             continue
         if name in _BLOCKS:
             if skipped is None:
                 end_line()
-            while stack and stack[-1] in _OPEN_ENDED and name in _OPEN_ENDED[stack[-1]]:
+            while stack and stack[-1][0] in _OPEN_ENDED and name in _OPEN_ENDED[stack[-1][0]]:
                 leave(len(stack) - 1)
         elif name == "br" and skipped is None:
             piece.append(" ")
@@ -129,10 +136,13 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             end_line()
             lines.extend([("", 0)] * WINDOW)
             skipped = len(stack)
-        elif skipped is None and name in ("article", "main"):
+        around = skipped is None and (
+            name in ("article", "main") or not articles and name in ("div", "section", "td") and _holds_article(attributes)
+        )
+        if around:
             number += 1
             articles.append(number)
-        stack.append(name)
+        stack.append((name, around))
     end_line()
     return lines
 

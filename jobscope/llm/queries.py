@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, sharding, url_filter
+from . import bpe, exact_dedup, html_text, quality, sharding, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_html_extraction": html_text.op8_html_extraction,
