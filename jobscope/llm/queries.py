@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, quality, sharding, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, near_dedup, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_html_extraction": html_text.op8_html_extraction,
+    "op9_minhash": near_dedup.op9_minhash,
     "op10_sharding": sharding.op10_sharding,
 }
 
