@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, near_dedup, quality, sharding, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
