@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_html_extraction": html_text.op8_html_extraction,
