@@ -143,37 +143,45 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(joined: DataFrame, with_text: bool) -> DataFrame:
-    """Contexts of texts (``node``, ``text``, ``places``: low, high, anchor, hot): shard key, digest, and the words or the place."""
-    schema = "shard bigint, digest binary, " + ("words binary" if with_text else "node binary, low int")
+    """Contexts of texts (``node``, ``text``, ``places``: low, high, anchor, hot): shard key, digest, and the place, or the
+    words with how often the batch has them, so that a passage of many texts is counted before it is exchanged."""
+    schema = "shard bigint, digest binary, " + ("words binary, n bigint" if with_text else "node binary, low int")
+
+    def pieces(text: str | None, listed: list) -> Iterator[tuple[int, bytes, bytes, int]]:
+        found = (text or "").encode().split()
+        for place in listed:
+            low, high = place["low"], place["high"]
+            for a, b in [(a, a) for a in range(low, high + 1)] if place["hot"] else [(low, high)]:
+                piece = b" ".join(found[a : b + WINDOW])
+                name = hashlib.blake2b(piece, digest_size=16).digest()
+                yield int.from_bytes(name[:8], "big", signed=True) if place["hot"] else place["anchor"], name, piece, a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, texts, places = (batch.column(i).to_pylist() for i in range(3))
-            for node, text, listed in zip(nodes, texts, places):
-                found = (text or "").encode().split()
-                shard, digest, other, start = [], [], [], []
-                for place in listed:
-                    low, high = place["low"], place["high"]
-                    cuts = [(a, a) for a in range(low, high + 1)] if place["hot"] else [(low, high)]
-                    for a, b in cuts:
-                        piece = b" ".join(found[a : b + WINDOW])
-                        name = hashlib.blake2b(piece, digest_size=16).digest()
-                        shard.append(int.from_bytes(name[:8], "big", signed=True) if place["hot"] else place["anchor"])
-                        digest.append(name)
-                        other.append(piece if with_text else node)
-                        start.append(a)
-                columns = [pa.array(shard, pa.int64()), pa.array(digest, pa.binary()), pa.array(other, pa.binary())]
-                names = ["shard", "digest", "words" if with_text else "node"]
-                if not with_text:
-                    columns.append(pa.array(start, pa.int32()))
-                    names.append("low")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            if with_text:
+                seen: dict[tuple[int, bytes], list] = {}
+                for _, text, listed in rows:
+                    for shard, name, piece, _ in pieces(text, listed):
+                        seen.setdefault((shard, name), [piece, 0])[1] += 1
+                columns = [[k for k, _ in seen], [d for _, d in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]]
+                kinds, names = (pa.int64(), pa.binary(), pa.binary(), pa.int64()), ["shard", "digest", "words", "n"]
+            else:
+                columns = [[], [], [], []]
+                for node, text, listed in rows:
+                    for shard, name, _, start in pieces(text, listed):
+                        for column, value in zip(columns, (shard, name, node, start)):
+                            column.append(value)
+                kinds, names = (pa.int64(), pa.binary(), pa.binary(), pa.int32()), ["shard", "digest", "node", "low"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return joined.select("node", "text", "places").mapInArrow(run, schema)
 
 
 def _streamed(contexts: DataFrame) -> DataFrame:
-    """``shard``, ``digest``, ``starts`` of the distinct contexts that have repeated windows (``shard``, ``digest``, ``words``, ``n``)."""
+    """``shard``, ``digest``, ``starts`` of the distinct contexts that have repeated windows.
+
+    ``contexts`` (``shard``, ``digest``, ``words``, ``n``) may list a context several times, once for each batch."""
 
     def answer(group: list[tuple[bytes, bytes, int]]) -> Iterator[tuple[bytes, list[int]]]:
         sequences = [(digest, words.split(b" "), n) for digest, words, n in group]
@@ -208,7 +216,10 @@ def _streamed(contexts: DataFrame) -> DataFrame:
                 if key != shard:
                     flush()
                     shard, group = key, []
-                group.append((digest, words, n))
+                if group and group[-1][0] == digest:
+                    group[-1] = (digest, words, group[-1][2] + n)
+                else:
+                    group.append((digest, words, n))
             yield made()
         flush()
         yield made()
@@ -267,11 +278,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = materialise(
         found.join(several, "anchor").groupBy("node").agg(F.collect_set(F.struct("low", "high", "anchor", "hot")).alias("places")), "anchors"
     )
-    # One exchange of the distinct texts serves all three joins below.
-    texts = rows.groupBy("node").agg(F.min("text").alias("text"))
+    # One exchange of the distinct texts serves all three joins below; the filter, which joins would add to some of them
+    # alone, keeps their plans equal.
+    texts = rows.groupBy("node").agg(F.min("text").alias("text")).where(F.col("node").isNotNull())
     placed = texts.join(places, "node")
-    distinct = _contexts(placed, True).groupBy("shard", "digest", "words").agg(F.count("*").alias("n"))
-    answers = _streamed(distinct.repartition(n_parts, "shard"))
+    answers = _streamed(_contexts(placed, True).repartition(n_parts, "shard"))
     spans = (
         _contexts(placed, False).join(answers, ["shard", "digest"])
         .select("node", F.explode(F.transform("starts", lambda s: s + F.col("low"))).alias("start"))
