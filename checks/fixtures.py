@@ -74,7 +74,7 @@ SELECT app_id, stage_id, stage_attempt_id, 'stage_' || stage_id AS name, count(*
   CASE WHEN stage_id % 8 = 7 THEN 'aborted' END AS failure_reason
 FROM fx_tasks GROUP BY app_id, stage_id, stage_attempt_id""",
     "fx_stage_parents": """
-SELECT app_id, stage_id, stage_id - 1 AS parent_id FROM fx_stages WHERE stage_id % 3 <> 0
+SELECT app_id, stage_id, stage_id - 4 AS parent_id FROM fx_stages WHERE stage_id % 3 <> 0
 UNION ALL SELECT app_id, stage_id, stage_id + 1000 AS parent_id FROM fx_stages WHERE stage_id % 3 = 2""",
     "fx_executors": """
 SELECT DISTINCT app_id, executor_id, host, 2 AS cores, 1704067200000 - 3600000 AS added_ms,
@@ -92,8 +92,9 @@ SELECT app_id, 'job of ' || app_id AS app_name, 'analyst' AS user_name, 'default
 FROM fx_tasks GROUP BY app_id""",
     "fx_rdds": """
 SELECT CAST(p_partkey % 48 AS INT) AS stage_id, p_partkey AS rdd_id, 'op at job.py:' || p_partkey AS callsite FROM part""",
+    # A third of the links lead to a higher id, as after a checkpoint; no walk comes back to where it was.
     "fx_rdd_parents": """
-SELECT CAST(p_partkey % 48 AS INT) AS stage_id, p_partkey AS rdd_id, p_partkey - CASE WHEN p_size % 10 = 1 THEN 47 ELSE 48 END AS parent_id FROM part
+SELECT CAST(p_partkey % 48 AS INT) AS stage_id, p_partkey AS rdd_id, p_partkey + CASE WHEN p_size % 10 = 1 THEN -47 WHEN CAST(floor(p_partkey / 48) AS BIGINT) % 3 = 1 THEN 48 ELSE -96 END AS parent_id FROM part
 UNION ALL SELECT CAST(p_partkey % 48 AS INT), p_partkey, p_partkey - 96 FROM part WHERE p_size % 10 = 0""",
     # The tables made from events share one clock: event n happens in second n.
     "fx_samples": """

@@ -173,7 +173,7 @@ SELECT stage_id, max(rdd_id) AS rdd_id FROM fx_rdds GROUP BY stage_id
 UNION ALL SELECT w.stage_id, n.parent_id FROM ox_walk w JOIN ox_next n ON n.stage_id = w.stage_id AND n.rdd_id = w.rdd_id""",
     "ox_sites": """
 SELECT 'app_' || (s.stage_id % 4) AS app_id, s.stage_id, 0 AS stage_attempt_id, r.rdd_id, r.callsite
-FROM (SELECT stage_id, min(rdd_id) AS rdd_id FROM ox_walk GROUP BY stage_id) s
+FROM (SELECT stage_id, rdd_id FROM ox_walk ANTI JOIN ox_next USING (stage_id, rdd_id)) s
 JOIN fx_rdds r ON r.stage_id = s.stage_id AND r.rdd_id = s.rdd_id""",
     "ox_described": """
 SELECT s.*, g.name, c.callsite FROM ox_stats s JOIN fx_stages g USING (app_id, stage_id, stage_attempt_id)
@@ -192,7 +192,7 @@ FROM ox_stats WHERE {FIRES['long_tail']} AND time_host <> ''
     ),
     "ox_parents": """
 SELECT s.app_id, s.stage_id, s.stage_attempt_id, s.name, s.num_tasks, s.submission_ms, sum(w.shuffle_write_bytes) AS parent_shuffle_bytes
-FROM fx_stages s JOIN fx_stage_parents p ON p.stage_id = s.stage_id JOIN ox_stats w ON w.stage_id = p.parent_id
+FROM fx_stages s JOIN fx_stage_parents p ON p.app_id = s.app_id AND p.stage_id = s.stage_id JOIN ox_stats w ON w.app_id = p.app_id AND w.stage_id = p.parent_id
 GROUP BY ALL HAVING sum(w.shuffle_write_bytes) > 0""",
     "ox_size": """
 SELECT app_id, key, value, CASE WHEN value LIKE '%g' THEN CAST(replace(value, 'g', '') AS BIGINT) * 1073741824
@@ -243,8 +243,9 @@ LEFT JOIN ox_flags k USING (app_id, stage_id, stage_attempt_id) LEFT JOIN ox_con
     "ox_heap_alerts": f"""
 SELECT app_id, 'EXECUTOR_INFO' AS event, 'WARN' AS level, 'heap_pressure' AS rule, CAST(NULL AS INT) AS stage_id,
   CAST(NULL AS INT) AS stage_attempt_id, CAST(NULL AS BIGINT) AS task_id, executor_id, ts_ms AS eval_ms, 11 AS rule_ord,
-  'executor_' || executor_id || ' max memory is 1.00 GB, current heap memory is ' || {fmt_bytes('heap_used')} AS message
-FROM fx_samples WHERE heap_used * 1e0 / 1073741824 > 0.9e0""",
+  'executor_' || executor_id || ' max memory is ' || {fmt_bytes('lim')} || ', current heap memory is ' || {fmt_bytes('heap_used')} AS message
+FROM (SELECT s.*, coalesce(c.executor_memory, 1073741824) AS lim FROM fx_samples s LEFT JOIN ox_config c USING (app_id))
+WHERE heap_used * 1e0 / lim > 0.9e0""",
     "ox_nth_poll": """
 SELECT app_id, executor_id, ts_ms, row_number() OVER (PARTITION BY app_id, executor_id ORDER BY ts_ms) AS nth FROM fx_polls WHERE NOT ok""",
     "ox_lost": f"""
@@ -285,7 +286,7 @@ FROM ox_context WHERE {OOM}""",
     "ox_names": "SELECT nodename AS host, min(instance) AS instance FROM fx_host_names GROUP BY nodename",
     "ox_hosts": "SELECT DISTINCT host FROM fx_executors",
     "ox_latest": """
-SELECT instance, metric, max_by(value, ts_ms) AS value FROM fx_host_samples GROUP BY instance, metric""",
+SELECT instance, metric, max_by(value, ts_ms) AS value FROM fx_host_samples WHERE ts_ms <= 600000 AND ts_ms > 300000 GROUP BY instance, metric""",
     "ox_ticks": """
 SELECT *, CAST(ceil(ts_ms / 300000e0) AS BIGINT) * 300000 AS eval_ms FROM fx_host_samples""",
     "ox_cpu_ticks": f"SELECT * FROM ox_ticks WHERE metric = 'node_cpu' AND mode IN {CPU_MODES}",

@@ -58,6 +58,8 @@ ALERT = [
     "eval_ms", "rule_ord", "message",
 ]
 # Periods of the throttle queries: with the default ones hardly an alert would be left.
+# Evaluation time on the clock of the events.
+LOOK_MS = 600_000
 PERIODS = dict.fromkeys(["long_tail", "skew", "gc", "host", "heap"], 3)
 
 
@@ -83,7 +85,7 @@ def _telemetry(t: Tables) -> Telemetry:
 
 
 def _diagnose(t: Tables) -> DataFrame:
-    return diagnose(_telemetry(t), EVAL_MS, parent_keys=())
+    return diagnose(_telemetry(t), EVAL_MS)
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -277,7 +279,7 @@ def _(t):
 
 @over_tables("stage_parent_shuffle")
 def _(t):
-    found = stages.parent_shuffle(t.stages_with_parents, stages.stage_bytes(t.tasks), ())
+    found = stages.parent_shuffle(t.stages_with_parents, stages.stage_bytes(t.tasks))
     return found.select("app_id", "stage_id", "num_tasks", "parent_shuffle_bytes")
 
 
@@ -403,12 +405,12 @@ def _(t):
 
 @over_tables("diag_shuffle_read_notice")
 def _(t):
-    return rules.shuffle_read_notices(t.stages_with_parents, stages.stage_bytes(t.tasks), ()).select(*ALERT)
+    return rules.shuffle_read_notices(t.stages_with_parents, stages.stage_bytes(t.tasks)).select(*ALERT)
 
 
 @over_tables("diag_heap_pressure")
 def _(t):
-    return executors.heap_pressure(t.samples).select(*ALERT)
+    return executors.heap_pressure(t.samples, applications.app_configs(t.conf)).select(*ALERT)
 
 
 @over_tables("diag_unexplained_straggler")
@@ -443,7 +445,9 @@ def _(t):
 
 @over_tables("alert_throttle")
 def _(t):
-    alerts = rules.task_alerts(_described(t), EVAL_MS).unionByName(executors.heap_pressure(t.samples))
+    alerts = rules.task_alerts(_described(t), EVAL_MS).unionByName(
+        executors.heap_pressure(t.samples, applications.app_configs(t.conf))
+    )
     return throttle.throttle(materialise(alerts, "alerts"), PERIODS).select(*ALERT)
 
 
@@ -468,7 +472,7 @@ def _(t):
 
 @over_tables("host_load")
 def _(t):
-    return hosts.host_load(_hosts(t), t.host_names, t.host_samples)
+    return hosts.host_load(_hosts(t), t.host_names, t.host_samples, LOOK_MS)
 
 
 @over_tables("host_cpu_usage")
@@ -478,7 +482,7 @@ def _(t):
 
 @over_tables("host_memory_available")
 def _(t):
-    return hosts.host_memory_available(_hosts(t), t.host_names, t.host_samples)
+    return hosts.host_memory_available(_hosts(t), t.host_names, t.host_samples, LOOK_MS)
 
 
 @over_tables("host_io_rate")
@@ -601,7 +605,7 @@ def _(t):
     samples = _streamed(t, "events").samples
     running = [
         monitors.heap_stats(samples, stats_out, stats_checkpoint),
-        monitors.heap_alerts(samples, alert_out, alert_checkpoint),
+        monitors.heap_alerts(samples, alert_out, alert_checkpoint, applications.app_configs(t.conf)),
     ]
     for query in running:
         query.awaitTermination()
@@ -613,7 +617,7 @@ def _(t):
 @over_tables("stream_alert_throttle")
 def _(t):
     state, out, checkpoint = _paths(t.spark)
-    alerts = executors.heap_pressure(_streamed(t, "events").samples)
+    alerts = executors.heap_pressure(_streamed(t, "events").samples, applications.app_configs(t.conf))
     monitors.throttled_alerts(alerts, state, out, checkpoint, PERIODS).awaitTermination()
     return t.spark.read.parquet(out).select(*ALERT)
 

@@ -139,11 +139,11 @@ def host_cpu_usage(samples: DataFrame, names: DataFrame, step_ms: int = LOOKBACK
     ).select("host", "eval_ms", "mode", "usage")
 
 
-def _latest(samples: DataFrame, metrics: dict[str, str], at_ms: int | None) -> DataFrame:
-    """Latest value of some metrics per instance, as columns; combined before the shuffle."""
-    kept = samples.filter(F.col("metric").isin(list(metrics.values())))
-    if at_ms is not None:
-        kept = kept.filter(F.col("ts_ms") <= at_ms)
+def _latest(samples: DataFrame, metrics: dict[str, str], at_ms: int) -> DataFrame:
+    """Latest value of some metrics per instance, as columns; older than the look-back is nothing."""
+    kept = samples.filter(
+        F.col("metric").isin(list(metrics.values())) & (F.col("ts_ms") <= at_ms) & (F.col("ts_ms") > at_ms - LOOKBACK_MS)
+    )
     return kept.groupBy("instance").agg(
         *[
             F.max_by("value", F.when(F.col("metric") == name, F.col("ts_ms"))).alias(out)
@@ -152,17 +152,13 @@ def _latest(samples: DataFrame, metrics: dict[str, str], at_ms: int | None) -> D
     )
 
 
-def host_load(
-    hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int | None = None
-) -> DataFrame:
-    """Latest load averages of each host; null for a host without an instance."""
+def host_load(hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int) -> DataFrame:
+    """Load averages of each host at a time; null for a host without an instance or a sample of the last 5 minutes."""
     loads = _latest(samples, LOADS, at_ms)
     return resolve_hosts(hosts, names).join(loads, "instance", "left").select("host", *LOADS)
 
 
-def host_memory_available(
-    hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int | None = None
-) -> DataFrame:
+def host_memory_available(hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int) -> DataFrame:
     """Available memory, else free + buffers + cached, else 0."""
     parts = {"available": AVAILABLE, "free": FREE_PARTS[0], "buffers": FREE_PARTS[1], "cached": FREE_PARTS[2]}
     latest = _latest(samples, parts, at_ms)

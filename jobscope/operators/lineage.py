@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import STAGE_KEYS
-from ..session import ensure_checkpoint_dir
-from ..settings import HOT_ROWS
-from .skew import split_hot
 
 
 def _next_rdds(rdds: DataFrame) -> DataFrame:
@@ -19,58 +16,33 @@ def _next_rdds(rdds: DataFrame) -> DataFrame:
     return pointers.join(members, [*STAGE_KEYS, "parent_id"], "left").select(*STAGE_KEYS, "rdd_id", "next_id")
 
 
-def _walk_in_rows(pointers: DataFrame) -> DataFrame:
-    """Ordinary stages: the pointers of a stage as one array, walked by a fold.
+def _walk(pointers: DataFrame) -> DataFrame:
+    """The pointers of a stage as one map, followed from its highest RDD id, in whatever order ids lie.
 
-    Parents have lower ids than children, so one pass in falling id order follows the whole path.
+    A stage's RDDs were one record of the log, so they fit a row.  A walk has at most as many steps as the stage has
+    RDDs; one that runs in a circle ends with the last of them.
     """
-    steps = F.sort_array(F.collect_list(F.struct("rdd_id", "next_id")), asc=False)
+    steps = F.collect_list(F.when(F.col("next_id").isNotNull(), F.struct("rdd_id", "next_id")))
+    gathered = pointers.groupBy(*STAGE_KEYS).agg(F.map_from_entries(steps).alias("steps"), F.max("rdd_id").alias("top"))
     stop = F.aggregate(
-        "steps",
-        F.struct(F.col("steps")[0]["rdd_id"].alias("at"), F.lit(False).alias("done")),
-        lambda state, step: F.when(
-            state["done"] | (step["rdd_id"] != state["at"]), state
-        ).otherwise(
-            F.struct(F.coalesce(step["next_id"], state["at"]).alias("at"),
-                     step["next_id"].isNull().alias("done"))
+        F.sequence(F.lit(0), F.size("steps")),
+        F.struct(F.col("top").alias("at"), F.lit(False).alias("done")),
+        lambda state, _: F.when(state["done"], state).otherwise(
+            F.struct(F.coalesce(F.try_element_at("steps", state["at"]), state["at"]).alias("at"),
+                     F.try_element_at("steps", state["at"]).isNull().alias("done"))
         ),
         lambda state: state["at"],
     )
-    return pointers.groupBy(*STAGE_KEYS).agg(steps.alias("steps")).select(*STAGE_KEYS, stop.alias("rdd_id"))
+    return gathered.select(*STAGE_KEYS, stop.alias("rdd_id"))
 
 
-def _walk_by_doubling(pointers: DataFrame) -> DataFrame:
-    """Hot stages: every pointer jumps over its target's pointer until no jump is left.
-
-    Rounds grow with the logarithm of the longest path.  Each round is checkpointed to the shared
-    folder, so neither the plan nor the recomputation after a lost executor grows with the rounds.
-    """
-    ensure_checkpoint_dir(pointers.sparkSession)
-    current = pointers.checkpoint()
-    while True:
-        far = current.select(*STAGE_KEYS, F.col("rdd_id").alias("next_id"), F.col("next_id").alias("far_id"))
-        jumped = current.join(far, [*STAGE_KEYS, "next_id"], "left")
-        current = jumped.select(
-            *STAGE_KEYS, "rdd_id", F.coalesce("far_id", "next_id").alias("next_id"),
-            F.col("far_id").isNotNull().alias("moved"),
-        ).checkpoint()
-        if current.filter("moved").isEmpty():
-            break
-    leaf = F.max(F.struct("rdd_id", F.coalesce("next_id", "rdd_id").alias("stop_id")))
-    return current.groupBy(*STAGE_KEYS).agg(leaf["stop_id"].alias("rdd_id"))
-
-
-def stage_callsites(rdds: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def stage_callsites(rdds: DataFrame) -> DataFrame:
     """``(stage, rdd_id, callsite)`` of the RDD where the walk from the highest RDD id stops.
 
     The walk goes on while the RDD has exactly one parent and that parent is in the stage.  A stage
-    without RDDs has no row.  ``hot_rows=None`` skips the look-up for hot stages where lineages are
-    known to be small, as they are in a table made from event logs: all RDDs of a stage were one record.
+    without RDDs has no row.
     """
-    ordinary, hot = split_hot(_next_rdds(rdds), STAGE_KEYS, hot_rows, counted=rdds)
-    stops = _walk_in_rows(ordinary)
-    if hot is not None:
-        stops = stops.unionByName(_walk_by_doubling(hot))
+    stops = _walk(_next_rdds(rdds))
     return stops.join(rdds.select(*STAGE_KEYS, "rdd_id", "callsite"), [*STAGE_KEYS, "rdd_id"]).select(
         *STAGE_KEYS, "rdd_id", "callsite"
     )

@@ -189,11 +189,9 @@ def scheduler_delay_alerts(stats: DataFrame, eval_ms: int | str, th: Thresholds
     return _stage_alert(heavy, "scheduler_delay", "WARN", "bigint(NULL)", time_sql(eval_ms), message)
 
 
-def shuffle_read_notices(
-    stages: DataFrame, written: DataFrame, join_keys: tuple[str, ...] = ("app_id",)
-) -> DataFrame:
+def shuffle_read_notices(stages: DataFrame, written: DataFrame) -> DataFrame:
     """What a stage is about to read from its parents, at its submission."""
-    found = parent_shuffle(stages, written, join_keys)
+    found = parent_shuffle(stages, written)
     message = message_sql(TEXTS["shuffle_read_notice"], size=fmt_bytes_sql("parent_shuffle_bytes"))
     return _stage_alert(found, "shuffle_read_notice", "INFO", "bigint(NULL)", "submission_ms", message)
 

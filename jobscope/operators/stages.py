@@ -265,22 +265,19 @@ def stage_summary(stages: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def parent_shuffle(
-    stages: DataFrame, written: DataFrame, join_keys: tuple[str, ...] = ("app_id",)
-) -> DataFrame:
+def parent_shuffle(stages: DataFrame, written: DataFrame) -> DataFrame:
     """Shuffle bytes written by the parents of each stage; only stages where that is above 0.
 
     ``written`` has ``(app_id, stage_id, stage_attempt_id, shuffle_write_bytes)``; of a retried
-    parent the last attempt counts, an unknown parent counts as 0.  ``join_keys`` names what a stage
-    shares with its parents besides the parent id.
+    parent the last attempt counts, an unknown parent counts as 0.  Parents are stages of the same
+    application.
     """
-    keys = list(join_keys)
     last = "max(struct(stage_attempt_id, shuffle_write_bytes)).shuffle_write_bytes AS parent_bytes"
-    per_stage = written.groupBy(*keys, F.col("stage_id").alias("parent_id")).agg(F.expr(last))
+    per_stage = written.groupBy("app_id", F.col("stage_id").alias("parent_id")).agg(F.expr(last))
     stage = [*STAGE_KEYS, "name", "num_tasks", "submission_ms"]
     links = stages.selectExpr(*stage, "explode(parent_ids) AS parent_id")
     return (
-        links.join(per_stage, [*keys, "parent_id"])
+        links.join(per_stage, ["app_id", "parent_id"])
         .groupBy(*stage)
         .agg(F.sum("parent_bytes").alias("parent_shuffle_bytes"))
         .filter("parent_shuffle_bytes > 0")

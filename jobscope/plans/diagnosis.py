@@ -38,7 +38,6 @@ def diagnose(
     eval_ms: int,
     th: Thresholds = Thresholds(),
     only_running: bool = False,
-    parent_keys: tuple[str, ...] = ("app_id",),
     hot_rows: int | None = HOT_ROWS,
     heap_limits: DataFrame | None = None,
 ) -> DataFrame:
@@ -46,9 +45,10 @@ def diagnose(
 
     The task table is aggregated once.  The result, one row per stage, feeds the stage rules, the
     parent notice, the skew flags and the out-of-memory report, so it is written to the shared
-    folder: small next to the tasks, and safe when executors are lost.
+    folder: small next to the tasks, and safe when executors are lost.  Heap alerts compare with the
+    configured executor memory; ``heap_limits`` (``app_id``, ``executor_memory``) overrides it.
     """
-    sites = None if t.rdds is None else lineage.stage_callsites(t.rdds, hot_rows)
+    sites = None if t.rdds is None else lineage.stage_callsites(t.rdds)
     stats = stages.stage_stats(t.tasks, eval_ms, th, hot_rows)
     described = materialise(rules.describe(stats, t.stages, sites), "stage-stats")
 
@@ -57,7 +57,7 @@ def diagnose(
         failures.failure_alerts(t.tasks),
     ]
     if "parent_ids" in t.stages.columns:
-        found.append(rules.shuffle_read_notices(t.stages, described, parent_keys))
+        found.append(rules.shuffle_read_notices(t.stages, described))
     if t.host_samples is not None:
         names = hosts.host_names(t.host_samples) if t.host_names is None else t.host_names
         stragglers = rules.unexplained_stragglers(described, eval_ms, th, only_running)
@@ -68,7 +68,8 @@ def diagnose(
         context = failures.failure_context(failures.oom_attempts(t.tasks), known)
         found.append(failures.oom_reports(context))
     if t.samples is not None:
-        found.append(executors.heap_pressure(t.samples, heap_limits, th))
+        limits = applications.app_configs(t.app_conf) if heap_limits is None and t.app_conf is not None else heap_limits
+        found.append(executors.heap_pressure(t.samples, limits, th))
     if t.polls is not None:
         found.append(executors.lost_executors(t.polls, t.samples, th))
     return stages.union_all(*[df.select(*DIAGNOSTIC_COLUMNS) for df in found])

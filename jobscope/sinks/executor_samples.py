@@ -8,10 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def _lines(samples: DataFrame) -> DataFrame:
-    return samples.select(
-        "app_id", "executor_id",
-        F.col("ts_ms").alias("epochMillis"), F.col("heap_used").cast("double").alias("heapMemoryTotalUsed"),
-    )
+    """One JSON line per sample: as it came where ``raw`` is there, else its time and heap."""
+    line = F.to_json(F.struct(F.col("ts_ms").alias("epochMillis"), F.col("heap_used").cast("double").alias("heapMemoryTotalUsed")))
+    if "raw" in samples.columns:
+        line = F.coalesce("raw", line)
+    return samples.select("app_id", "executor_id", line.alias("value"))
 
 
 def write_executor_samples(samples: DataFrame, root: str) -> None:
@@ -21,13 +22,13 @@ def write_executor_samples(samples: DataFrame, root: str) -> None:
     that is much larger than the others.
     """
     lines = _lines(samples).hint("rebalance", "app_id", "executor_id")
-    lines.write.mode("append").partitionBy("app_id", "executor_id").json(root)
+    lines.write.mode("append").partitionBy("app_id", "executor_id").text(root)
 
 
 def stream_executor_samples(samples: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """The same from a stream, exactly once."""
     return (
-        _lines(samples).writeStream.format("json").partitionBy("app_id", "executor_id")
+        _lines(samples).writeStream.format("text").partitionBy("app_id", "executor_id")
         .option("path", root).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -103,10 +103,11 @@ def progress_totals(written: DataFrame) -> DataFrame:
 
 
 def heap_alerts(
-    samples: DataFrame, out_path: str, checkpoint: str, th: Thresholds = Thresholds(), every: str | None = None
+    samples: DataFrame, out_path: str, checkpoint: str, app_configs: DataFrame | None = None,
+    th: Thresholds = Thresholds(), every: str | None = None,
 ) -> StreamingQuery:
-    """Heap pressure alerts as samples arrive."""
-    alerts = executors.heap_pressure(samples, None, th)
+    """Heap pressure alerts as samples arrive, against the configured memory where ``app_configs`` is given."""
+    alerts = executors.heap_pressure(samples, app_configs, th)
     return run(alerts, lambda df, i: append_batch(df, out_path, i), checkpoint, every=every)
 
 

@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     [
         ("diag_long_tail", 17), ("diag_shuffle_read_skew", 10), ("diag_shuffle_write_skew", 12),
         ("diag_input_skew", 10), ("diag_gc_overhead", 9), ("diag_scheduler_delay", 8),
-        ("diag_shuffle_read_notice", 30), ("diag_heap_pressure", 7), ("diag_executor_lost", 10),
+        ("diag_shuffle_read_notice", 28), ("diag_heap_pressure", 2), ("diag_executor_lost", 10),
         ("gate_half_finished", 15), ("stage_summary", 18), ("stage_rdd_callsite", 48),
     ],
 )

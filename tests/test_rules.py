@@ -222,10 +222,13 @@ def test_memory_falls_back_and_unresolved_hosts(spark):
             ("node_memory_Cached", "i", None, None, 1, 1.0), ("node_memory_MemFree", "j", None, None, 1, 9.0)]
     names = spark.createDataFrame([("h1", "i"), ("h1", "k"), ("h2", "j")], "nodename string, instance string")
     known = spark.createDataFrame([("h1",), ("h2",), ("h3",)], "host string")
-    found = hosts.host_memory_available(known, names, samples_of(spark, rows)).collect()
+    found = hosts.host_memory_available(known, names, samples_of(spark, rows), 1000).collect()
     assert {r["host"]: r["available_bytes"] for r in found} == {"h1": 8, "h2": 0, "h3": 0}
-    loads = hosts.host_load(known, names, samples_of(spark, rows)).collect()
+    loads = hosts.host_load(known, names, samples_of(spark, rows), 1000).collect()
     assert all(r["load1"] is None for r in loads) and len(loads) == 3
+    stale = samples_of(spark, [("node_load1", "i", None, None, 1, 7.0)])
+    assert {r["host"]: r["load1"] for r in hosts.host_load(known, names, stale, 1000).collect()}["h1"] == 7.0
+    assert all(r["load1"] is None for r in hosts.host_load(known, names, stale, 86_400_000).collect())
 
 
 def test_diagnose_with_only_tasks_and_stages(tables):

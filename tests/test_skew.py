@@ -97,20 +97,25 @@ def test_callsites_of_random_lineages(spark):
         expected[stage] = brute_callsite(graph)
         data += [("a", stage, 0, rdd, parents, f"site {rdd}") for rdd, parents in graph.items()]
     df = spark.createDataFrame(data, STAGE_RDDS)
-    for limit in (None, 30, 1):
-        found = lineage.stage_callsites(df, hot_rows=limit).collect()
-        assert {r["stage_id"]: r["rdd_id"] for r in found} == expected
-        assert all(r["callsite"] == f"site {r['rdd_id']}" for r in found)
+    found = lineage.stage_callsites(df).collect()
+    assert {r["stage_id"]: r["rdd_id"] for r in found} == expected
+    assert all(r["callsite"] == f"site {r['rdd_id']}" for r in found)
 
 
-def test_long_chain_by_doubling(spark):
+def test_links_to_higher_ids_and_circles(spark):
+    graphs = {1: {5: [2], 2: [4], 4: [3], 3: []}, 2: {7: [6], 6: [7]}, 3: {9: [9]}, 4: {8: [3], 3: [5], 5: [4], 4: [3]}}
+    data = [("a", s, 0, rdd, parents, f"site {rdd}") for s, graph in graphs.items() for rdd, parents in graph.items()]
+    found = {r["stage_id"]: r["rdd_id"] for r in lineage.stage_callsites(spark.createDataFrame(data, STAGE_RDDS)).collect()}
+    assert found[1] == 3 and found[2] in (6, 7) and found[3] == 9 and found[4] in (3, 4, 5)
+
+
+def test_long_chain(spark):
     df = spark.range(5000).select(
         F.lit("a").alias("app_id"), F.lit(1).alias("stage_id"), F.lit(0).alias("stage_attempt_id"),
         F.col("id").alias("rdd_id"), F.when(F.col("id") > 17, F.array(F.col("id") - 1)).alias("parent_ids"),
         F.col("id").cast("string").alias("callsite"),
     )
-    for limit in (None, 1):
-        assert lineage.stage_callsites(df, hot_rows=limit).first()["rdd_id"] == 17
+    assert lineage.stage_callsites(df).first()["rdd_id"] == 17
 
 
 def test_intermediate_tables_lie_in_the_shared_folder(spark):

@@ -89,6 +89,7 @@ def test_executor_samples_from_a_stream(spark, tables, tmp_path):
     tables.samples.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(tables.samples.schema).parquet(str(tmp_path / "in"))
     stream_executor_samples(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert all("\n" not in r["raw"] for r in read_executor_samples(spark, str(tmp_path / "out")).collect())
     back = read_executor_samples(spark, str(tmp_path / "out")).select("app_id", "executor_id", "ts_ms", "heap_used")
     assert sorted(back.collect()) == sorted(tables.samples.select(*back.columns).collect())
 
@@ -132,3 +133,10 @@ def test_delivery_to_folders(spark, tables, tmp_path):
     assert events.count() == records.count() and "CHANNEL@SPARK@APP_START" in {
         r["channel"] for r in events.select("channel").distinct().collect()
     }
+
+
+def test_written_samples_keep_their_other_fields(spark, tmp_path):
+    line = '{"epochMillis":5,"heapMemoryTotalUsed":7.0,"threads":12}'
+    samples = spark.createDataFrame([("a", "1", 5, 7, line)], "app_id string, executor_id string, ts_ms bigint, heap_used bigint, raw string")
+    write_executor_samples(samples, str(tmp_path / "kept"))
+    assert [r["raw"] for r in read_executor_samples(spark, str(tmp_path / "kept")).collect()] == [line]
