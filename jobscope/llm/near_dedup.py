@@ -25,6 +25,9 @@ SIMILARITY = 0.8
 # At 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
 CELLS = 1 << 18
+# How much more a shingle of one document weighs than one of all.  A full inverse frequency would push a class apart by
+# its own size: where a third of all documents are near copies, what they share weighs next to nothing.
+LEAN = 0.1
 # How often classes that still share a bucket are compared by further members.
 ROUNDS = 3
 
@@ -73,7 +76,7 @@ def _cell(key: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln(1 + N / df) per cell over all rows of the one text column."""
+    """1 + LEAN * ln(1 + N / df) / ln(1 + N) per cell over all rows of the one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.int64)
@@ -90,7 +93,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     cells = total[total["cell"] >= 0]
     df[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     n = int(total.loc[total["cell"] < 0, "n"].sum())
-    return np.log1p(max(n, 1) / df).astype(np.float32)
+    return (1 + LEAN * np.log1p(max(n, 1) / df) / np.log1p(max(n, 1))).astype(np.float32)
 
 
 def band_keys(piece: W.Piece, idf: np.ndarray) -> np.ndarray:
