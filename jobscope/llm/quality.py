@@ -160,47 +160,60 @@ def estimate_prior(positive: np.ndarray, everything: np.ndarray) -> float:
     return float(np.clip((u[fair] / np.maximum(p[fair] - slack * np.sqrt(1 - p[fair]), 1e-9)).min(), 0.01, 0.99))
 
 
-def _sampled_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    picked = docs.join(F.broadcast(ids), id_col, "left_semi").select(text_col)
+def _half(id_col: str) -> "F.Column":
+    return F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)).cast("int")
+
+
+def _sampled_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and half of the sampled rows, in an order that does not depend on how they came in."""
+    picked = docs.join(F.broadcast(ids), id_col, "left_semi").select(text_col, _half(id_col).alias("half"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary()), batch.column(1)], names=["x", "half"])
 
-    rows = picked.mapInArrow(run, "x binary").collect()
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, WIDTH)
+    rows = picked.mapInArrow(run, "x binary, half int").collect()
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, WIDTH)
+    order = np.lexsort(x.T[:64])
+    return x[order], np.array([r["half"] for r in rows], dtype=int)[order]
 
 
 def fit(docs: DataFrame, positive_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Linear | None, float]:
     """The model and the class prior.  ``positive_ids`` has the ids of the trusted positives; None without any.
 
     MAX_POSITIVES and MAX_UNLABELLED bound the rows the driver fits on, each drawn by a hash of the id; the prior counts
-    all documents.
+    all documents.  It is taken from the scores of two first models, each on the half of the ids it was not fitted on:
+    a model's own rows look more apart than they are.
     """
     slim = docs.select(id_col, text_col)
     trusted = positive_ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     sampled = trusted.orderBy(F.xxhash64(id_col), id_col).limit(MAX_POSITIVES)
     drawn = slim.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col, F.lit("u")), id_col).limit(MAX_UNLABELLED)
-    p = _sampled_features(slim, sampled, id_col, text_col)
-    u = _sampled_features(slim, drawn, id_col, text_col)
+    p, p_half = _sampled_features(slim, sampled, id_col, text_col)
+    u, u_half = _sampled_features(slim, drawn, id_col, text_col)
     if not len(p) or not len(u):
         return None, 0.5
-    p, u = p[np.lexsort(p.T[:8])], u[np.lexsort(u.T[:8])]  # the same order however the rows came in
-    rough = fit_nnpu(p, u, None)
+    if min(np.bincount(p_half, minlength=2).min(), np.bincount(u_half, minlength=2).min()) == 0:
+        p_half, u_half = np.arange(len(p)) % 2, np.arange(len(u)) % 2
+    pick = lambda x, half, h: x[half == h] if (half == h).any() else x
+    rough = [fit_nnpu(pick(p, p_half, 1 - h), pick(u, u_half, 1 - h), None) for h in (0, 1)]  # of half h: fitted on the other
+
+    def bins(x: np.ndarray, half: np.ndarray) -> np.ndarray:
+        scores = np.where(half == 0, rough[0].score(x), rough[1].score(x))
+        return np.bincount(np.minimum((scores * BINS).astype(int), BINS - 1), minlength=BINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, dtype=np.int64)
         for batch in batches:
-            at = np.minimum((rough.score(features(batch.column(0))) * BINS).astype(int), BINS - 1)
-            counts += np.bincount(at, minlength=BINS)
+            counts += bins(features(batch.column(0)), np.asarray(batch.column(1)))
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(counts)], names=["bin", "n"])
 
     histogram = np.zeros(BINS)
-    for row in slim.select(text_col).mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    halved = slim.select(text_col, _half(id_col).alias("half"))
+    for row in halved.mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         histogram[row["bin"]] = row["n"]
-    own = np.bincount(np.minimum((rough.score(p) * BINS).astype(int), BINS - 1), minlength=BINS)
-    prior = estimate_prior(own, histogram)
+    prior = estimate_prior(bins(p, p_half), histogram)
     return fit_nnpu(p, u, prior), prior
 
 
