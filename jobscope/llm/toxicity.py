@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Rows with a null id or label are left out; of an id labelled twice the larger label counts.
     """
     truth = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label_"))
-    labelled = docs.select(id_col, text_col).join(truth, id_col)
+    # A join of one kind at every size: labels are a share of the documents, so they are never broadcast.
+    labelled = docs.select(id_col, text_col).join(truth.hint("merge"), id_col)
     terms = top_terms(labelled, text_col, "label_")
     drawn = truth.orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
     sample = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(
