@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ TOKENIZER = "byte_bpe_50k.json"
 BUFFER = 2048
 CACHED = 250_000
 CACHED_LENGTH = 64
+# Rows encoded at a time.
+ROWS = 500
 
 # White space of Unicode, and the pattern that splits text before merges.
 _BLANK = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -302,7 +305,8 @@ def _encoded(docs: DataFrame, file, text_col: str, name: str, round_trip: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file or vocabulary_path(name))
-        for batch in batches:
+        # A few rows at a time: ids and decoded texts take several times the room of the texts.
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             counts, ids_digest, text_digest, all_ids, texts = [], [], [], [], []
             for text in batch.column(place):
                 value = text.as_py()
@@ -319,7 +323,7 @@ def _encoded(docs: DataFrame, file, text_col: str, name: str, round_trip: bool,
                 ids_digest.append(listed.hexdigest())
                 text_digest.append(digest.hexdigest())
                 if keep_ids:
-                    all_ids.append([int(i) for i in ids.split(",")] if ids else [])
+                    all_ids.append(np.fromstring(ids, dtype=np.int32, sep=",") if ids else np.zeros(0, np.int32))
                 if round_trip:
                     texts.append(None if value is None else "".join(decoded))
             columns = [batch.column(i) for i in range(batch.num_columns)]
