@@ -28,8 +28,8 @@ CELLS = 1 << 18
 # How much more a shingle of one document weighs than one of all.  A full inverse frequency would push a class apart by
 # its own size: where a third of all documents are near copies, what they share weighs next to nothing.
 LEAN = 0.1
-# How often classes that still share a bucket are compared by further members.
-ROUNDS = 3
+# Classes that share a bucket are compared by further members until this many rounds in a row find no link.
+FRUITLESS = 3
 
 _TABLE = 1 << 14
 _ROW = np.uint64(0x9E3779B97F4A7C15)
@@ -173,7 +173,8 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     In each bucket all members are compared with one centre, so a bucket of n texts gives n pairs, not n squared.
     Members that are not close to that centre may be close to others: in further rounds each class in a bucket sends one
-    member, another each time, to be compared with the member of one class of the bucket.
+    member, another each time, to be compared with the member of one class of the bucket, another class each time.
+    The rounds go on for as long as links are found, and end after FRUITLESS rounds in a row without one.
     """
     idf = inverse_frequencies(texts.select("text"))
 
@@ -196,7 +197,8 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tried = materialise(pairs, "pairs")
     links = materialise(_verified(tried, held, idf, similarity), "near-links")
     classes = components(links)
-    for k in range(ROUNDS):
+    k = fruitless = 0
+    while fruitless < FRUITLESS:
         turn = F.xxhash64("node", F.lit(k))
         labelled = members.join(classes, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
         sent = labelled.groupBy("band", "key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("one")).select("band", "key", "root", "one")
@@ -206,15 +208,15 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             .select(F.least("one.node", "c.node").alias("a"), F.greatest("one.node", "c.node").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti")
         )
+        k, fruitless = k + 1, fruitless + 1
         fresh = materialise(fresh, "pairs")
         if fresh.limit(1).count() == 0:
-            break
+            continue
         found = materialise(_verified(fresh, held, idf, similarity), "near-links")
         tried = tried.union(fresh)
-        if found.limit(1).count() == 0:
-            continue
-        links = links.union(found)
-        classes = components(links)
+        if found.limit(1).count():
+            links, fruitless = links.union(found), 0
+            classes = components(links)
     return classes
 
 
