@@ -22,7 +22,7 @@ from ..settings import HOT_ROWS, Thresholds
 from ..sinks.delivery import META_SERVER, deliver
 from .state import BatchTable, append_batch, run
 
-# Evaluation periods, and how late a row may be.
+# Evaluation periods.  LATENESS is the default of how late a row may be before it is left out.
 INFLIGHT_PERIOD = "3 seconds"
 HEAP_PERIOD = "10 seconds"
 LATENESS = "10 minutes"
@@ -47,9 +47,9 @@ def inflight_monitor(
 ) -> StreamingQuery:
     """Task rules for open, half-finished stages, at every trigger.
 
-    ``updates`` are rows of task attempts, any number per attempt.  The carried table holds the
-    latest row of each attempt of the stages that are still open; completed stages leave it with
-    the first batch that sees them completed.  ``at_ms`` fixes the evaluation time, else it is now.  Pass
+    ``updates`` are rows of task attempts, any number per attempt; of two the ended one counts, else the
+    later batch's.  The carried table holds the latest row of each attempt, also where its stage is not
+    known yet; completed stages leave it with the first batch that sees them completed.  ``at_ms`` fixes the evaluation time, else it is now.  Pass
     ``stage_table`` as a function of the session if the stages change while the query runs.
     """
     columns = _columns(TASK_ATTEMPTS)
@@ -61,14 +61,15 @@ def inflight_monitor(
         now = at_ms if at_ms is not None else spark.sql("SELECT unix_millis(now()) AS t").first()["t"]
         ended = F.col("status") != "RUNNING"
         newest = F.max(F.struct(
-            ended.alias("ended"), F.coalesce("finish_ms", F.lit(0)).alias("at"),
+            ended.alias("ended"), F.coalesce("finish_ms", F.lit(0)).alias("at"), "turn",
             *[c for c in columns if c not in key],
         )).alias("newest")
-        seen = table.before(spark, batch_id).unionByName(batch.select(*columns))
+        before = table.before(spark, batch_id).withColumn("turn", F.lit(0))
+        seen = before.unionByName(batch.select(*columns, F.lit(1).alias("turn")))
         latest = seen.groupBy(*key).agg(newest).select(*key, "newest.*").select(*columns)
         known = stages.stages_at(stage_table(spark) if callable(stage_table) else stage_table, now)
-        open_stages = known.filter(F.col("completion_ms").isNull())
-        carried = table.write(latest.join(open_stages, STAGE_KEYS, "left_semi"), batch_id)
+        completed = known.filter(F.col("completion_ms").isNotNull())
+        carried = table.write(latest.join(completed, STAGE_KEYS, "left_anti"), batch_id)
 
         # Finished attempts come with the statistics, so judging which stages are ready costs no pass.
         stats = stages.stage_stats(tasks.snapshot_at(carried, now), now, th, hot_rows)
@@ -79,15 +80,16 @@ def inflight_monitor(
     return run(updates, on_batch, checkpoint, every=every)
 
 
-def stage_progress(updates: DataFrame, out_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def stage_progress(updates: DataFrame, out_path: str, checkpoint: str, every: str | None = None, lateness: str = LATENESS) -> StreamingQuery:
     """Ended attempts per stage attempt, per 10-minute window of their end.
 
     The attempt is part of the key, so a retried stage starts from 0.  Windows behind the watermark
-    leave the state, so finished stages do too.  Each trigger writes the counts that changed.
+    leave the state, so finished stages do too.  Rows later than ``lateness`` are left out; their number
+    is ``numRowsDroppedByWatermark`` of the query's progress.  Each trigger writes the counts that changed.
     """
     ended = updates.filter(F.col("status") != "RUNNING").withColumn("ended_at", F.timestamp_millis("finish_ms"))
     counts = (
-        ended.withWatermark("ended_at", LATENESS)
+        ended.withWatermark("ended_at", lateness)
         .groupBy(F.window("ended_at", COUNT_WINDOW).alias("w"), *STAGE_KEYS)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(*STAGE_KEYS, F.unix_millis("w.start").alias("window_ms"), "n")
@@ -111,11 +113,16 @@ def heap_alerts(
     return run(alerts, lambda df, i: append_batch(df, out_path, i), checkpoint, every=every)
 
 
-def heap_stats(samples: DataFrame, out_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Heap statistics per executor and 10-minute window; windows behind the watermark leave the state."""
+def heap_stats(
+    samples: DataFrame, out_path: str, checkpoint: str, every: str | None = None, lateness: str = LATENESS
+) -> StreamingQuery:
+    """Heap statistics per executor and 10-minute window; windows behind the watermark leave the state.
+
+    Rows later than ``lateness`` are left out and counted, as in :func:`stage_progress`.
+    """
     stats = (
         samples.withColumn("at", F.timestamp_millis("ts_ms"))
-        .withWatermark("at", LATENESS)
+        .withWatermark("at", lateness)
         .groupBy(F.window("at", COUNT_WINDOW).alias("w"), *EXECUTOR_KEYS)
         .agg(
             F.min("heap_used").alias("min_heap"), F.max("heap_used").alias("max_heap"),

@@ -104,6 +104,30 @@ def test_inflight_updates_replace_each_other_and_completed_stages_leave(spark, t
     assert tasks.failed_attempts(kept).count() > 0
 
 
+def test_inflight_keeps_attempts_whose_stage_comes_later(spark, tables, tmp_path):
+    """The stages are unknown to the first trigger; the second judges all attempts, and a later RUNNING row wins."""
+    state, out, checkpoint = paths(tmp_path)
+    calls = []
+
+    def known(_):
+        calls.append(1)
+        return tables.stages if len(calls) > 1 else tables.stages.limit(0)
+
+    again = tables.tasks.filter("status = 'RUNNING'").withColumn("executor_id", F.lit("0-later"))
+    updates = tables.tasks.withColumn("seq", F.lit(0)).unionByName(again.withColumn("seq", F.lit(1)))
+    path = str(tmp_path / "in")
+    for seq in (0, 1):
+        updates.filter(F.col("seq") == seq).drop("seq").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(tables.tasks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    monitors.inflight_monitor(stream, known, state, out, checkpoint, at_ms=EVAL_MS, every=None).awaitTermination()
+    still_open = tables.stages.filter("completion_ms IS NULL")
+    expected = tables.tasks.join(still_open, ["app_id", "stage_id", "stage_attempt_id"], "left_semi")
+    kept = BatchTable(state, tables.tasks.select(*monitors._columns(monitors.TASK_ATTEMPTS)).schema).before(spark, 2)
+    assert kept.count() == expected.count() > 0
+    assert kept.filter("status = 'RUNNING' AND executor_id <> '0-later'").isEmpty()
+    assert spark.read.parquet(out).filter("batch_id = 1").count() > 0
+
+
 def test_event_log_files_as_a_stream(spark, tables, tmp_path):
     """Log files moved into a folder, one per application, give the failures of the batch."""
     lines = _event_lines(tables.tasks)
