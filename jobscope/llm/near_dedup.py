@@ -28,8 +28,8 @@ CELLS = 1 << 18
 # How much more a shingle of one document weighs than one of all.  A full inverse frequency would push a class apart by
 # its own size: where a third of all documents are near copies, what they share weighs next to nothing.
 LEAN = 0.1
-# Classes that share a bucket are compared by further members until this many rounds in a row find no link.
-FRUITLESS = 3
+# Classes that share a bucket are compared by further members, CENTRES a round, until FRUITLESS rounds in a row find no link.
+CENTRES, FRUITLESS = 4, 2
 
 _TABLE = 1 << 14
 _ROW = np.uint64(0x9E3779B97F4A7C15)
@@ -172,9 +172,9 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node`` and ``root`` of every distinct text (``node``, ``text``) that is linked to another.
 
     In each bucket all members are compared with one centre, so a bucket of n texts gives n pairs, not n squared.
-    Members that are not close to that centre may be close to others: in further rounds each class in a bucket sends one
-    member, another each time, to be compared with the member of one class of the bucket, another class each time.
-    The rounds go on for as long as links are found, and end after FRUITLESS rounds in a row without one.
+    Members that are not close to that centre may be close to others: in further rounds all members of a bucket are compared
+    with CENTRES members, of other classes, drawn anew each time; so a round has at most CENTRES pairs a member.  The rounds
+    go on for as long as links are found, and end after FRUITLESS rounds in a row without one.
     """
     idf = inverse_frequencies(texts.select("text"))
 
@@ -197,27 +197,44 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tried = materialise(pairs, "pairs")
     links = materialise(_verified(tried, held, idf, similarity), "near-links")
     classes = components(links)
+    # Merged labels need not be exact here, they only save comparisons; the components of all links follow at the end.
+    open_ = _open(members.join(classes, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")))
     k = fruitless = 0
     while fruitless < FRUITLESS:
-        turn = F.xxhash64("node", F.lit(k))
-        labelled = members.join(classes, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-        sent = labelled.groupBy("band", "key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("one")).select("band", "key", "root", "one")
-        centres = sent.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("root", F.lit(k)), "root", F.col("one.node").alias("node"))).alias("c"), F.count("*").alias("n")).where("n > 1")
+        orders = [F.struct(F.xxhash64("root", F.lit(k), F.lit(i)), F.xxhash64("node", F.lit(k), F.lit(i)), "root", "node") for i in range(CENTRES)]
+        least = F.array(*[F.min(order) for order in orders])
+        centres = open_.groupBy("band", "key").agg(least.alias("c")).select("band", "key", F.explode("c").alias("c"))
         fresh = (
-            sent.join(centres, ["band", "key"]).where("root != c.root")
-            .select(F.least("one.node", "c.node").alias("a"), F.greatest("one.node", "c.node").alias("b")).distinct()
+            open_.join(centres, ["band", "key"]).where("root != c.root")
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti")
         )
         k, fruitless = k + 1, fruitless + 1
         fresh = materialise(fresh, "pairs")
-        if fresh.limit(1).count() == 0:
-            continue
-        found = materialise(_verified(fresh, held, idf, similarity), "near-links")
         tried = tried.union(fresh)
+        found = materialise(_verified(fresh, held, idf, similarity), "near-links")
         if found.limit(1).count():
             links, fruitless = links.union(found), 0
-            classes = components(links)
-    return classes
+            open_ = _open(_merged(open_, found))
+    return components(links) if k > fruitless else classes
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (``band``, ``key``, ``node``, ``root``) of buckets that hold more than one class."""
+    members = materialise(members, "labelled")
+    several = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return materialise(members.join(several, ["band", "key"], "left_semi"), "open")
+
+
+def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with each linked class labelled as the smallest class it is linked to, or as that one's."""
+    of = members.select("node", "root").distinct()
+    ends = found.join(of.toDF("a", "root_a"), "a").join(of.toDF("b", "root_b"), "b")
+    hooks = materialise(
+        ends.groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("low")), "hooks"
+    )
+    far = hooks.join(hooks.toDF("low", "lower"), "low", "left").select("root", F.coalesce("lower", "low").alias("low"))
+    return members.join(far, "root", "left").select("band", "key", "node", F.coalesce("low", "root").alias("root"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
