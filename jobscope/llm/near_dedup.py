@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -28,8 +28,11 @@ CELLS = 1 << 18
 # How much more a shingle of one document weighs than one of all.  A full inverse frequency would push a class apart by
 # its own size: where a third of all documents are near copies, what they share weighs next to nothing.
 LEAN = 0.1
-# Classes that share a bucket are compared by further members, CENTRES a round, until FRUITLESS rounds in a row find no link.
+# Classes that share a bucket are compared by members of up to CENTRES of them, then of twice as many each round, until
+# FRUITLESS rounds in a row find no link.
 CENTRES, FRUITLESS = 4, 2
+# Pairs whose samples agree less often than similarity less DEVIATIONS standard deviations are not verified.
+DEVIATIONS = 4
 
 _TABLE = 1 << 14
 _ROW = np.uint64(0x9E3779B97F4A7C15)
@@ -96,34 +99,47 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return (1 + LEAN * np.log1p(max(n, 1) / df) / np.log1p(max(n, 1))).astype(np.float32)
 
 
-def band_keys(piece: W.Piece, idf: np.ndarray) -> np.ndarray:
-    """BANDS hashes per row; rows without a shingle have zeros.
+def samples(piece: W.Piece, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a shingle, and the BANDS * ROWS samples of each.
 
-    Hash j of a row is the shingle (and its level t) with the least ln a = ln c - r (t - beta) - r, where t is
+    Sample j of a row is the shingle (and its level t) with the least ln a = ln c - r (t - beta) - r, where t is
     floor(ln S / r + beta): two rows agree with the probability of their weighted Jaccard similarity.
     """
     row, key, count = shingles(piece)
-    out = np.zeros((piece.n, BANDS), dtype=np.uint64)
     if not len(key):
-        return out
+        return np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.uint64)
     log_weight = np.log(count * idf[_cell(key)]).astype(np.float32)
     fresh = np.ones(len(row), dtype=bool)
     fresh[1:] = row[1:] != row[:-1]
     first = np.flatnonzero(fresh)
     sizes = np.diff(np.append(first, len(row)))
-    present = row[first]
+    out = np.empty((len(first), BANDS * ROWS), dtype=np.uint64)
+    for j in range(BANDS * ROWS):
+        drawn = _DRAWS[(key * _FACTORS[j]) >> np.uint64(50)]
+        level = np.floor(log_weight * drawn[:, 0] + drawn[:, 1])
+        value = drawn[:, 3] - drawn[:, 2] * level
+        least = np.minimum.reduceat(value, first)
+        hit = np.flatnonzero(value == np.repeat(least, sizes))
+        sample = W.mix(key[hit] * np.uint64(5) + level[hit].astype(np.int64).astype(np.uint64))
+        out[:, j] = np.minimum.reduceat(sample, np.searchsorted(hit, first))
+    return row[first], out
+
+
+def _keys(drawn: np.ndarray) -> np.ndarray:
+    out = np.empty((len(drawn), BANDS), dtype=np.uint64)
     for band in range(BANDS):
-        whole = np.full(len(first), band + 1, dtype=np.uint64)
+        whole = np.full(len(drawn), band + 1, dtype=np.uint64)
         for j in range(band * ROWS, (band + 1) * ROWS):
-            drawn = _DRAWS[(key * _FACTORS[j]) >> np.uint64(50)]
-            level = np.floor(log_weight * drawn[:, 0] + drawn[:, 1])
-            value = drawn[:, 3] - drawn[:, 2] * level
-            least = np.minimum.reduceat(value, first)
-            hit = np.flatnonzero(value == np.repeat(least, sizes))
-            sample = W.mix(key[hit] * np.uint64(5) + level[hit].astype(np.int64).astype(np.uint64))
-            begins = np.searchsorted(hit, first)
-            whole = W.mix(whole * np.uint64(31) + np.minimum.reduceat(sample, begins))
-        out[present, band] = whole
+            whole = W.mix(whole * np.uint64(31) + drawn[:, j])
+        out[:, band] = whole
+    return out
+
+
+def band_keys(piece: W.Piece, idf: np.ndarray) -> np.ndarray:
+    """BANDS hashes per row, each of ROWS samples; rows without a shingle have zeros."""
+    present, drawn = samples(piece, idf)
+    out = np.zeros((piece.n, BANDS), dtype=np.uint64)
+    out[present] = _keys(drawn)
     return out
 
 
@@ -150,6 +166,27 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.nda
     return out
 
 
+def _bytes(column: pa.Array, size: int) -> np.ndarray:
+    """A binary column, all of one size, as rows of bytes."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + size * len(column)].reshape(-1, size)
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (``a``, ``b``) whose samples (``of_a``, ``of_b``) agree often enough; no text is moved for it."""
+    n = BANDS * ROWS
+    least = int(n * similarity - DEVIATIONS * (n * similarity * (1 - similarity)) ** 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_bytes(batch.column(2), n) == _bytes(batch.column(3), n)).sum(axis=1)
+                some = pa.array(same >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(some) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """The pairs (``a``, ``b``) whose texts are similar enough."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -173,54 +210,70 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     In each bucket all members are compared with one centre, so a bucket of n texts gives n pairs, not n squared.
     Members that are not close to that centre may be close to others: in further rounds all members of a bucket are compared
-    with CENTRES members, of other classes, drawn anew each time; so a round has at most CENTRES pairs a member.  The rounds
-    go on for as long as links are found, and end after FRUITLESS rounds in a row without one.
+    with one member, drawn anew, of each of CENTRES other classes, then of twice as many each round.  A bucket of no more
+    classes than that has each member compared with every other class; one whose classes are all linked is done.  The rounds
+    go on for as long as links are found, and end after FRUITLESS rounds in a row without one, or when no bucket is left.
+    Comparisons are of samples first; only pairs whose samples agree often enough fetch their texts.
     """
     idf = inverse_frequencies(texts.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(batch.column(1)):
-                keys = band_keys(piece, idf)
-                at, band = np.nonzero(keys)
+                present, drawn = samples(piece, idf)
+                node = batch.column(0).take(pa.array(np.repeat(piece.first + present, BANDS)))
+                short = (drawn >> np.uint64(56)).astype(np.uint8)
+                of = pa.array([bytes(x) for x in short], pa.binary()).take(pa.array(np.repeat(np.arange(len(short)), BANDS)))
+                band = np.tile(np.arange(BANDS, dtype=np.int32), len(present))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(piece.first + at)), pa.array(band, pa.int32()), pa.array(keys[at, band].astype(np.int64))],
-                    names=["node", "band", "key"],
+                    [node, pa.array(band), pa.array(_keys(drawn).astype(np.int64).ravel()), of], names=["node", "band", "key", "of"]
                 )
 
-    banded = materialise(texts.mapInArrow(run, "node binary, band int, key bigint").distinct(), "bands")
-    shared = banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialise(banded.join(shared, ["band", "key"]), "members")
+    banded = texts.mapInArrow(run, "node binary, band int, key bigint, of binary").dropDuplicates(["node", "band"])
+    banded = materialise(banded, "bands")
+    shared = (
+        banded.groupBy("band", "key").agg(F.min(F.struct("node", "of")).alias("c"), F.count("*").alias("n"))
+        .where("n > 1").select("band", "key", "c")
+    )
+    members = materialise(banded.join(shared, ["band", "key"]).select("band", "key", "node", "of", "c"), "members")
     involved = members.select("node").distinct()
     held = materialise(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    pairs = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(pairs, "pairs")
+    pairs = members.where("node != c.node").selectExpr("c.node AS a", "node AS b", "c.of AS of_a", "of AS of_b")
+    tried = materialise(_alike(pairs, similarity), "pairs")
     links = materialise(_verified(tried, held, idf, similarity), "near-links")
     classes = components(links)
     # Merged labels need not be exact here, they only save comparisons; the components of all links follow at the end.
-    open_ = _open(members.join(classes, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")))
+    open_ = _open(members.join(classes, "node", "left").select("band", "key", "node", "of", F.coalesce("root", "node").alias("root")))
     k = fruitless = 0
-    while fruitless < FRUITLESS:
-        orders = [F.struct(F.xxhash64("root", F.lit(k), F.lit(i)), F.xxhash64("node", F.lit(k), F.lit(i)), "root", "node") for i in range(CENTRES)]
-        least = F.array(*[F.min(order) for order in orders])
-        centres = open_.groupBy("band", "key").agg(least.alias("c")).select("band", "key", F.explode("c").alias("c"))
-        fresh = (
-            open_.join(centres, ["band", "key"]).where("root != c.root")
-            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti")
+    more = False
+    while fruitless < FRUITLESS and open_.limit(1).count():
+        centres = _centres(open_, k, CENTRES << k)
+        pairs = open_.join(centres, ["band", "key"]).where("root != other").select(
+            F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "of", F.col("c.of").alias("of_c"))
+        fresh = materialise(
+            _alike(pairs.withColumnsRenamed({"of": "of_a", "of_c": "of_b"}), similarity).join(tried, ["a", "b"], "left_anti"), "pairs"
         )
         k, fruitless = k + 1, fruitless + 1
-        fresh = materialise(fresh, "pairs")
+        if not fresh.limit(1).count():
+            continue
         tried = tried.union(fresh)
         found = materialise(_verified(fresh, held, idf, similarity), "near-links")
         if found.limit(1).count():
-            links, fruitless = links.union(found), 0
+            links, fruitless, more = links.union(found), 0, True
             open_ = _open(_merged(open_, found))
-    return components(links) if k > fruitless else classes
+    return components(links) if more else classes
+
+
+def _centres(members: DataFrame, k: int, most: int) -> DataFrame:
+    """One member ``c`` each of up to ``most`` classes ``other`` of every bucket, drawn by round; sends ``most`` rows a task."""
+    one = members.groupBy("band", "key", F.col("root").alias("other")).agg(
+        F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "of")).alias("c"))
+    drawn = Window.partitionBy("band", "key").orderBy(F.xxhash64("other", F.lit(k)), "other")
+    return one.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= most).drop("place")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members (``band``, ``key``, ``node``, ``root``) of buckets that hold more than one class."""
+    """The members (``band``, ``key``, ``node``, ``of``, ``root``) of buckets that hold more than one class."""
     members = materialise(members, "labelled")
     several = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     return materialise(members.join(several, ["band", "key"], "left_semi"), "open")
@@ -234,7 +287,7 @@ def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
         ends.groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("low")), "hooks"
     )
     far = hooks.join(hooks.toDF("low", "lower"), "low", "left").select("root", F.coalesce("lower", "low").alias("low"))
-    return members.join(far, "root", "left").select("band", "key", "node", F.coalesce("low", "root").alias("root"))
+    return members.join(far, "root", "left").select("band", "key", "node", "of", F.coalesce("low", "root").alias("root"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
