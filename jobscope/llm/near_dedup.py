@@ -211,7 +211,7 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     In each bucket all members are compared with one centre, so a bucket of n texts gives n pairs, not n squared.
     Members that are not close to that centre may be close to others: in further rounds all members of a bucket are compared
     with one member, drawn anew, of each of CENTRES other classes, then of twice as many each round.  A bucket of no more
-    classes than that has each member compared with every other class; one whose classes are all linked is done.  The rounds
+    classes than that has each member compared with one member of every other class; one whose classes are all linked is done.  The rounds
     go on for as long as links are found, and end after FRUITLESS rounds in a row without one, or when no bucket is left.
     Comparisons are of samples first; only pairs whose samples agree often enough fetch their texts.
     """
