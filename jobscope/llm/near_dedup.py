@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -28,9 +28,8 @@ CELLS = 1 << 18
 # How much more a shingle of one document weighs than one of all.  A full inverse frequency would push a class apart by
 # its own size: where a third of all documents are near copies, what they share weighs next to nothing.
 LEAN = 0.1
-# Classes that share a bucket are compared by members of up to CENTRES of them, then of twice as many each round, until
-# FRUITLESS rounds in a row find no link.
-CENTRES, FRUITLESS = 4, 2
+# Members of a bucket of several classes are compared in pairs of blocks of about so many members.
+BLOCK = 1024
 # Pairs whose samples agree less often than similarity less DEVIATIONS standard deviations are not verified.
 DEVIATIONS = 4
 
@@ -172,10 +171,15 @@ def _bytes(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[first : first + size * len(column)].reshape(-1, size)
 
 
+def _least(similarity: float) -> int:
+    """How many samples of a pair must agree at least for it to be verified."""
+    n = BANDS * ROWS
+    return int(n * similarity - DEVIATIONS * (n * similarity * (1 - similarity)) ** 0.5)
+
+
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """The distinct pairs (``a``, ``b``) whose samples (``of_a``, ``of_b``) agree often enough; no text is moved for it."""
-    n = BANDS * ROWS
-    least = int(n * similarity - DEVIATIONS * (n * similarity * (1 - similarity)) ** 0.5)
+    n, least = BANDS * ROWS, _least(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,12 +212,10 @@ def _node(text) -> "F.Column":
 def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node`` and ``root`` of every distinct text (``node``, ``text``) that is linked to another.
 
-    In each bucket all members are compared with one centre, so a bucket of n texts gives n pairs, not n squared.
-    Members that are not close to that centre may be close to others: in further rounds all members of a bucket are compared
-    with one member, drawn anew, of each of CENTRES other classes, then of twice as many each round.  A bucket of no more
-    classes than that has each member compared with one member of every other class; one whose classes are all linked is done.  The rounds
-    go on for as long as links are found, and end after FRUITLESS rounds in a row without one, or when no bucket is left.
-    Comparisons are of samples first; only pairs whose samples agree often enough fetch their texts.
+    In each bucket all members are compared with one centre, so a bucket of n texts gives n pairs, not n squared.  Where
+    that leaves a bucket with more than one class, every two members of different classes are compared too, block by
+    block, until they are in one class: no pair that shares a bucket is left out.
+    Comparisons are of samples first; only pairs whose samples agree often enough are verified by their texts.
     """
     idf = inverse_frequencies(texts.select("text"))
 
@@ -242,52 +244,93 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tried = materialise(_alike(pairs, similarity), "pairs")
     links = materialise(_verified(tried, held, idf, similarity), "near-links")
     classes = components(links)
-    # Merged labels need not be exact here, they only save comparisons; the components of all links follow at the end.
-    open_ = _open(members.join(classes, "node", "left").select("band", "key", "node", "of", F.coalesce("root", "node").alias("root")))
-    k = fruitless = 0
-    more = False
-    while fruitless < FRUITLESS and open_.limit(1).count():
-        centres = _centres(open_, k, CENTRES << k)
-        pairs = open_.join(centres, ["band", "key"]).where("root != other").select(
-            F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "of", F.col("c.of").alias("of_c"))
-        fresh = materialise(
-            _alike(pairs.withColumnsRenamed({"of": "of_a", "of_c": "of_b"}), similarity).join(tried, ["a", "b"], "left_anti"), "pairs"
-        )
-        k, fruitless = k + 1, fruitless + 1
-        if not fresh.limit(1).count():
-            continue
-        tried = tried.union(fresh)
-        found = materialise(_verified(fresh, held, idf, similarity), "near-links")
-        if found.limit(1).count():
-            links, fruitless, more = links.union(found), 0, True
-            open_ = _open(_merged(open_, found))
-    return components(links) if more else classes
-
-
-def _centres(members: DataFrame, k: int, most: int) -> DataFrame:
-    """One member ``c`` each of up to ``most`` classes ``other`` of every bucket, drawn by round; sends ``most`` rows a task."""
-    one = members.groupBy("band", "key", F.col("root").alias("other")).agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "of")).alias("c"))
-    drawn = Window.partitionBy("band", "key").orderBy(F.xxhash64("other", F.lit(k)), "other")
-    return one.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= most).drop("place")
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """The members (``band``, ``key``, ``node``, ``of``, ``root``) of buckets that hold more than one class."""
-    members = materialise(members, "labelled")
-    several = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    return materialise(members.join(several, ["band", "key"], "left_semi"), "open")
-
-
-def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with each linked class labelled as the smallest class it is linked to, or as that one's."""
-    of = members.select("node", "root").distinct()
-    ends = found.join(of.toDF("a", "root_a"), "a").join(of.toDF("b", "root_b"), "b")
-    hooks = materialise(
-        ends.groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("low")), "hooks"
+    labelled = members.join(classes, "node", "left").select("band", "key", "node", "of", (F.col("node") == F.col("c.node")).alias("centre"), F.coalesce("root", "node").alias("root"))
+    labelled = materialise(labelled, "labelled")
+    # In a bucket of two the centre's pair is the only one.
+    open_ = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high AND n > 2")
+    found = materialise(_between(labelled, open_, held, idf, similarity), "near-links")
+    return components(links.union(found)) if found.limit(1).count() else classes
+
+
+def _between(members: DataFrame, buckets: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) between the classes of each bucket, enough to join all classes that have one.
+
+    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is a group of its own.
+    """
+    spread = buckets.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = (
+        members.join(spread, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "of", "centre", "root")
+        .join(texts, "node")
     )
-    far = hooks.join(hooks.toDF("low", "lower"), "low", "left").select("root", F.coalesce("lower", "low").alias("low"))
-    return members.join(far, "root", "left").select("band", "key", "node", "of", F.coalesce("low", "root").alias("root"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        a, b = _links(group, idf, similarity)
+        node = group.column("node").combine_chunks()
+        return pa.table({"a": node.take(pa.array(a, pa.int64())).cast(pa.binary()), "b": node.take(pa.array(b, pa.int64())).cast(pa.binary())})
+
+    return placed.groupBy("band", "key", "x", "y").applyInArrow(run, "a binary, b binary")
+
+
+def _links(group: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Rows of ``group`` (a pair of blocks of a bucket) that are linked, until every linked class is joined.
+
+    Pairs go by falling agreement of their samples; one whose rows are in one class by then needs no verification, any
+    other is verified.  Pairs with the centre were compared before.
+    """
+    n, least = BANDS * ROWS, _least(similarity)
+    drawn = np.frombuffer(b"".join(group.column("of").to_pylist()), np.uint8).reshape(-1, n).T.copy()
+    own, centre = np.asarray(group.column("own")), np.asarray(group.column("centre"))
+    _, label = np.unique(np.array([x.hex() for x in group.column("root").to_pylist()]), return_inverse=True)
+    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    left, right = np.flatnonzero((own == x) & ~centre), np.flatnonzero((own == y) & ~centre)
+    pairs = []
+    for i in range(0, len(left), 64):
+        some = left[i : i + 64]
+        same = np.zeros((len(some), len(right)), dtype=np.uint8)
+        for sample in drawn:
+            same += sample[some][:, None] == sample[right][None, :]
+        near = (same >= least) & (label[some][:, None] != label[right][None, :])
+        if x == y:
+            near &= some[:, None] < right[None, :]
+        p, q = np.nonzero(near)
+        pairs.append(np.stack([same[p, q].astype(np.int64), some[p], right[q]]))
+    parent = list(range(int(label.max()) + 1))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    texts, held = group.column("text"), {}
+
+    def weighted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in held:
+            piece = next(iter(W.pieces(pa.array([texts[k].as_py()], pa.string()))))
+            _, key, count = shingles(piece)
+            held[k] = key, count * idf[_cell(key)].astype(np.float64)
+        return held[k]
+
+    a, b = [], []
+    every = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+    for _, p, q in every[:, np.lexsort((every[2], every[1], -every[0]))].T.tolist():
+        one, two = top(int(label[p])), top(int(label[q]))
+        if one == two:
+            continue
+        (key_p, w_p), (key_q, w_q) = weighted(p), weighted(q)
+        total_p, total_q = w_p.sum(), w_q.sum()
+        if min(total_p, total_q) < similarity * max(total_p, total_q) - 1e-6:
+            continue  # the shared weight is at most the smaller one
+        _, at_p, at_q = np.intersect1d(key_p, key_q, assume_unique=True, return_indices=True)
+        shared = np.minimum(w_p[at_p], w_q[at_q]).sum()
+        if shared / max(total_p + total_q - shared, 1e-12) >= similarity:
+            parent[one] = two
+            a.append(p)
+            b.append(q)
+    return a, b
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -150,6 +150,28 @@ def test_near_classes(spark, odd, nothing):
     assert near_dedup.near_classes(nothing).count() == 0
 
 
+def near_links(spark, texts):
+    """Class of each text, and the linked pairs by brute force."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(rows).collect()}
+    idf = near_dedup.inverse_frequencies(rows.select("text"))
+    sides = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = near_dedup.weighted_jaccard(pa.array([texts[i] for i, _ in sides]), pa.array([texts[j] for _, j in sides]), idf) >= near_dedup.SIMILARITY
+    return found, [pair for pair, hit in zip(sides, near) if hit]
+
+
+def test_near_classes_in_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)
+    common = [f"c{i}" for i in range(250)]
+    texts = [" ".join(common + [f"o{i}x{j}" for j in range(34)]) for i in range(400)]
+    # Three texts are near one other each, a little more than all others, which share 0.77; they meet in hot buckets only.
+    texts += [" ".join(common + [f"o{i}x{j}" for j in range(8)] + [f"p{i}x{j}" for j in range(26)]) for i in (0, 39, 43)]
+    random.Random(12).shuffle(texts)
+    found, links = near_links(spark, texts)
+    missed = sum(found[i] != found[j] for i, j in links)
+    assert (len(links), missed, len(set(found.values()))) == (3, 0, 400)
+
+
 def test_sampling_estimates_weighted_jaccard():
     idf = np.linspace(1, 5, near_dedup.CELLS).astype(np.float32)
     random.seed(7)
