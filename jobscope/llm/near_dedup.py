@@ -333,6 +333,13 @@ def _links(group: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[in
     return a, b
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``id``, ``node`` (the text) and ``root`` (the class) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("node", _node(F.col("text")))
+    roots = text_classes(rows.select("node", "text"), similarity)
+    return rows.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``id_col``, ``class_id``, ``class_size`` and ``kept`` of every row.
 
@@ -341,9 +348,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are equal, and texts without letters or digits are near none but their copies.  A null id is in the class of
     its text and kept only where the class has no other id; rows that repeat an id and text share their answer.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("node", _node(F.col("text")))
-    roots = text_classes(rows.select("node", "text"), similarity)
-    classed = rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    classed = _classed(docs, id_col, text_col, similarity)
     sizes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return classed.join(sizes, "root").select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -353,7 +358,15 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class; of rows that repeat the kept id, one."""
-    gone = near_classes(docs, id_col, text_col, similarity).where("NOT kept").select(F.col(id_col).alias("gone_")).distinct()
-    rest = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_")), "left_anti")
-    return rest
+    """``docs`` with one row of each class: the one of the smallest id (a null id last), then of the smallest text digest.
+
+    Rows are dropped by id and text, so other rows of a dropped id stay.  Of rows that repeat the kept id and text, one stays.
+    """
+    row_key = lambda id_, node: F.concat_ws("|", F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")), F.hex(node))
+    classed = _classed(docs, id_col, text_col, similarity).select("id", "node", "root").distinct()
+    place = F.struct(F.col("id").isNull().alias("null_"), "id", "node")
+    classed = materialise(classed.withColumn("place", place), "classed")
+    best = classed.groupBy("root").agg(F.min("place").alias("best"))
+    gone = classed.join(best, "root").where("NOT (place <=> best)").select(row_key(F.col("id"), F.col("node")).alias("gone_"))
+    rest = docs.withColumn("row_", row_key(F.col(id_col), _node(F.col(text_col)))).join(gone, F.col("row_") == F.col("gone_"), "left_anti")
+    return rest.dropDuplicates(["row_"]).drop("row_")

@@ -150,6 +150,23 @@ def test_near_classes(spark, odd, nothing):
     assert near_dedup.near_classes(nothing).count() == 0
 
 
+def test_one_of_each_class(spark):
+    words = lambda k, n=100: [f"{k}{j}" for j in range(n)]
+    near = lambda k, tail: " ".join(words(k) + [tail])
+    rows = [
+        (1, near("a", "x")), (None, near("a", "y")), (None, near("b", "x")),  # a null-id copy beside a null-id row of its own
+        (2, near("c", "x")), (3, near("c", "y")), (3, near("d", "x")),  # one id with two texts, one of them a copy
+        (None, near("e", "x")), (None, near("e", "y")), (None, near("e", "y")),  # a class without ids
+        (4, near("f", "x")), (4, near("f", "x")), (4, near("f", "y")),  # a class that repeats its id
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = [(r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs).collect()]
+    assert collections.Counter((i, t.split()[0]) for i, t in left) == collections.Counter(
+        [(1, "a0"), (None, "b0"), (2, "c0"), (3, "d0"), (None, "e0"), (4, "f0")]
+    )
+    assert set(left) <= set(rows)
+
+
 def near_links(spark, texts):
     """Class of each text, and the linked pairs by brute force."""
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
