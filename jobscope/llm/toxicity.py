@@ -47,15 +47,10 @@ def term_table(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
                 hit = toxic[piece.first + row]
                 seen[1] += np.bincount(cell[hit], minlength=CELLS).astype(np.int32)
                 seen[0] += np.bincount(cell[~hit], minlength=CELLS).astype(np.int32)
-        # Most words occur in one document of one task; only words that toxic documents have can be terms.
-        some = np.flatnonzero(seen[1])
+        some = np.flatnonzero(seen[0] + seen[1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(some, pa.int64()), pa.array(seen[1][some], pa.int32()), pa.array(seen[0][some], pa.int32())], names=["cell", "toxic", "other"]
         )
-        rest = np.flatnonzero((seen[1] == 0) & (seen[0] > 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rest, pa.int64()), pa.array(np.zeros(len(rest), np.int32)), pa.array(seen[0][rest], pa.int32())], names=["cell", "toxic", "other"]
-        )
 
     return (
         labelled.select(text_col, label_col).mapInArrow(run, "cell bigint, toxic int, other int")

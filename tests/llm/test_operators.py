@@ -349,6 +349,15 @@ def test_toxicity_on_held_out_rows(spark, labels):
     assert found / (found + missed) > 0.85 and sum(p and not t for p, t in judged) <= 0.01 * len(judged)
 
 
+def test_terms_are_counted_in_every_partition(spark):
+    rows = [(f"rare common{i}", 0) for i in range(6)] + [("rare bad", 1), ("bad", 1)]
+    for parts in (1, 8):
+        labelled = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string, label int")
+        counts = {r["cell"]: (r["toxic"], r["other"]) for r in toxicity.term_table(labelled, "text", "label").collect()}
+        cell = {w: int(toxicity._cells(next(iter(W.pieces(pa.array([w])))))[1][0]) for w in ("rare", "bad", "common")}
+        assert counts == {cell["rare"]: (1, 6), cell["bad"]: (2, 0), cell["common"]: (0, 6)}
+
+
 def test_classifiers_odd_rows(spark, odd, nothing):
     scores = quality.score(odd, None, 0.4)
     assert scores.count() == len(ODD) and quality.score(nothing, None, 0.4).count() == 0
