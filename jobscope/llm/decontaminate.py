@@ -5,6 +5,9 @@ Texts are sequences of words (letters and digits, lower case).  A walk goes over
 writes the word it stands on and moves on if a random bit of (j, word) says so; two walks that differ by an edit fall
 into step again.  A table samples K of the written words; equal samples make a candidate.  Walks start at every word of a
 document and at every STRIDE-th word of an item, so an edit spoils only the starts before it.
+
+Items of fewer than SHORT words give walks too few starts.  They are cut into one part more than the edits allowed: no
+edit touches two parts, so one part at least stands unchanged in the document, and its hash finds the item.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ MAX_EDIT_SHARE = 0.2
 # WALKS x SAMPLES tables; see recall() for what they reach.
 WALKS, SAMPLES, STEPS, K = 2, 5, 16, 4
 STRIDE = 4
-# Items below this length allow at most one edit; they are found by the hash of all their words.
-SHORT = 8
+# Items below this length, and those in which no walk ends, are found by the hashes of their parts, whatever the edits.
+SHORT = 30
 # Items are broadcast in blocks of about so many bytes of text.
 BLOCK_BYTES = 8_000_000
 
@@ -58,6 +61,9 @@ def recall(edit_share: float, n_words: int, trials: int = 2000, seed: int = 1) -
                 text.append(w)
             elif kind >= 1 / 3:  # replaced, or one more word; else left out
                 text += [rng.integers(1, 1 << 62, dtype=np.uint64)] + [w] * (kind >= 2 / 3)
+        if n_words < SHORT:
+            hits += any(np.isin(W.windows(item[a:b], b - a), W.windows(np.array(text, dtype=np.uint64), b - a)).any() for a, b in parts(n_words))
+            continue
         there = {(t, int(k)) for t, keys in enumerate(table_keys(np.array(text, dtype=np.uint64))[0]) for k in keys}
         keys, last = table_keys(item)
         starts = range(0, n_words, STRIDE)
@@ -65,6 +71,13 @@ def recall(edit_share: float, n_words: int, trials: int = 2000, seed: int = 1) -
     return hits / trials
 
 
+def parts(n: int) -> list[tuple[int, int]]:
+    """The parts of an item of ``n`` words, one more than the edits it allows, as even as can be."""
+    count = int(MAX_EDIT_SHARE * n) + 1
+    ends = [n * i // count for i in range(count + 1)]
+    return list(zip(ends, ends[1:]))
+
+
 def table_keys(x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Per table: the sample's hash for a walk from every word, and the last word that the sample looked at."""
     padded = np.concatenate([x, np.zeros(STEPS, np.uint64)])
@@ -96,13 +109,13 @@ class Index:
             self.words += [found.hash[found.first[i] : found.first[i + 1]] for i in range(piece.n)]
         self.lists = [x.tolist() for x in self.words]
         keys: list[list] = [[] for _ in range(WALKS * SAMPLES)]
-        self.short: dict[int, dict[int, list[int]]] = {}
+        self.parts: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for i, x in enumerate(self.words):
             n = len(x)
             if not n:
                 continue
             if n < SHORT:
-                self.short.setdefault(n, {}).setdefault(int(W.windows(x, n)[0]), []).append(i)
+                self._by_parts(i, x)
                 continue
             found, last = table_keys(x)
             any_in = False
@@ -112,7 +125,7 @@ class Index:
                         keys[t].append((int(found[t][start]), i, start))
                         any_in = True
             if not any_in:
-                self.short.setdefault(n, {}).setdefault(int(W.windows(x, n)[0]), []).append(i)
+                self._by_parts(i, x)
         self.keys, self.item, self.start, self.bitmap = [], [], [], []
         for table in keys:
             table.sort()
@@ -124,6 +137,10 @@ class Index:
             self.item.append(np.array([i for _, i, _ in table], dtype=np.int64))
             self.start.append(np.array([s for _, _, s in table], dtype=np.int64))
 
+    def _by_parts(self, i: int, x: np.ndarray) -> None:
+        for a, b in parts(len(x)):
+            self.parts.setdefault(b - a, {}).setdefault(int(W.windows(x[a:b], b - a)[0]), []).append((i, a))
+
     def candidates(self, x: np.ndarray) -> set[tuple[int, int]]:
         """Pairs of an item and the word of ``x`` where it would begin."""
         out: set[tuple[int, int]] = set()
@@ -134,10 +151,10 @@ class Index:
             low, high = np.searchsorted(self.keys[t], key[at], "left"), np.searchsorted(self.keys[t], key[at], "right")
             for a, lo, hi in zip(at[high > low], low[high > low], high[high > low]):
                 out.update((int(i), int(a) - int(s)) for i, s in zip(self.item[t][lo:hi], self.start[t][lo:hi]))
-        for n, items in self.short.items():
+        for n, items in self.parts.items():
             windows = W.windows(x, n)
             for a in np.flatnonzero(np.isin(windows, np.fromiter(items, np.uint64, len(items)))):
-                out.update((i, int(a)) for i in items[int(windows[a])])
+                out.update((i, int(a) - offset) for i, offset in items[int(windows[a])])
         return out
 
     def matches(self, piece: W.Piece) -> Iterator[tuple[int, int, int, int, int]]:

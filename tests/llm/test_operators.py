@@ -227,6 +227,23 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, bench.limit(0)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("n", [5, 8, 12, 15, 20, 30])
+def test_edited_items_are_found(n):
+    rng = random.Random(n)
+    noise = lambda k: [f"w{rng.randint(0, 5000)}" for _ in range(k)]
+    items = [noise(n) for _ in range(200)]
+    index = decontaminate.Index(list(range(200)), [" ".join(x) for x in items])
+    hits = 0
+    for i, item in enumerate(items):
+        edited = list(item)
+        for _ in range(int(decontaminate.MAX_EDIT_SHARE * n)):
+            at, kind = rng.randrange(len(edited)), rng.randrange(3)
+            edited[at : at + (kind < 2)] = noise(kind > 0)
+        text = " ".join(noise(rng.choice([0, 20])) + edited + noise(rng.choice([0, 20])))
+        hits += any(found == i for piece in W.pieces(pa.array([text])) for _, found, *_ in index.matches(piece))
+    assert hits >= 198
+
+
 def test_edit_distance_and_recall():
     random.seed(9)
     for _ in range(60):
