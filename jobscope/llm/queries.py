@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, substring_dedup, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, merkle, near_dedup, quality, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,10 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_minhash": near_dedup.op9_minhash,
     "op10_sharding": sharding.op10_sharding,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
-SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op7_url_filter": url_filter.OP7_SQL}
+SQL = {
+    "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_url_filter": url_filter.OP7_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+}
