@@ -41,11 +41,13 @@ TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 REACH = 64
 
 ROUNDS = 3
-# A pattern is trusted from this share of trusted strings among all different ones it surrounds, one doubtful one added;
-# so it takes LEAST of them at least.  A string is found from the score ACCEPT.
+# A pattern is trusted from this share of trusted strings among all different ones it surrounds, one more that is not
+# added; so it takes LEAST of them at least.  A string is found from the score ACCEPT.
 TRUST = 0.8
 LEAST = 4
 ACCEPT = 0.8
+# What a string of the loose form counts among all while nothing speaks for it; one of no such form counts whole.
+DOUBT = 0.25
 # No pattern proves more than this.
 CERTAIN = 0.999
 
@@ -159,7 +161,8 @@ def trusted(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame
     enough = enough.where(F.col("of_kind") / (F.col("n") + 1) >= TRUST).select("kind", "pattern", "n")
     graph = materialise(of_kind.join(enough, ["kind", "pattern"]).withColumn("score", F.col("seed").cast("double")), "pii-graph")
     for turn in range(rounds):
-        share = F.sum("score") / (F.first("n") + 1)
+        among = F.first("n") - F.count("*") + F.sum(DOUBT + (1 - DOUBT) * F.col("score")) + 1
+        share = F.sum("score") / among
         patterns = graph.groupBy("kind", "pattern").agg(share.alias("share")).where(F.col("share") >= TRUST)
         patterns = materialise(patterns, "pii-patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least("share", F.lit(CERTAIN)))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, merkle, near_dedup, pii, quality, sharding, substring_dedup, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, merkle, near_dedup, pii, quality, sharding, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash": near_dedup.op9_minhash,
     "op10_sharding": sharding.op10_sharding,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_pii": pii.op13_pii,
 }
 
