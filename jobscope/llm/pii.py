@@ -220,8 +220,8 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the spans that the forms prove, and all spans, learned ones too."""
     found = personal_data(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s["learned"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
     return found.select(
-        "doc_id",
-        *[F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        "doc_id", *[number(kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
     )
