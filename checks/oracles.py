@@ -543,6 +543,20 @@ GROUP BY app_id, executor_id) a USING (app_id, executor_id)""",
     "stream_alert_throttle": f"""
 SELECT {ALERT} FROM ox_throttled WHERE rule = 'heap_pressure' AND (firing - 1) % 3 = 0""",
     "stream_executor_lost": "SELECT app_id, executor_id, ts_ms FROM ox_nth_poll WHERE nth = 3",
+    "stream_stage_completed": "SELECT * FROM ox_stage_done",
+    "stream_completion_alerts": "\nUNION ALL ".join(
+        f"SELECT {ALERT} FROM {v} SEMI JOIN (SELECT app_id, stage_id, stage_attempt_id FROM fx_stages WHERE completion_ms IS NOT NULL) "
+        "USING (app_id, stage_id, stage_attempt_id)"
+        for v in ("ox_task_alerts", "ox_straggler_alerts", "ox_delay")
+    ),
+    # A stream counts an attempt when it has ended.
+    "stream_executor_rollup": """
+SELECT r.* REPLACE (coalesce(t.input_bytes, 0) AS input_bytes, coalesce(t.read_bytes, 0) AS shuffle_read_bytes) FROM ox_rollup r
+LEFT JOIN (SELECT app_id, executor_id, CAST(sum(input_bytes) AS BIGINT) AS input_bytes, CAST(sum(shuffle_local_bytes + shuffle_remote_bytes) AS BIGINT) AS read_bytes
+  FROM fx_tasks WHERE status <> 'RUNNING' GROUP BY ALL) t USING (app_id, executor_id)""",
+    "stream_state_expiry": """
+SELECT app_id, executor_id, count(*) AS fired, max(eval_ms) AS last_ms FROM ox_heap_alerts GROUP BY app_id, executor_id
+HAVING max(eval_ms) > (SELECT max(eval_ms) FROM ox_heap_alerts) - 60000""",
     "stream_task_failures": f"SELECT {ALERT} FROM ox_events UNION ALL SELECT {ALERT} FROM ox_causes",
     "stream_inflight_monitor": "\nUNION ALL ".join(
         f"SELECT app_id, stage_id, rule, task_id, message FROM ({rule(r, True, 'ox_plain')}) "

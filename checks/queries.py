@@ -45,7 +45,8 @@ from jobscope.sources import (
     parse_prometheus,
     read_executor_samples,
 )
-from jobscope.streaming import monitors
+from jobscope.streaming import executor_state, host_state, monitors, stage_state
+from jobscope.streaming.state import BatchTable
 
 from .fixtures import EVAL_MS, HALF_MS, Tables, base_table, sql_over
 
@@ -60,6 +61,8 @@ ALERT = [
 # Periods of the throttle queries: with the default ones hardly an alert would be left.
 # Evaluation time on the clock of the events.
 LOOK_MS = 600_000
+# Counters whose last alert is older than this, on the clock of the events, have left.
+EXPIRY_MS = 60_000
 PERIODS = dict.fromkeys(["long_tail", "skew", "gc", "host", "heap"], 3)
 
 
@@ -578,13 +581,86 @@ def _paths(spark: SparkSession) -> tuple[str, str, str]:
     return f"{root}/state", f"{root}/out", f"{root}/checkpoint"
 
 
+def _in_files(df: DataFrame, path: str, n: int, *keys: str) -> DataFrame:
+    """A table written as ``n`` files and streamed, one file per micro-batch."""
+    df.repartition(n, *keys).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _stage_monitor(t: Tables, hosts_too: bool = False) -> tuple[str, str]:
+    """Runs the stage monitor over several files of attempts and stages, then again with a later clock.
+
+    The second run restarts from the checkpoint of the first; the clock lets it judge the completed stages.
+    """
+    state, out, checkpoint = _paths(t.spark)
+    root = scratch_path(t.spark, "stream-in")
+    samples = None
+    if hosts_too:
+        recent = _in_files(t.host_clock, f"{root}/hosts", 2, "ts_ms")
+        keep_ms = 10**9  # the evaluation time is fixed, the files are not in order
+        host_state.recent_samples(recent, state, f"{checkpoint}-hosts", keep_ms, every=None).awaitTermination()
+        samples = host_state.known_samples(state)
+    open_stages = t.stages.withColumn("parent_ids", F.lit(None).cast("array<int>"))
+    sites = lineage.stage_callsites(t.rdds) if hosts_too else None
+    attempts = _in_files(t.tasks, f"{root}/tasks", 3, "task_id")
+    told = _in_files(open_stages, f"{root}/stages", 2, "stage_id")
+    for turn in range(2):
+        stage_state.stage_monitor(
+            attempts, told, out, checkpoint, at_ms=EVAL_MS, callsites=sites, host_samples=samples, host_names=t.host_names, every=None
+        ).awaitTermination()
+        if turn == 0:
+            last = str(t.spark.read.parquet(f"{out}/alerts").agg(F.max("batch_id")).first()[0])
+            later = open_stages.limit(1).withColumns({
+                "app_id": F.lit("clock"), "submission_ms": F.lit(EVAL_MS + 10**9), "completion_ms": F.lit(None).cast("bigint"),
+            })
+            later.write.mode("append").parquet(f"{root}/stages")
+    return out, last
+
+
 @over_tables("stream_inflight_monitor")
+def _(t):
+    out, last = _stage_monitor(t)
+    alerts = t.spark.read.parquet(f"{out}/alerts").filter(F.col("batch_id") == int(last))
+    return alerts.select("app_id", "stage_id", "rule", "task_id", "message")
+
+
+@over_tables("stream_stage_completed")
+def _(t):
+    out, _ = _stage_monitor(t)
+    return t.spark.read.parquet(f"{out}/completed").drop("batch_id")
+
+
+@over_tables("stream_completion_alerts")
+def _(t):
+    out, last = _stage_monitor(t, hosts_too=True)
+    return t.spark.read.parquet(f"{out}/alerts").filter(F.col("batch_id") > int(last)).select(*ALERT)
+
+
+@over_tables("stream_executor_rollup")
 def _(t):
     state, out, checkpoint = _paths(t.spark)
-    monitors.inflight_monitor(
-        _streamed(t, "orders").tasks, t.stages, state, out, checkpoint, at_ms=EVAL_MS, every=None
-    ).awaitTermination()
-    return t.spark.read.parquet(out).select("app_id", "stage_id", "rule", "task_id", "message")
+    root = scratch_path(t.spark, "stream-in")
+    ends = t.apps.select("app_id", F.lit(EVAL_MS).cast("bigint").alias("end_ms"))
+    clock = ends.select(F.lit("clock").alias("app_id"), F.lit(EVAL_MS + 10**6).cast("bigint").alias("end_ms")).limit(1)
+    records = executor_state.executor_records(
+        _in_files(t.executors, f"{root}/executors", 2, "executor_id"), _in_files(t.tasks, f"{root}/tasks", 3, "task_id"),
+        _in_files(t.samples, f"{root}/samples", 3, "ts_ms"), _in_files(ends, f"{root}/ends", 1),
+    )
+    for turn in range(2):
+        executor_state.leaving_executors(records, state, out, checkpoint).awaitTermination()
+        if turn == 0:
+            clock.write.mode("append").parquet(f"{root}/ends")
+    return t.spark.read.parquet(out).drop("batch_id")
+
+
+@over_tables("stream_state_expiry")
+def _(t):
+    state, out, checkpoint = _paths(t.spark)
+    alerts = executors.heap_pressure(_streamed(t, "events").samples, applications.app_configs(t.conf))
+    query = monitors.throttled_alerts(alerts, state, out, checkpoint, PERIODS, keep_ms=EXPIRY_MS)
+    query.awaitTermination()
+    left = BatchTable(state, monitors.COUNTERS).before(t.spark, query.lastProgress["batchId"] + 1)
+    return left.select("app_id", F.col("counter_executor").alias("executor_id"), "fired", "last_ms")
 
 
 def _streamed(t: Tables, name: str) -> Tables:

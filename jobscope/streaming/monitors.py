@@ -1,8 +1,9 @@
 """Streaming monitors.
 
 Stateless work (heap alerts, task failures) is a projection.  Counts are streaming aggregations with
-a watermark, so old state goes.  What needs the batch operators (in-flight stages, throttling) runs
-them per micro-batch over a small carried table.  Only the lost-executor counter uses Python state.
+a watermark, so old state goes.  Throttling runs the batch operator per micro-batch over a small
+carried table.  The lost-executor counter uses Python state; stages that are judged
+as their news comes in, open or completed, are in :mod:`stage_state`, executors that leave in :mod:`executor_state`.
 File streams see a file once: only finished files may be moved into a landing folder.
 """
 
@@ -16,70 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import executors, failures, rules, stages, tasks, throttle
-from ..schemas import EXECUTOR_KEYS, STAGE_KEYS, TASK_ATTEMPTS
-from ..settings import HOT_ROWS, Thresholds
+from ..operators import executors, failures, throttle
+from ..schemas import EXECUTOR_KEYS, STAGE_KEYS
+from ..settings import Thresholds
 from ..sinks.delivery import META_SERVER, deliver
 from .state import BatchTable, append_batch, run
 
-# Evaluation periods.  LATENESS is the default of how late a row may be before it is left out.
-INFLIGHT_PERIOD = "3 seconds"
+# Fixed value: the evaluation period.  LATENESS is the default of how late a row may be before it is left out.
 HEAP_PERIOD = "10 seconds"
 LATENESS = "10 minutes"
 COUNT_WINDOW = "10 minutes"
 
 
-def _columns(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ")]
-
-
-def inflight_monitor(
-    updates: DataFrame,
-    stage_table: DataFrame | Callable[[SparkSession], DataFrame],
-    state_path: str,
-    out_path: str,
-    checkpoint: str,
-    at_ms: int | None = None,
-    callsites: DataFrame | None = None,
-    th: Thresholds = Thresholds(),
-    hot_rows: int | None = HOT_ROWS,
-    every: str | None = INFLIGHT_PERIOD,
-) -> StreamingQuery:
-    """Task rules for open, half-finished stages, at every trigger.
-
-    ``updates`` are rows of task attempts, any number per attempt; of two the ended one counts, else the
-    later batch's.  The carried table holds the latest row of each attempt, also where its stage is not
-    known yet; completed stages leave it with the first batch that sees them completed.  ``at_ms`` fixes the evaluation time, else it is now.  Pass
-    ``stage_table`` as a function of the session if the stages change while the query runs.
-    """
-    columns = _columns(TASK_ATTEMPTS)
-    table = BatchTable(state_path, TASK_ATTEMPTS)
-    key = ["app_id", "stage_id", "stage_attempt_id", "task_id"]
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = at_ms if at_ms is not None else spark.sql("SELECT unix_millis(now()) AS t").first()["t"]
-        ended = F.col("status") != "RUNNING"
-        newest = F.max(F.struct(
-            ended.alias("ended"), F.coalesce("finish_ms", F.lit(0)).alias("at"), "turn",
-            *[c for c in columns if c not in key],
-        )).alias("newest")
-        before = table.before(spark, batch_id).withColumn("turn", F.lit(0))
-        seen = before.unionByName(batch.select(*columns, F.lit(1).alias("turn")))
-        latest = seen.groupBy(*key).agg(newest).select(*key, "newest.*").select(*columns)
-        known = stages.stages_at(stage_table(spark) if callable(stage_table) else stage_table, now)
-        completed = known.filter(F.col("completion_ms").isNotNull())
-        carried = table.write(latest.join(completed, STAGE_KEYS, "left_anti"), batch_id)
-
-        # Finished attempts come with the statistics, so judging which stages are ready costs no pass.
-        stats = stages.stage_stats(tasks.snapshot_at(carried, now), now, th, hot_rows)
-        ready = rules.with_sites(stages.half_finished(known, stats, th), callsites)
-        alerts = rules.task_alerts(ready, now, th, only_running=True)
-        append_batch(alerts, out_path, batch_id)
-
-    return run(updates, on_batch, checkpoint, every=every)
-
-
 def stage_progress(updates: DataFrame, out_path: str, checkpoint: str, every: str | None = None, lateness: str = LATENESS) -> StreamingQuery:
     """Ended attempts per stage attempt, per 10-minute window of their end.
 
@@ -145,7 +94,9 @@ def heap_totals(written: DataFrame) -> DataFrame:
     ).withColumn("avg_heap", F.expr("total_heap div nullif(samples, 0)"))
 
 
-COUNTERS = "app_id string, throttle_group string, counter_executor string, fired bigint"
+COUNTERS = "app_id string, throttle_group string, counter_executor string, fired bigint, last_ms bigint"
+# How long a counter is kept after the last it counted, on the clock of what is counted.
+KEEP_MS = 6 * 3_600_000
 
 
 def throttled_alerts(
@@ -155,23 +106,31 @@ def throttled_alerts(
     checkpoint: str,
     periods: dict[str, int] | None = None,
     every: str | None = None,
+    keep_ms: int = KEEP_MS,
+    ended: Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Alert throttling over a stream.
 
     Per micro-batch the alerts are numbered by the batch operator, in their order inside the batch,
-    and continue the carried counters (one row each).
+    and continue the carried counters (one row each).  Counters leave ``keep_ms`` after their last alert, and at once
+    when their application (``app_id``) is in the table that ``ended`` gives.
     """
     table = BatchTable(state_path, COUNTERS)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        before = table.before(batch.sparkSession, batch_id)
+        spark = batch.sparkSession
+        before = table.before(spark, batch_id)
         # The batch is read several times; alerts are few, so it is kept for the time being.
         batch.persist()
         numbered = throttle.numbered(batch)
-        here = numbered.groupBy(*throttle.COUNTER).agg(F.count(F.lit(1)).alias("fired"))
-        fired = before.unionByName(here).groupBy(*throttle.COUNTER).agg(F.sum("fired").alias("fired"))
-        table.write(fired, batch_id)
-        continued = numbered.join(before, throttle.COUNTER, "left")
+        here = numbered.groupBy(*throttle.COUNTER).agg(F.count(F.lit(1)).alias("fired"), F.max("eval_ms").alias("last_ms"))
+        fired = before.unionByName(here).groupBy(*throttle.COUNTER).agg(F.sum("fired").alias("fired"), F.max("last_ms").alias("last_ms"))
+        newest = batch.agg(F.max("eval_ms").alias("newest"))
+        kept = fired.join(F.broadcast(newest), F.expr(f"coalesce(last_ms > newest - {keep_ms}, true)")).drop("newest")
+        if ended is not None:
+            kept = kept.join(ended(spark).select("app_id").distinct(), "app_id", "left_anti")
+        table.write(kept.select(*fired.columns), batch_id)
+        continued = numbered.join(before.drop("last_ms"), throttle.COUNTER, "left")
         passed = continued.filter(throttle.passes("(firing + coalesce(fired, 0L))", periods))
         append_batch(
             passed.select(*batch.columns).unionByName(throttle.unthrottled(batch)), out_path, batch_id
@@ -181,21 +140,26 @@ def throttled_alerts(
     return run(alerts, on_batch, checkpoint, every=every)
 
 
-LOST_STATE = "failed bigint"
+LOST_STATE = "failed bigint, last_ms bigint"
 LOST_ROWS = "app_id string, executor_id string, ts_ms bigint, failed_polls bigint"
 
 
-def _count_failures(lost_polls: int):
+def _count_failures(lost_polls: int, keep_ms: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failed = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failed, last = state.get if state.exists else (0, 0)
         # Only the first few failures matter, so no more of them are held than are still missing.
         missing = max(lost_polls - failed, 0)
         first = pd.Series([], dtype="int64")
         total = 0
         for chunk in chunks:
             total += len(chunk)
+            last = max(last, int(chunk["ts_ms"].max()))
             first = pd.concat([first, chunk["ts_ms"]]).nsmallest(missing) if missing else first
-        state.update((failed + total,))
+        state.update((failed + total, last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
         if missing and total >= missing:
             yield pd.DataFrame(
                 {"app_id": [key[0]], "executor_id": [key[1]], "ts_ms": [int(first.iloc[missing - 1])],
@@ -206,12 +170,19 @@ def _count_failures(lost_polls: int):
 
 
 def lost_executors(
-    polls: DataFrame, out_path: str, checkpoint: str, th: Thresholds = Thresholds(), every: str | None = None
+    polls: DataFrame, out_path: str, checkpoint: str, th: Thresholds = Thresholds(), every: str | None = None,
+    lateness: str = LATENESS, keep_ms: int = KEEP_MS,
 ) -> StreamingQuery:
-    """An executor's third failed poll, once; a success in between changes nothing."""
-    failed = polls.filter("NOT ok").select(*EXECUTOR_KEYS, "ts_ms")
+    """An executor's third failed poll, once; a success in between changes nothing.
+
+    The counter of an executor leaves when the watermark is ``keep_ms`` past its last failed poll; polls later than
+    ``lateness`` are left out and counted, as in :func:`stage_progress`.
+    """
+    # Before the first batch the watermark is the epoch, and what is not after it counts as late.
+    at = F.timestamp_millis(F.col("ts_ms") + 1).alias("at")
+    failed = polls.filter("NOT ok").select(*EXECUTOR_KEYS, "ts_ms", at).withWatermark("at", lateness)
     lost = failed.groupBy(*EXECUTOR_KEYS).applyInPandasWithState(
-        _count_failures(th.lost_polls), LOST_ROWS, LOST_STATE, "append", GroupStateTimeout.NoTimeout
+        _count_failures(th.lost_polls, keep_ms), LOST_ROWS, LOST_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return run(lost, lambda df, i: append_batch(df, out_path, i), checkpoint, "append", every)
 

@@ -7,9 +7,12 @@ output, so the table changes exactly once per batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -27,12 +30,42 @@ class BatchTable:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(self._folder(batch_id - 1))
 
+    def latest(self, spark: SparkSession) -> DataFrame:
+        """The table as the newest finished batch left it, for readers beside the query; needs a column ``batch_id``."""
+        both = spark.read.schema(self.schema).option("ignoreMissingFiles", "true").parquet(
+            *[self._folder(i) for i in (0, 1) if _exists(spark, self._folder(i))]
+        )
+        return both.join(both.agg(F.max("batch_id").alias("batch_id")), "batch_id")
+
     def write(self, df: DataFrame, batch_id: int) -> DataFrame:
         """Replaces the table and returns it, read back."""
         df.write.mode("overwrite").parquet(self._folder(batch_id))
         return df.sparkSession.read.schema(self.schema).parquet(self._folder(batch_id))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which keyed state with several variables needs."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Adds the rows of a batch to a table, once: a retry replaces its own part."""
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")

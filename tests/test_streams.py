@@ -1,14 +1,15 @@
 """Streams fed in several files equal the batch operators over all rows."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.fixtures import EVAL_MS
 from checks.queries import _event_lines
-from jobscope.operators import executors, failures, rules, stages, tasks, throttle
+from jobscope.operators import executors, failures, hosts, rules, stages, throttle
 from jobscope.sinks import graphite_lines
 from jobscope.sinks.records import failure_records
 from jobscope.sources import stream_ended_attempts
-from jobscope.streaming import monitors
+from jobscope.streaming import host_state, monitors, stage_state
 from jobscope.streaming.state import BatchTable
 
 ALERT_ORDER = ["app_id", "rule", "stage_id", "executor_id", "eval_ms", "message"]
@@ -77,55 +78,170 @@ def test_failures_over_several_batches(spark, tables, tmp_path):
     assert spark.read.parquet(out).count() == 199 + 199 - 18
 
 
-def test_inflight_updates_replace_each_other_and_completed_stages_leave(spark, tables, tmp_path):
-    """Every attempt is first seen running, later as it ended; the last trigger equals the batch."""
-    state, out, checkpoint = paths(tmp_path)
-    first = tables.tasks.withColumns({
+def as_running(df):
+    return df.withColumns({
         "status": F.lit("RUNNING"), "finish_ms": F.lit(None).cast("bigint"),
         "duration_ms": F.lit(None).cast("bigint"), "failure_reason": F.lit(None).cast("string"),
     })
-    updates = first.withColumn("seq", F.lit(0)).unionByName(tables.tasks.withColumn("seq", F.lit(1)))
-    stream = in_files(spark, updates, str(tmp_path / "in"), ["seq", "task_id"], 2).drop("seq")
-    monitors.inflight_monitor(
-        stream, lambda _: tables.stages, state, out, checkpoint, at_ms=EVAL_MS, hot_rows=None, every=None
-    ).awaitTermination()
+
+
+def told(df):
+    return df.select("app_id", "stage_id", "stage_attempt_id", "name", "num_tasks", "submission_ms", "completion_ms", "failure_reason")
+
+
+def files(spark, schema, path):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def put(df, path):
+    df.coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_stages_are_judged_from_their_state(spark, tables, tmp_path):
+    """Attempts are told running, then ended, some twice; stages come late and in two parts; the monitor is restarted in
+    between.  Open stages equal the batch rules, completed ones equal the batch and come once."""
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    stage_table = told(tables.stages)
+    opened = stage_table.withColumns({"completion_ms": F.lit(None).cast("bigint"), "failure_reason": F.lit(None).cast("string")})
+    in_tasks, in_stages = tmp_path / "tasks", tmp_path / "stages"
+
+    def run():
+        stage_state.stage_monitor(
+            files(spark, tables.tasks.schema, in_tasks), files(spark, stage_table.schema, in_stages), out, checkpoint, at_ms=EVAL_MS, every=None
+        ).awaitTermination()
+
+    def alerts():
+        return spark.read.parquet(f"{out}/alerts")
+
+    put(as_running(tables.tasks), in_tasks)
+    put(opened.filter("stage_id < 20"), in_stages)
+    run()
+    assert not (tmp_path / "out").exists()  # nothing had ended, so no stage was due
+    put(tables.tasks, in_tasks)
+    put(as_running(tables.tasks.filter("task_id % 3 = 0")).unionByName(tables.tasks.filter("task_id % 5 = 0")), in_tasks)
+    put(opened.filter("stage_id >= 20"), in_stages)
+    put(stage_table, in_stages)
+    run()
 
     ready = stages.half_finished(tables.stages, stages.finished_counts(tables.tasks))
     judged = tables.tasks.join(ready, ["app_id", "stage_id", "stage_attempt_id"], "left_semi")
     described = rules.describe(stages.stage_stats(judged, EVAL_MS), tables.stages)
     expected = rules.task_alerts(described, EVAL_MS, only_running=True)
-    found = spark.read.parquet(out)
-    last = found.filter("batch_id = 1").select(*expected.columns)
-    assert sorted(last.collect()) == sorted(expected.collect()) and last.count() > 0
-    assert found.filter("batch_id = 0").isEmpty()  # nothing had ended yet
-    kept = BatchTable(state, first.select(*monitors._columns(monitors.TASK_ATTEMPTS)).schema).before(spark, 2)
-    still_open = tables.stages.filter("completion_ms IS NULL")
-    assert kept.select("stage_id").distinct().count() == still_open.count()
-    assert tasks.failed_attempts(kept).count() > 0
+    still_open = tables.stages.filter("completion_ms IS NULL").select("app_id", "stage_id")
+    last = alerts().agg(F.max("batch_id")).first()[0]
+    found = alerts().filter(F.col("batch_id") == last).join(still_open, ["app_id", "stage_id"], "left_semi").select(*expected.columns)
+    assert sorted(found.collect()) == sorted(expected.collect()) and found.count() > 0
+    assert spark.read.parquet(f"{out}/completed").count() == 0  # attempts of completed stages are still running
+
+    # The clock passes the completion; completion records and attempts that come again change nothing.
+    clock = opened.limit(1).withColumns({"app_id": F.lit("clock"), "submission_ms": F.lit(EVAL_MS + 10**9)})
+    put(clock, in_stages)
+    run()
+    put(stage_table, in_stages)
+    put(tables.tasks, in_tasks)
+    run()
+    summaries = stages.stage_summary(tables.stages, tables.tasks)
+    assert sorted(spark.read.parquet(f"{out}/completed").select(*summaries.columns).collect()) == sorted(summaries.collect())
+    done = tables.tasks.join(tables.stages.filter("completion_ms IS NOT NULL"), ["app_id", "stage_id", "stage_attempt_id"], "left_semi")
+    described = rules.describe(stages.stage_stats(done, EVAL_MS), tables.stages)
+    expected = rules.all_stage_alerts(described, EVAL_MS)
+    found = alerts().filter(F.col("batch_id") > last).join(still_open, ["app_id", "stage_id"], "left_anti").select(*expected.columns)
+    assert sorted(found.collect()) == sorted(expected.collect()) and found.count() > 0
+
 
+def test_stage_state_leaves(spark, tables, tmp_path):
+    """State rows of completed and of silent stages go when the clock has passed them."""
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    stage_table = told(tables.stages)
+    put(tables.tasks, tmp_path / "tasks")
+    put(stage_table, tmp_path / "stages")
 
-def test_inflight_keeps_attempts_whose_stage_comes_later(spark, tables, tmp_path):
-    """The stages are unknown to the first trigger; the second judges all attempts, and a later RUNNING row wins."""
+    def state_rows():
+        query = stage_state.stage_monitor(
+            files(spark, tables.tasks.schema, tmp_path / "tasks"), files(spark, stage_table.schema, tmp_path / "stages"), out, checkpoint,
+            at_ms=EVAL_MS, every=None, keep_ms=3_600_000,
+        )
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    before = state_rows()
+    clock = stage_table.limit(1).withColumns({"app_id": F.lit("clock"), "completion_ms": F.lit(None).cast("bigint")})
+    seen = []
+    for hours in (1, 3, 6):
+        put(clock.withColumns({"submission_ms": F.lit(EVAL_MS + hours * 3_600_000), "stage_id": F.lit(hours)}), tmp_path / "stages")
+        seen.append(state_rows())
+    assert before >= 48 and seen[-1] <= 3 < seen[0], (before, seen)
+
+
+def test_chunks_of_a_stage_are_merged(monkeypatch):
+    """Rows told again and again do not pile up, and of each attempt the right row is left."""
+    class Handle:
+        def getListState(self, *_):
+            return self
+
+        getValueState = getListState
+        held, value = [], None
+
+        def appendValue(self, row):
+            self.held.append(row)
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, rows):
+            self.held = list(rows)
+
+    state = stage_state.StageState(0.5, 1, 1)
+    state.init(handle := Handle())
+    stage = {"chunks": 0, "ended": 0, "num_tasks": 10}
+    names = stage_state._ATTEMPT.names
+    for turn in range(1, 41):
+        rows = pd.DataFrame([{**dict.fromkeys(names), "task_id": i, "launch_ms": turn, "status": "SUCCESS" if turn == 20 and i < 3 else "RUNNING"} for i in range(10)])
+        handle.appendValue((stage_state._packed(stage_state._table(rows.assign(turn=turn))),))
+        stage["chunks"] += 1
+        latest = stage_state._latest(stage_state._frame(state._known(stage)))
+        assert len(handle.held) <= stage_state.MOST_CHUNKS + 1 and len(latest) == 10
+    assert sorted(latest.loc[latest["status"] == "SUCCESS", "launch_ms"]) == [20] * 3
+    assert set(latest.loc[latest["status"] == "RUNNING", "launch_ms"]) == {40}
+    stage["ended"] = 12
+    assert not state._all_ended(stage) and stage["ended"] == 3
+
+
+def test_counters_leave(spark, tables, tmp_path):
+    """Throttle counters go some time after their last alert, or when their application has ended; poll counters by timer."""
     state, out, checkpoint = paths(tmp_path)
-    calls = []
-
-    def known(_):
-        calls.append(1)
-        return tables.stages if len(calls) > 1 else tables.stages.limit(0)
-
-    again = tables.tasks.filter("status = 'RUNNING'").withColumn("executor_id", F.lit("0-later"))
-    updates = tables.tasks.withColumn("seq", F.lit(0)).unionByName(again.withColumn("seq", F.lit(1)))
-    path = str(tmp_path / "in")
-    for seq in (0, 1):
-        updates.filter(F.col("seq") == seq).drop("seq").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(tables.tasks.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    monitors.inflight_monitor(stream, known, state, out, checkpoint, at_ms=EVAL_MS, every=None).awaitTermination()
-    still_open = tables.stages.filter("completion_ms IS NULL")
-    expected = tables.tasks.join(still_open, ["app_id", "stage_id", "stage_attempt_id"], "left_semi")
-    kept = BatchTable(state, tables.tasks.select(*monitors._columns(monitors.TASK_ATTEMPTS)).schema).before(spark, 2)
-    assert kept.count() == expected.count() > 0
-    assert kept.filter("status = 'RUNNING' AND executor_id <> '0-later'").isEmpty()
-    assert spark.read.parquet(out).filter("batch_id = 1").count() > 0
+    alerts = executors.heap_pressure(tables.samples.withColumn("heap_used", F.col("heap_used") * 4))
+    stream = in_files(spark, alerts, str(tmp_path / "in"), ["eval_ms"], 4)
+    ended = alerts.select("app_id").distinct().orderBy("app_id").limit(1)
+    monitors.throttled_alerts(stream, state, out, checkpoint, {"heap": 3}, keep_ms=100_000, ended=lambda _: ended).awaitTermination()
+    left = BatchTable(state, monitors.COUNTERS).before(spark, 4)
+    newest = alerts.agg(F.max("eval_ms")).first()[0]
+    alive = alerts.filter(F.col("eval_ms") > newest - 100_000).join(ended, "app_id", "left_anti").select("app_id", "executor_id").distinct()
+    everyone = alerts.select("app_id", "executor_id").distinct().count()
+    assert 0 < left.count() == alive.count() < everyone
+    assert left.join(ended, "app_id", "left_semi").isEmpty() and left.filter(F.col("last_ms") <= newest - 100_000).isEmpty()
+
+    polls = tables.polls.withColumn("ts_ms", F.when(F.col("executor_id") == "3", F.col("ts_ms")).otherwise(F.col("ts_ms") + 10**9))
+    stream = in_files(spark, polls, str(tmp_path / "polls"), ["ts_ms"], 3)
+    rows = []
+    for _ in range(2):
+        query = monitors.lost_executors(stream, str(tmp_path / "lost"), str(tmp_path / "cp2"), lateness="1 second", keep_ms=1000)
+        query.awaitTermination()
+        rows += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+        put(polls.limit(1).withColumns({"app_id": F.lit("later"), "ok": F.lit(False), "ts_ms": F.lit(10**10).cast("bigint")}), tmp_path / "polls")
+    assert rows[-1] < max(rows)
+
+
+def test_recent_host_samples(spark, tables, tmp_path):
+    """The kept window answers as the whole table does, and holds no more than its minutes."""
+    stream = in_files(spark, tables.host_clock, str(tmp_path / "in"), ["ts_ms"], 5)
+    state = str(tmp_path / "state")
+    host_state.recent_samples(stream, state, str(tmp_path / "cp"), every=None).awaitTermination()
+    kept = host_state.known_samples(state)(spark)
+    probes = tables.executors.select("host").distinct().withColumn("eval_ms", F.lit(EVAL_MS).cast("bigint"))
+    expected = hosts.host_state_asof(probes, tables.host_names, tables.host_clock)
+    assert sorted(map(str, hosts.host_state_asof(probes, tables.host_names, kept).collect())) == sorted(map(str, expected.collect()))
+    assert kept.agg(F.min("ts_ms")).first()[0] > EVAL_MS - host_state.KEEP_MS and 0 < kept.count() < tables.host_clock.count()
 
 
 def test_event_log_files_as_a_stream(spark, tables, tmp_path):
