@@ -86,6 +86,16 @@ SELECT t.app_id, t.key, t.value FROM (SELECT DISTINCT app_id FROM fx_tasks) a JO
   ('app_0','spark.dynamicAllocation.maxExecutors','40'), ('app_1','spark.executor.memory','2048m'),
   ('app_1','spark.executor.instances','12'), ('app_1','spark.sql.shuffle.partitions','64'),
   ('app_2','spark.driver.memory','1073741824'), ('app_3','spark.executor.cores','4')) AS t(app_id, key, value) ON a.app_id = t.app_id""",
+    # Settings of many applications, every one with some of the keys, as texts of several forms.
+    "fx_settings": """
+SELECT 'job_' || CAST(floor(p_partkey / 5) AS BIGINT) AS app_id,
+  CASE p_partkey % 7 WHEN 0 THEN 'spark.executor.memory' WHEN 1 THEN 'spark.driver.memory' WHEN 2 THEN 'spark.executor.cores'
+    WHEN 3 THEN 'spark.sql.shuffle.partitions' WHEN 4 THEN 'spark.dynamicAllocation.enabled'
+    WHEN 5 THEN 'spark.dynamicAllocation.maxExecutors' ELSE 'spark.executor.instances' END AS key,
+  CASE WHEN p_partkey % 7 <= 1 THEN p_size || CASE p_size % 3 WHEN 0 THEN 'g' WHEN 1 THEN 'm' ELSE '' END
+    WHEN p_partkey % 7 = 4 THEN CASE WHEN p_size % 3 = 0 THEN 'false' ELSE 'true' END
+    WHEN p_size % 11 = 0 THEN 'many' ELSE '' || p_size END AS value
+FROM part""",
     "fx_apps": """
 SELECT app_id, 'job of ' || app_id AS app_name, 'analyst' AS user_name, 'default' AS queue,
   min(launch_ms) - 60000 AS submit_ms, min(launch_ms) - 30000 AS start_ms, CAST(NULL AS BIGINT) AS end_ms

@@ -134,6 +134,25 @@ CPU_USAGE = (
     "round(coalesce(sum(rate), sum(irate)) * 100 / count(*), 6)"
 )
 
+def _config(sizes: str, name: str, conf: str) -> dict[str, str]:
+    """Settings of each application, from its keys and values."""
+    return {
+        sizes: f"""
+SELECT app_id, key, value, CASE WHEN value LIKE '%g' THEN TRY_CAST(replace(value, 'g', '') AS BIGINT) * 1073741824
+  WHEN value LIKE '%m' THEN TRY_CAST(replace(value, 'm', '') AS BIGINT) * 1048576 ELSE try_cast(value AS BIGINT) END AS bytes FROM {conf}""",
+        name: f"""
+SELECT app_id, CAST(coalesce(max(bytes) FILTER (WHERE key = 'spark.driver.memory'), 1073741824) AS BIGINT) AS driver_memory,
+  CAST(coalesce(max(bytes) FILTER (WHERE key = 'spark.executor.memory'), 1073741824) AS BIGINT) AS executor_memory,
+  coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.executor.cores'), 1) AS executor_cores,
+  coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.sql.shuffle.partitions'), 200) AS shuffle_partitions,
+  CASE WHEN bool_or(key = 'spark.dynamicAllocation.enabled' AND value = 'true')
+    THEN coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.dynamicAllocation.maxExecutors'), 5) END AS max_dynamic_executors,
+  CASE WHEN NOT bool_or(key = 'spark.dynamicAllocation.enabled' AND value = 'true')
+    THEN coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.executor.instances'), 5) END AS executor_instances
+FROM {sizes} GROUP BY app_id""",
+    }
+
+
 VIEWS = {
     "ox_m": f"""
 SELECT *, status = 'RUNNING' AS running,
@@ -194,19 +213,8 @@ FROM ox_stats WHERE {FIRES['long_tail']} AND time_host <> ''
 SELECT s.app_id, s.stage_id, s.stage_attempt_id, s.name, s.num_tasks, s.submission_ms, sum(w.shuffle_write_bytes) AS parent_shuffle_bytes
 FROM fx_stages s JOIN fx_stage_parents p ON p.app_id = s.app_id AND p.stage_id = s.stage_id JOIN ox_stats w ON w.app_id = p.app_id AND w.stage_id = p.parent_id
 GROUP BY ALL HAVING sum(w.shuffle_write_bytes) > 0""",
-    "ox_size": """
-SELECT app_id, key, value, CASE WHEN value LIKE '%g' THEN CAST(replace(value, 'g', '') AS BIGINT) * 1073741824
-  WHEN value LIKE '%m' THEN CAST(replace(value, 'm', '') AS BIGINT) * 1048576 ELSE try_cast(value AS BIGINT) END AS bytes FROM fx_conf""",
-    "ox_config": """
-SELECT app_id, CAST(coalesce(max(bytes) FILTER (WHERE key = 'spark.driver.memory'), 1073741824) AS BIGINT) AS driver_memory,
-  CAST(coalesce(max(bytes) FILTER (WHERE key = 'spark.executor.memory'), 1073741824) AS BIGINT) AS executor_memory,
-  coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.executor.cores'), 1) AS executor_cores,
-  coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.sql.shuffle.partitions'), 200) AS shuffle_partitions,
-  CASE WHEN bool_or(key = 'spark.dynamicAllocation.enabled' AND value = 'true')
-    THEN coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.dynamicAllocation.maxExecutors'), 5) END AS max_dynamic_executors,
-  CASE WHEN NOT bool_or(key = 'spark.dynamicAllocation.enabled' AND value = 'true')
-    THEN coalesce(max(TRY_CAST(value AS INT)) FILTER (WHERE key = 'spark.executor.instances'), 5) END AS executor_instances
-FROM ox_size GROUP BY app_id""",
+    **_config("ox_size", "ox_config", "fx_conf"),
+    **_config("ox_set_size", "ox_settings", "fx_settings"),
     "ox_heap": """
 SELECT app_id, executor_id, min(heap_used) AS min_heap, max(heap_used) AS max_heap, CAST(sum(heap_used) AS BIGINT) AS total_heap,
   count(*) AS samples, CAST(sum(heap_used) // count(*) AS BIGINT) AS avg_heap FROM fx_samples GROUP BY app_id, executor_id""",
@@ -285,10 +293,11 @@ SELECT app_id, 'TASK_DIAGNOSIS' AS event, 'ERROR' AS level, 'oom_report' AS rule
 FROM ox_context WHERE {OOM}""",
     "ox_names": "SELECT nodename AS host, min(instance) AS instance FROM fx_host_names GROUP BY nodename",
     "ox_hosts": "SELECT DISTINCT host FROM fx_executors",
-    "ox_latest": """
-SELECT instance, metric, max_by(value, ts_ms) AS value FROM fx_host_samples WHERE ts_ms <= 600000 AND ts_ms > 300000 GROUP BY instance, metric""",
     "ox_ticks": """
 SELECT *, CAST(ceil(ts_ms / 300000e0) AS BIGINT) * 300000 AS eval_ms FROM fx_host_samples""",
+    "ox_latest": """
+SELECT n.host, t.eval_ms, t.metric, max_by(t.value, t.ts_ms) AS value FROM ox_ticks t JOIN ox_names n USING (instance)
+JOIN ox_hosts h ON h.host = n.host GROUP BY ALL""",
     "ox_cpu_ticks": f"SELECT * FROM ox_ticks WHERE metric = 'node_cpu' AND mode IN {CPU_MODES}",
     "ox_cpu_series": _series_at("ox_cpu_ticks"),
     "ox_io_ticks": "SELECT * FROM ox_ticks WHERE metric IN ('node_vmstat_pgpgin', 'node_vmstat_pgpgout')",
@@ -387,21 +396,33 @@ FROM (SELECT *, CASE rule WHEN 'long_tail' THEN 'long_tail' WHEN 'gc_overhead' T
   FROM (SELECT * FROM ox_task_alerts UNION ALL SELECT * FROM ox_heap_alerts))""",
 }
 
+# Metrics of attempts that the log gives at their end.
+END_METRICS = [
+    "getting_result_ms", "run_ms", "deserialize_ms", "result_ser_ms", "gc_ms", "input_bytes", "input_records", "output_bytes",
+    "shuffle_local_bytes", "shuffle_remote_bytes", "shuffle_read_records", "shuffle_write_bytes", "shuffle_write_records",
+]
 ALERT = "app_id, event, level, rule, stage_id, stage_attempt_id, task_id, executor_id, eval_ms, rule_ord, message"
 TASK_KEY = "app_id, stage_id, task_id"
 
 SQL = {
     # Sources.
     "src_event_log": """
-SELECT app_id, stage_id, stage_attempt_id, task_id, executor_id, host, status, launch_ms, finish_ms, duration_ms,
-  CASE WHEN running THEN 0 ELSE run_ms END AS run_ms, CASE WHEN running THEN 0 ELSE gc_ms END AS gc_ms,
-  CASE WHEN running THEN 0 ELSE input_bytes END AS input_bytes, CASE WHEN running THEN 0 ELSE input_records END AS input_records,
-  CASE WHEN running THEN 0 ELSE output_bytes END AS output_bytes,
-  CASE WHEN running THEN 0 ELSE shuffle_local_bytes END AS shuffle_local_bytes,
-  CASE WHEN running THEN 0 ELSE shuffle_remote_bytes END AS shuffle_remote_bytes,
-  CASE WHEN running THEN 0 ELSE shuffle_read_records END AS shuffle_read_records,
-  CASE WHEN running THEN 0 ELSE shuffle_write_bytes END AS shuffle_write_bytes,
-  CASE WHEN running THEN 0 ELSE shuffle_write_records END AS shuffle_write_records, failure_reason FROM ox_m""",
+SELECT app_id, stage_id, stage_attempt_id, task_id, executor_id, host, status, launch_ms, finish_ms, duration_ms, failure_reason,
+  """ + ", ".join(f"CASE WHEN running THEN 0 ELSE {c} END AS {c}" for c in END_METRICS) + " FROM ox_m",
+    "src_event_log_applications": f"""
+SELECT app_id, app_name, user_name AS "user", 'default' AS queue, start_ms AS submit_ms, start_ms, {E} AS end_ms FROM fx_apps""",
+    "src_event_log_conf": """
+SELECT app_id, key, value FROM fx_conf UNION ALL SELECT DISTINCT app_id, 'spark.yarn.queue', 'default' FROM fx_conf""",
+    "src_event_log_executors": "SELECT app_id, executor_id, host, cores, added_ms, removed_ms FROM fx_executors",
+    "src_event_log_stages": """
+SELECT s.app_id, s.stage_id, s.stage_attempt_id, s.name, s.num_tasks, p.parent_ids, s.submission_ms, s.completion_ms,
+  CASE WHEN s.completion_ms IS NOT NULL THEN s.failure_reason END AS failure_reason
+FROM fx_stages s LEFT JOIN (SELECT app_id, stage_id, string_agg(parent_id, ',' ORDER BY parent_id) AS parent_ids FROM fx_stage_parents GROUP BY ALL) p
+USING (app_id, stage_id)""",
+    "src_event_log_rdds": """
+SELECT 'app_' || (r.stage_id % 4) AS app_id, r.stage_id, 0 AS stage_attempt_id, r.rdd_id, p.parent_ids, r.callsite
+FROM fx_rdds r LEFT JOIN (SELECT stage_id, rdd_id, string_agg(parent_id, ',' ORDER BY parent_id) AS parent_ids FROM fx_rdd_parents GROUP BY ALL) p
+USING (stage_id, rdd_id)""",
     "src_task_list": "SELECT app_id, stage_id, stage_attempt_id, task_id, status, time_ms FROM ox_m",
     "src_executor_inventory": "SELECT app_id, executor_id, host FROM fx_executors WHERE executor_id <> 'driver'",
     "src_executor_samples": "SELECT app_id, executor_id, ts_ms, heap_used FROM fx_samples",
@@ -494,17 +515,17 @@ SELECT metric, instance, mode, cpu, ts_ms, round(CASE WHEN n >= 2 THEN (total -
   WHEN ts_ms - before_ms < 300000 THEN step / ((ts_ms - before_ms) / 1000e0) END, 6) AS rate FROM sums""",
     # Hosts.
     "host_load": """
-SELECT h.host, max(value) FILTER (WHERE metric = 'node_load1') AS load1, max(value) FILTER (WHERE metric = 'node_load5') AS load5,
+SELECT host, eval_ms, max(value) FILTER (WHERE metric = 'node_load1') AS load1, max(value) FILTER (WHERE metric = 'node_load5') AS load5,
   max(value) FILTER (WHERE metric = 'node_load15') AS load15
-FROM ox_hosts h LEFT JOIN ox_names n USING (host) LEFT JOIN ox_latest l ON l.instance = n.instance GROUP BY h.host""",
+FROM ox_latest WHERE metric LIKE 'node_load%' GROUP BY host, eval_ms""",
     "host_cpu_usage": f"""
 SELECT n.host, s.eval_ms, s.mode, {CPU_USAGE} AS usage FROM ox_cpu_series s JOIN ox_names n USING (instance)
 GROUP BY n.host, s.eval_ms, s.mode HAVING {CPU_USAGE} IS NOT NULL""",
     "host_memory_available": """
-SELECT h.host, CAST(floor(coalesce(max(value) FILTER (WHERE metric = 'node_memory_MemAvailable'),
+SELECT host, eval_ms, CAST(floor(coalesce(max(value) FILTER (WHERE metric = 'node_memory_MemAvailable'),
   max(value) FILTER (WHERE metric = 'node_memory_MemFree') + max(value) FILTER (WHERE metric = 'node_memory_Buffers')
   + max(value) FILTER (WHERE metric = 'node_memory_Cached'), 0)) AS BIGINT) AS available_bytes
-FROM ox_hosts h LEFT JOIN ox_names n USING (host) LEFT JOIN ox_latest l ON l.instance = n.instance GROUP BY h.host""",
+FROM ox_latest WHERE metric LIKE 'node_memory%' GROUP BY host, eval_ms""",
     "host_io_rate": """
 SELECT n.host, s.eval_ms, round(coalesce(max(coalesce(rate, irate) * 1024) FILTER (WHERE metric = 'node_vmstat_pgpgin'), 0), 6) AS page_in,
   round(coalesce(max(coalesce(rate, irate) * 1024) FILTER (WHERE metric = 'node_vmstat_pgpgout'), 0), 6) AS page_out
@@ -531,7 +552,7 @@ WITH s AS (SELECT o_orderkey, o_orderkey % 4096 AS n, ['', 'b', 'k', 'kb', 'm',
 SELECT o_orderkey, n || u AS text, CASE u WHEN '' THEN n WHEN 'b' THEN n WHEN 'x' THEN NULL
   ELSE n * CASE substr(u, 1, 1) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776
   ELSE 1125899906842624 END END AS bytes FROM s""",
-    "app_config": "SELECT * FROM ox_config",
+    "app_config": "SELECT * FROM ox_settings",
     "failure_text": f"SELECT {TASK_KEY}, failure_reason AS text FROM fx_tasks WHERE status <> 'RUNNING'",
     "executor_id_from_path": """
 SELECT app_id, ts_ms, executor_id AS from_sample, CAST(NULL AS VARCHAR) AS from_other FROM fx_samples""",

@@ -59,8 +59,6 @@ ALERT = [
     "eval_ms", "rule_ord", "message",
 ]
 # Periods of the throttle queries: with the default ones hardly an alert would be left.
-# Evaluation time on the clock of the events.
-LOOK_MS = 600_000
 # Counters whose last alert is older than this, on the clock of the events, have left.
 EXPIRY_MS = 60_000
 PERIODS = dict.fromkeys(["long_tail", "skew", "gc", "host", "heap"], 3)
@@ -145,10 +143,54 @@ def _event_lines(tasks_df: DataFrame) -> DataFrame:
     return tasks_df.select("app_id", F.explode(lines).alias("value"))
 
 
-@over_tables("src_event_log")
-def _(t):
-    attempts = parse_event_log(_event_lines(t.tasks))["task_attempts"]
-    return attempts.drop("deserialize_ms", "result_ser_ms", "getting_result_ms")
+def _log_lines(t: Tables) -> DataFrame:
+    """The telemetry tables as the lines of event logs."""
+    def lines(df: DataFrame, kind: str, *fields: Column) -> DataFrame:
+        return df.select("app_id", F.to_json(F.struct(F.lit(f"SparkListener{kind}").alias("Event"), *fields)).alias("value"))
+
+    def at(ms: str) -> Column:
+        return F.col(ms).alias("Timestamp")
+
+    properties = F.map_from_entries(F.array_append(
+        F.collect_list(F.struct("key", "value")), F.struct(F.lit("spark.yarn.queue").alias("key"), F.lit("default").alias("value"))
+    ))
+    conf = t.conf.groupBy("app_id").agg(properties.alias("Spark Properties"))
+    executor = F.col("executor_id").alias("Executor ID")
+    rdd = F.struct(F.col("rdd_id").alias("RDD ID"), F.col("callsite").alias("Callsite"), F.col("parent_ids").alias("Parent IDs"))
+    rdds = t.rdds.groupBy(*STAGE_KEYS).agg(F.collect_list(rdd).alias("rdds"))
+    told = t.stages_with_parents.join(rdds, STAGE_KEYS, "left")
+    info = [
+        F.col("stage_id").alias("Stage ID"), F.col("stage_attempt_id").alias("Stage Attempt ID"), F.col("name").alias("Stage Name"),
+        F.col("num_tasks").alias("Number of Tasks"), F.col("parent_ids").alias("Parent IDs"), F.col("submission_ms").alias("Submission Time"),
+    ]
+    done = [F.col("completion_ms").alias("Completion Time"), F.col("failure_reason").alias("Failure Reason")]
+    return stages.union_all(
+        lines(t.apps, "ApplicationStart", F.col("app_name").alias("App Name"), F.col("user").alias("User"), at("start_ms")),
+        lines(t.apps.withColumn("end", F.lit(EVAL_MS)), "ApplicationEnd", at("end")),
+        lines(conf, "EnvironmentUpdate", F.col("Spark Properties")),
+        lines(t.executors, "ExecutorAdded", at("added_ms"), executor, F.struct(F.col("host").alias("Host"), F.col("cores").alias("Total Cores")).alias("Executor Info")),
+        lines(t.executors.filter("removed_ms IS NOT NULL"), "ExecutorRemoved", at("removed_ms"), executor),
+        lines(told, "StageSubmitted", F.struct(*info, F.coalesce("rdds", F.array()).alias("RDD Info")).alias("Stage Info")),
+        lines(told.filter("completion_ms IS NOT NULL"), "StageCompleted", F.struct(*info, *done, F.array().cast("array<int>").alias("RDD Info")).alias("Stage Info")),
+        lines(t.apps, "JobStart", F.lit(0).alias("Job ID")),
+        _event_lines(t.tasks),
+    )
+
+
+def _log_table(name: str, table: str, *columns: str) -> None:
+    """A table of the event log; lists are given as text, in order, for the order of a list is not fixed."""
+    @over_tables(name)
+    def _(t):
+        return parse_event_log(_log_lines(t))[table].selectExpr(*(columns or ["*"]))
+
+
+_PARENTS = "array_join(array_sort(parent_ids), ',') AS parent_ids"
+_log_table("src_event_log", "task_attempts")
+_log_table("src_event_log_applications", "applications")
+_log_table("src_event_log_conf", "app_conf")
+_log_table("src_event_log_executors", "executors")
+_log_table("src_event_log_stages", "stages", *STAGE_KEYS, "name", "num_tasks", _PARENTS, "submission_ms", "completion_ms", "failure_reason")
+_log_table("src_event_log_rdds", "stage_rdds", *STAGE_KEYS, "rdd_id", _PARENTS, "callsite")
 
 
 @over_tables("src_task_list")
@@ -475,7 +517,7 @@ def _(t):
 
 @over_tables("host_load")
 def _(t):
-    return hosts.host_load(_hosts(t), t.host_names, t.host_samples, LOOK_MS)
+    return hosts.host_load(_hosts(t), t.host_names, t.host_samples)
 
 
 @over_tables("host_cpu_usage")
@@ -485,7 +527,7 @@ def _(t):
 
 @over_tables("host_memory_available")
 def _(t):
-    return hosts.host_memory_available(_hosts(t), t.host_names, t.host_samples, LOOK_MS)
+    return hosts.host_memory_available(_hosts(t), t.host_names, t.host_samples)
 
 
 @over_tables("host_io_rate")
@@ -547,7 +589,7 @@ def _(t):
 
 @over_tables("app_config")
 def _(t):
-    return applications.app_configs(t.conf)
+    return applications.app_configs(t.view("fx_settings"))
 
 
 @over_tables("failure_text")
@@ -647,7 +689,8 @@ def _(t):
         _in_files(t.samples, f"{root}/samples", 3, "ts_ms"), _in_files(ends, f"{root}/ends", 1),
     )
     for turn in range(2):
-        executor_state.leaving_executors(records, state, out, checkpoint).awaitTermination()
+        # The files are not in order of time, so nobody is reported before the clock has moved.
+        executor_state.leaving_executors(records, state, out, checkpoint, lateness_ms=900_000).awaitTermination()
         if turn == 0:
             clock.write.mode("append").parquet(f"{root}/ends")
     return t.spark.read.parquet(out).drop("batch_id")

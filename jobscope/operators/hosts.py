@@ -139,34 +139,42 @@ def host_cpu_usage(samples: DataFrame, names: DataFrame, step_ms: int = LOOKBACK
     ).select("host", "eval_ms", "mode", "usage")
 
 
-def _latest(samples: DataFrame, metrics: dict[str, str], at_ms: int) -> DataFrame:
-    """Latest value of some metrics per instance, as columns; older than the look-back is nothing."""
-    kept = samples.filter(
-        F.col("metric").isin(list(metrics.values())) & (F.col("ts_ms") <= at_ms) & (F.col("ts_ms") > at_ms - LOOKBACK_MS)
-    )
-    return kept.groupBy("instance").agg(
+def _latest(hosts: DataFrame, names: DataFrame, samples: DataFrame, metrics: dict[str, str], at_ms: int | None, step_ms: int) -> DataFrame:
+    """Latest value of some metrics per host and evaluation time, as columns; older than the look-back is nothing.
+
+    At one given time every host has a row; else there is one per tick at which any of the metrics is known.  Values are
+    combined before the shuffle.
+    """
+    kept = samples.filter(F.col("metric").isin(list(metrics.values())))
+    if at_ms is None:
+        kept, how = at_ticks(kept, step_ms), "inner"
+    else:
+        kept, how = kept.filter((F.col("ts_ms") <= at_ms) & (F.col("ts_ms") > at_ms - LOOKBACK_MS)).withColumn("eval_ms", F.lit(at_ms).cast("bigint")), "left"
+    latest = kept.groupBy("instance", "eval_ms").agg(
         *[
             F.max_by("value", F.when(F.col("metric") == name, F.col("ts_ms"))).alias(out)
             for out, name in metrics.items()
         ]
     )
+    found = resolve_hosts(hosts, names).join(latest, "instance", how)
+    return found if at_ms is None else found.withColumn("eval_ms", F.lit(at_ms).cast("bigint"))
 
 
-def host_load(hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int) -> DataFrame:
-    """Load averages of each host at a time; null for a host without an instance or a sample of the last 5 minutes."""
-    loads = _latest(samples, LOADS, at_ms)
-    return resolve_hosts(hosts, names).join(loads, "instance", "left").select("host", *LOADS)
+def host_load(hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int | None = None, step_ms: int = LOOKBACK_MS) -> DataFrame:
+    """Load averages of each host at a time, or at every tick; null is one without an instance or a sample of the last 5 minutes."""
+    return _latest(hosts, names, samples, LOADS, at_ms, step_ms).select("host", "eval_ms", *LOADS)
 
 
-def host_memory_available(hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int) -> DataFrame:
-    """Available memory, else free + buffers + cached, else 0."""
+def host_memory_available(
+    hosts: DataFrame, names: DataFrame, samples: DataFrame, at_ms: int | None = None, step_ms: int = LOOKBACK_MS
+) -> DataFrame:
+    """Available memory, else free + buffers + cached, else 0, of each host at a time, or at every tick."""
     parts = {"available": AVAILABLE, "free": FREE_PARTS[0], "buffers": FREE_PARTS[1], "cached": FREE_PARTS[2]}
-    latest = _latest(samples, parts, at_ms)
     memory = F.coalesce(
         F.col("available"), F.col("free") + F.col("buffers") + F.col("cached"), F.lit(0.0)
     )
-    return resolve_hosts(hosts, names).join(latest, "instance", "left").select(
-        "host", F.floor(memory).cast("bigint").alias("available_bytes")
+    return _latest(hosts, names, samples, parts, at_ms, step_ms).select(
+        "host", "eval_ms", F.floor(memory).cast("bigint").alias("available_bytes")
     )
 
 

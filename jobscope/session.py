@@ -37,12 +37,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, read back.
+def materialise(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """The rows as a table in the shared folder, laid out by the columns ``parts`` if there are any, read back.
 
     For small results that are costly to compute and used more than once.  The table outlives lost
     executors, and each use reads only its columns.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Sink names, channel prefix, and the events that leave the log.
 META_SERVER = "metaserver"
 GRAPHITE = "graphite"
@@ -71,7 +73,12 @@ def deliver(
     records: DataFrame, log_path: str, sink_type: str = META_SERVER, address: str | None = None,
     epoch_s: int | str = 0, mode: str = "append",
 ) -> None:
-    """Writes the log and, if there is one, the external sink as text; ``address`` is its folder."""
+    """Writes the log and, if there is one, the external sink as text; ``address`` is its folder.
+
+    The records, which may cost a whole diagnosis, are computed once and read again for the second sink.
+    """
+    if external_lines(records, sink_type, address, epoch_s) is not None:
+        records = materialise(records, "records")
     console_lines(records).select("line").write.mode(mode).text(log_path)
     external = external_lines(records, sink_type, address, epoch_s)
     if external is not None:

@@ -1,7 +1,9 @@
 """Properties of the rules, the throttle and the joins, on small tables made for the purpose."""
 
+import pytest
+
 from checks.fixtures import EVAL_MS, HALF_MS
-from jobscope.operators import applications, executors, failures, hosts, rules, stages, tasks, throttle
+from jobscope.operators import applications, executors, failures, hosts, lineage, rules, stages, tasks, throttle
 from jobscope.plans import Telemetry, diagnose
 from jobscope.schemas import TASK_ATTEMPTS
 from jobscope.settings import Thresholds
@@ -240,3 +242,37 @@ def test_diagnose_with_only_tasks_and_stages(tables):
 def test_failure_alerts_equal_their_parts(tables):
     apart = failures.failure_events(tables.tasks).unionByName(failures.failure_causes(tables.tasks))
     assert sorted(apart.collect()) == sorted(failures.failure_alerts(tables.tasks).select(*apart.columns).collect())
+
+
+RDDS = "app_id string, stage_id int, stage_attempt_id int, rdd_id bigint, parent_ids array<bigint>, callsite string"
+
+
+@pytest.mark.parametrize("in_row", [0, 512])
+def test_call_sites_of_repeated_circular_and_parted_lineage(spark, in_row):
+    """In a row or by joins, the walk ends alike: at a fork, outside the stage, on a circle, told twice or not."""
+    rows = [("a", 1, 0, i, [i - 1] if i else [], f"s{i}") for i in range(20)] * 2  # a chain, every row twice
+    rows += [("a", 2, 0, i, [(i + 1) % 5], f"c{i}") for i in range(5)]  # a circle
+    rows += [("a", 3, 0, 9, [8], "top"), ("a", 3, 0, 8, [7, 6], "fork"), ("a", 3, 0, 7, [], "x"), ("a", 3, 0, 6, [], "y")]
+    rows += [("a", 4, 0, 3, [1], "outside"), ("b", 4, 0, 1, [], "other application")]
+    rows += [("a", 5, 0, 3, [1], "jump"), ("a", 5, 0, 1, [2], "up"), ("a", 5, 0, 2, None, "end")]
+    rows += [("a", 6, 0, 8, [3], "tail"), ("a", 6, 0, 3, [2], "c3"), ("a", 6, 0, 2, [3], "c2")]  # a way into a circle
+    found = lineage.stage_callsites(spark.createDataFrame(rows, RDDS), in_row).collect()
+    sites = {(r["app_id"], r["stage_id"]): (r["rdd_id"], r["callsite"]) for r in found}
+    assert sites.pop(("a", 2))[1] in {f"c{i}" for i in range(5)} and sites.pop(("a", 6))[1] in ("c2", "c3")
+    assert sites == {
+        ("a", 1): (0, "s0"), ("a", 3): (8, "fork"), ("a", 4): (3, "outside"), ("b", 4): (1, "other application"),
+        ("a", 5): (2, "end"),
+    }
+    assert len(found) == 7 and lineage.stage_callsites(spark.createDataFrame([], RDDS), in_row).isEmpty()
+
+
+def test_call_site_of_a_long_chain(spark):
+    """100,000 RDDs in one stage, in an order that does not follow their ids, beside a small stage."""
+    n = 100_000
+    chain = spark.range(n).selectExpr(
+        "'a' AS app_id", "1 AS stage_id", "0 AS stage_attempt_id", f"(id * 7919) % {n} AS rdd_id",
+        f"if(id = 0, array(), array(((id - 1) * 7919) % {n})) AS parent_ids", "concat('s', id) AS callsite",
+    )
+    small = spark.createDataFrame([("a", 2, 0, 1, [], "one")], RDDS)
+    found = {r["stage_id"]: r["callsite"] for r in lineage.stage_callsites(chain.unionByName(small)).collect()}
+    assert found == {1: "s0", 2: "one"}

@@ -7,12 +7,21 @@ import textwrap
 import pytest
 
 from checks.fixtures import EVAL_MS
-from checks.queries import _telemetry
+from checks.queries import _log_lines, _telemetry
 from jobscope.operators import stages
 from jobscope.plans import event_records
 from jobscope.sinks import console_lines, deliver, route, write_executor_samples
 from jobscope.sinks.executor_samples import stream_executor_samples
-from jobscope.sources import parse_prometheus, read_event_log, read_executor_samples, write_tables
+from jobscope.sources import (
+    event_log,
+    ingest_event_logs,
+    ingested_tables,
+    parse_event_log,
+    parse_prometheus,
+    read_event_log,
+    read_executor_samples,
+    write_tables,
+)
 
 JOB = textwrap.dedent(
     """
@@ -65,6 +74,58 @@ def test_event_log_round_trip(spark, tmp_path, rolled):
     assert stats["n_tasks"] == 3 and stats["time_max"] > 0
 
 
+def put_log(lines, folder, name):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text("".join(f"{line}\n" for line in lines))
+
+
+def rows_of(tables):
+    return {name: sorted(map(str, df.select(sorted(df.columns)).collect())) for name, df in tables.items()}
+
+
+def test_a_log_is_read_once(spark, tables, tmp_path, monkeypatch):
+    """Reading a log scans its text once; tables, and writing them, read records by kind."""
+    lines = [r["value"] for r in _log_lines(tables).filter("app_id = 'app_1'").collect()]
+    put_log(lines, tmp_path / "logs" / "eventlog_v2_app_1", "events_1_app_1")
+    scans = []
+    real = event_log.parse_records
+    monkeypatch.setattr(event_log, "parse_records", lambda *a: scans.append(1) or real(*a))
+    found = read_event_log(spark, str(tmp_path / "logs"))
+    assert len(scans) == 1
+    for name, df in found.items():
+        plan = df._jdf.queryExecution().toString()
+        assert "FileScan text" not in plan and "FileScan parquet" in plan and "PartitionFilters: [kind" in plan.replace("isnotnull(kind", "kind"), name
+    write_tables(found, str(tmp_path / "tables"))
+    expected = rows_of(parse_event_log(_log_lines(tables).filter("app_id = 'app_1'")))
+    assert rows_of({name: spark.read.parquet(str(tmp_path / "tables" / name)) for name in found}) == expected
+    assert expected["task_attempts"] and expected["stage_rdds"] and expected["applications"]
+
+
+def test_growing_logs_are_read_from_where_they_are_new(spark, tables, tmp_path):
+    """Rolls that are closed, open, grown, renamed and repeated: several runs equal one over the final files."""
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    apps = {a: sorted(r["value"] for r in _log_lines(tables).filter(f"app_id = '{a}'").collect()) for a in ("app_0", "app_1")}
+    first, second = apps["app_0"], apps["app_1"]
+    rolled = logs / "eventlog_v2_app_0"
+    put_log(first[:100], rolled, "events_1_app_0")
+    put_log(first[100:150], rolled, "events_2_app_0")
+    put_log(second[:70], logs, "app_1.inprogress")
+    assert ingest_event_logs(spark, str(logs), out) == 1
+    assert ingest_event_logs(spark, str(logs), out) is None
+    put_log(first[100:300], rolled, "events_2_app_0")  # the open roll has grown
+    put_log(first[300:], rolled, "events_3_app_0")
+    put_log(second, logs, "app_1")  # ended: the file has its final name now
+    (logs / "app_1.inprogress").unlink()
+    assert ingest_event_logs(spark, str(logs), out) == 2
+    found = rows_of(ingested_tables(spark, out))
+    assert found == rows_of(read_event_log(spark, str(logs))) and len(found["task_attempts"]) > 500
+    runs = spark.read.parquet(f"{out}/records").groupBy("run").count().collect()
+    again = {r["run"]: r["count"] for r in runs}
+    assert set(again) == {1, 2} and again[2] < len(first) - 100 + len(second)  # the closed roll was not read again
+    spark.createDataFrame([("nonsense",)], "value string").write.text(str(logs / "eventlog_v2_app_9"))
+    assert ingest_event_logs(spark, str(logs), out) == 3 and rows_of(ingested_tables(spark, out)) == found
+
+
 def test_executor_samples_from_their_layout(spark, tmp_path):
     for app, executor, lines in [
         ("app_1", "3", ['{"heapMemoryTotalUsed": 123456.9, "name": "x"}', "", "not json", '{"other": 1}']),
