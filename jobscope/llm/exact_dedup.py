@@ -82,11 +82,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat both id and text cannot be told apart by id: one of them stays.
     """
-    row_key = lambda digest: F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest)
-    gone = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(row_key(F.col("text_sha256")).alias("gone_"))
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rest = docs.withColumn("row_", row_key(digest)).join(gone, F.col("row_") == F.col("gone_"), "left_anti")
-    return rest.dropDuplicates(["row_"]).drop("row_")
+    row_key = lambda id_, digest: F.concat_ws("|", F.coalesce(id_.cast("string"), F.lit("null")), digest)
+    gone = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(row_key(F.col(f"`{id_col}`"), F.col("text_sha256")).alias("key"))
+    whole = docs.select(F.struct("*").alias("row"))  # names of columns can't meet those of the join
+    digest = F.sha2(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary"), 256)
+    rest = whole.withColumn("key", row_key(F.col("row")[id_col], digest)).join(gone, "key", "left_anti")
+    return rest.dropDuplicates(["key"]).select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,6 +367,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id").isNull().alias("null_"), "id", "node")
     classed = materialise(classed.withColumn("place", place), "classed")
     best = classed.groupBy("root").agg(F.min("place").alias("best"))
-    gone = classed.join(best, "root").where("NOT (place <=> best)").select(row_key(F.col("id"), F.col("node")).alias("gone_"))
-    rest = docs.withColumn("row_", row_key(F.col(id_col), _node(F.col(text_col)))).join(gone, F.col("row_") == F.col("gone_"), "left_anti")
-    return rest.dropDuplicates(["row_"]).drop("row_")
+    gone = classed.join(best, "root").where("NOT (place <=> best)").select(row_key(F.col("id"), F.col("node")).alias("key"))
+    whole = docs.select(F.struct("*").alias("row"))  # names of columns can't meet those of the join
+    rest = whole.withColumn("key", row_key(F.col("row")[id_col], _node(F.col("row")[text_col]))).join(gone, "key", "left_anti")
+    return rest.dropDuplicates(["key"]).select("row.*")

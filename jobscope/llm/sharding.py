@@ -58,31 +58,31 @@ def assign_shards(rows: DataFrame, shards: int, key: list[str], seed: int = 7) -
     others.  An empty table gives an empty result.  The driver holds one count per block, MAX_BLOCKS at most.
     """
     spark = rows.sparkSession
-    draw = lambda part: F.xxhash64(F.lit(f"{seed}:{part}"), *[F.struct(F.col(k).isNull(), F.col(k)) for k in key])
-    rows = rows.drop("shard", "slot")
+    draw = lambda part: F.xxhash64(F.lit(f"{seed}:{part}"), *[F.struct(F.col("row")[k].isNull(), F.col("row")[k]) for k in key])
+    # The row as one column, so that its names can't meet ours.
+    rows = rows.drop("shard", "slot").select(F.struct("*").alias("row"))
+    by_key = [F.col("row")[k] for k in key]
     total = rows.count()
     blocks = int(min(MAX_BLOCKS, max(24, -(-total // BLOCK_ROWS))))
-    dealt = rows.withColumns({"block_": F.pmod(draw("block"), F.lit(blocks)).cast("int"), "local_": draw("local")})
-    counts = {r["block_"]: r["n"] for r in dealt.groupBy("block_").agg(F.count("*").alias("n")).collect()}
+    dealt = rows.withColumns({"block": F.pmod(draw("block"), F.lit(blocks)).cast("int"), "local": draw("local")})
+    counts = {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.count("*").alias("n")).collect()}
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], sizes, seed)
     ends = matrix.cumsum(axis=1)
-    ends_table = spark.createDataFrame([(b, [int(x) for x in ends[b]]) for b in range(blocks)], "block_ int, ends_ array<bigint>")
+    ends_table = spark.createDataFrame([(b, [int(x) for x in ends[b]]) for b in range(blocks)], "block int, ends array<bigint>")
     # First permutation: the rank inside the block, cut by the block's row of the matrix.
-    ranked = dealt.withColumn("rank_", F.row_number().over(Window.partitionBy("block_").orderBy("local_", *key)))
-    sent = ranked.join(ends_table, "block_").withColumn(
-        "shard", F.size(F.filter("ends_", lambda e: e < F.col("rank_"))).cast("int")
-    ).drop("ends_", "block_", "local_", "rank_")
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("local", *by_key)))
+    sent = ranked.join(ends_table, "block").withColumn(
+        "shard", F.size(F.filter("ends", lambda e: e < F.col("rank"))).cast("int")
+    ).select("row", "shard")
     # Second permutation: a slice of random order first, then the rank inside the slice.
     slices = int(max(1, -(-total // (shards * BLOCK_ROWS))))
-    sent = sent.withColumns({"slice_": F.pmod(draw("slice"), F.lit(slices)).cast("int"), "order_": draw("order")})
-    before = sent.groupBy("shard", "slice_").agg(F.count("*").alias("n_")).withColumn(
-        "before_", F.sum("n_").over(Window.partitionBy("shard").orderBy("slice_")) - F.col("n_")
-    ).drop("n_")
-    placed = sent.withColumn("place_", F.row_number().over(Window.partitionBy("shard", "slice_").orderBy("order_", *key)))
-    return placed.join(before, ["shard", "slice_"]).withColumn(
-        "slot", F.col("before_") + F.col("place_") - 1
-    ).drop("slice_", "order_", "place_", "before_")
+    sent = sent.withColumns({"slice": F.pmod(draw("slice"), F.lit(slices)).cast("int"), "order": draw("order")})
+    before = sent.groupBy("shard", "slice").agg(F.count("*").alias("n")).withColumn(
+        "before", F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")
+    ).drop("n")
+    placed = sent.withColumn("place", F.row_number().over(Window.partitionBy("shard", "slice").orderBy("order", *by_key)))
+    return placed.join(before, ["shard", "slice"]).select("row.*", "shard", (F.col("before") + F.col("place") - 1).alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

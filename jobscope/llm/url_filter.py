@@ -20,8 +20,8 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host and path: what follows the first ``://`` up to ``/``, ``?``, ``#``, and from there up to ``?``, ``#``."""
-    rest = F.expr("substr(url_, instr(url_, '://') + 3)")
-    found = F.expr("coalesce(instr(url_, '://'), 0) > 0")
+    rest = F.substr(url, F.locate("://", url) + 3)
+    found = F.coalesce(F.locate("://", url), F.lit(0)) > 0
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.when(found, F.translate(host, UPPER, UPPER.lower())).otherwise(""), F.when(found, path).otherwise("")
@@ -54,8 +54,9 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     known = known.withColumn("rule_digest", _key(F.col("rule_host"), F.col("rule_path")))
     known = known.withColumn("rule_short", _short(F.col("rule_digest")))
     sizes = known.agg(F.count("*").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
-    host, path = url_parts(F.col("url_"))
-    parts = urls.withColumn("url_", F.col(url)).withColumns({"host": host, "path": path}).drop("url_", "rule", "verdict")
+    host, path = url_parts(F.col("row")[url])
+    # The row as one column, so that its names can't meet ours.
+    parts = urls.select(F.struct("*").alias("row")).select("row", host.alias("host"), path.alias("path"))
     lengths = F.array(*[F.lit(n) for n in sorted(sizes["lengths"])]).cast("array<int>")
     labels = F.split("host", r"\.", -1)
     expressions = (
@@ -79,10 +80,11 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
             (F.col("rule_verdict") == "allow").alias("allows"), F.concat("rule_host", "rule_path").alias("rule"),
             F.col("rule_verdict").alias("verdict"),
         )).alias("best"))
-        .select(F.col("host").alias("host_"), F.col("path").alias("path_"), "best.rule", "best.verdict")
+        .select("host", "path", "best.rule", "best.verdict")
     )
-    joined = parts.join(best, (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")), "left")
-    return joined.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("host_", "path_")
+    made = ["host", "path", "rule", "verdict"]
+    joined = parts.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return joined.select(*[F.col("row")[c].alias(c) for c in urls.columns if c not in made], *made)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

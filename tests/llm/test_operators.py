@@ -281,6 +281,33 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<nav>a</nav>", "just &lt;text&gt;")] == ["", "", "", "just <text>"]
 
 
+def prose(name, sentences=8):
+    return " ".join(f"{name} sentence number {i} of the long body text, with words." for i in range(sentences))
+
+
+@pytest.mark.parametrize("page, lines", [
+    # Without an article: what lies around an advert stays, short or not; menus without a class go.
+    (f"<body><p>An intro.</p><div class='ad'>Buy now</div><p>{prose('a')}</p><p>{prose('b')}</p><div class='ad'>x</div><p>Closing line.</p></body>",
+     ["An intro.", prose("a"), prose("b"), "Closing line."]),
+    (f"<div><a href=x>Home</a> <a href=x>About us</a></div><div>Start</div><div>Shop</div><div><h1>Title</h1><p>{prose('a')}<p>{prose('b')}</div><div>(c) me</div>",
+     ["Title", prose("a"), prose("b")]),
+    (f"<div><a>Start</a></div><p>{prose('a')}</p><ul><li>one</li><li>two</li></ul><p>{prose('b')}</p><div><a href=x>a link that is about as long as a sentence is.</a></div>",
+     [prose("a"), "one", "two", prose("b")]),
+    # Articles in articles, and side by side.
+    (f"<article><p>Outer start.</p><article><p>{prose('a')}</p></article><p>Outer end.</p></article>", ["Outer start.", prose("a"), "Outer end."]),
+    (f"<div class='main-content'><p>{prose('a')}</p></div><p>between</p><div class='main-content'><p>short one</p></div>", [prose("a"), "short one"]),
+    (f"<main><p>{prose('a')}</p></main><article class='teaser'><p>other</p></article>", [prose("a")]),
+    # Classes that name something else, or hold the text.
+    (f"<div class='search results-page'><p>{prose('a')}</p><p>{prose('b')}</p></div>", [prose("a"), prose("b")]),
+    (f"<div class='search'>find it here</div><p>{prose('a')}</p><div class='site-footer'>{prose('f', 3)}</div>", [prose("a")]),
+    (f"<article><div class='header'><h1>Title</h1></div><section class='notice-of-death'><p>{prose('a')}</p></section><div class='cookie-notice'>c</div></article>",
+     ["Title", prose("a")]),
+    (f"<div id='comments'><p>{prose('c', 30)}</p></div><div><p>{prose('a')}</p></div>", [prose("a")]),
+])
+def test_text_of_pages_of_many_shapes(page, lines):
+    assert html_text.main_text(page).split("\n") == lines
+
+
 def test_pages_query(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = QUERIES["op8_html_extraction"](spark, sf_dir).collect()
@@ -385,6 +412,33 @@ def test_classifiers_odd_rows(spark, odd, nothing):
     assert found.count() == len(ODD) and not found.where("is_toxic").count() and found.columns[: len(odd.columns)] == odd.columns
 
 
+CLASHING = ["row_", "gone_", "path_", "host_", "url_", "rank_", "block_", "shard_", "is_toxic", "p_toxic", "node", "text_sha256", "row", "key", "id", "place", "digest", "kept", "class_id"]
+
+
+def test_no_column_is_lost(spark, sf_dir):
+    """Columns named as the operators name theirs keep names, values and count."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = {name: F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")) for name in CLASHING}
+    more |= {"is_toxic": F.col("doc_id") % 2 == 0, "p_toxic": F.col("doc_id") / 3}
+    wide = docs.withColumns(more)
+    expected = {r["doc_id"]: r for r in wide.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, wide, sf_dir)
+        assert found.columns == wide.columns, name
+        rows = found.collect()
+        assert rows and all(r == expected[r["doc_id"]] for r in rows), name
+    for found in (
+        sharding.assign_shards(wide, 3, ["doc_id"]),
+        url_filter.judge(wide.withColumn("url", F.lit("http://a.net/x")), url_filter.rule_table(spark)),
+    ):
+        rows = found.collect()
+        assert len(rows) == 60 and all(r[c] == expected[r["doc_id"]][c] for r in rows for c in wide.columns)
+    for found in (exact_dedup.exact_groups(wide), near_dedup.near_classes(wide)):
+        assert found.count() == 60
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
