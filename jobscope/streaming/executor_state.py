@@ -63,12 +63,12 @@ def leaving_executors(
         seen = table.before(batch.sparkSession, batch_id).unionByName(batch)
         ends = seen.filter("end_ms IS NOT NULL").groupBy("app_id").agg(F.max("end_ms").alias("app_end"))
         whole = seen.groupBy(*EXECUTOR_KEYS).agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.max(c).alias(c) for c in _HIGHEST])
-        newest = whole.agg(F.max("last_ms").alias("newest"))
+        newest = seen.agg(F.max("last_ms")).first()[0] or 0
         at = "coalesce(removed_ms, app_end)"
-        judged = whole.join(ends, "app_id", "left").crossJoin(F.broadcast(newest)).selectExpr(
+        judged = whole.join(ends, "app_id", "left").selectExpr(
             *[c for c in columns if c not in ("reported", "end_ms")], "coalesce(app_end, end_ms) AS end_ms", "reported", f"{at} AS eval_ms",
-            f"NOT reported AND added_ms IS NOT NULL AND coalesce({at} + {lateness_ms} <= newest, false) AS due",
-            f"reported AND newest - last_ms > {keep_ms} OR executor_id IS NULL AND newest - last_ms > {keep_ms} AS gone",
+            f"NOT reported AND added_ms IS NOT NULL AND coalesce({at} + {lateness_ms} <= {newest}L, false) AS due",
+            f"(reported OR executor_id IS NULL) AND coalesce({newest}L - last_ms > {keep_ms}, false) AS gone",
         ).persist()
         append_batch(
             judged.filter("due").selectExpr(

@@ -26,8 +26,8 @@ def recent_samples(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         seen = table.before(batch.sparkSession, batch_id).select(*columns).unionByName(batch.filter(wanted).select(*columns))
-        newest = seen.agg(F.max("ts_ms").alias("newest"))
-        kept = seen.join(F.broadcast(newest), F.col("ts_ms") > F.col("newest") - keep_ms).drop("newest")
+        newest = seen.agg(F.max("ts_ms")).first()[0] or 0
+        kept = seen.filter(F.col("ts_ms") > newest - keep_ms)
         table.write(kept.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
 
     return run(samples, on_batch, checkpoint, every=every)

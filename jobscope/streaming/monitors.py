@@ -125,8 +125,8 @@ def throttled_alerts(
         numbered = throttle.numbered(batch)
         here = numbered.groupBy(*throttle.COUNTER).agg(F.count(F.lit(1)).alias("fired"), F.max("eval_ms").alias("last_ms"))
         fired = before.unionByName(here).groupBy(*throttle.COUNTER).agg(F.sum("fired").alias("fired"), F.max("last_ms").alias("last_ms"))
-        newest = batch.agg(F.max("eval_ms").alias("newest"))
-        kept = fired.join(F.broadcast(newest), F.expr(f"coalesce(last_ms > newest - {keep_ms}, true)")).drop("newest")
+        newest = batch.agg(F.max("eval_ms")).first()[0]
+        kept = fired if newest is None else fired.filter(F.col("last_ms") > newest - keep_ms)
         if ended is not None:
             kept = kept.join(ended(spark).select("app_id").distinct(), "app_id", "left_anti")
         table.write(kept.select(*fired.columns), batch_id)
