@@ -1,14 +1,20 @@
-"""Exact dedup by a tree merge of digest runs: partitions exchange runs in rounds, merge them, and keep the verified
-best identifier of each digest at every level."""
+"""Exact dedup by a tree merge of sorted digest runs: partitions exchange runs in rounds, merge them, and keep the
+verified best identifier of each digest at every level."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import partitions, read
 
 FAN_IN = 8
+SAME = ("digest", "n_bytes", "check_hash")
 
 
 def _digits(slots: int) -> int:
@@ -18,30 +24,68 @@ def _digits(slots: int) -> int:
     return n
 
 
+def _heads(run: pa.RecordBatch) -> np.ndarray:
+    """Where the entries of each digest begin in a piece of a sorted run."""
+    fresh = np.ones(run.num_rows, dtype=bool)
+    fresh[1:] = False
+    for name in SAME:
+        column = run.column(name)
+        fresh[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, run.num_rows - 1)))
+    return np.flatnonzero(fresh)
+
+
+def _merge_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One entry for each digest of a sorted run: its first one, which has the best identifier, and the sum of their sizes.
+
+    Of what came before, only the last entry is held.
+    """
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        heads, place = _heads(batch), batch.schema.get_field_index("group_size")
+        sizes = np.add.reduceat(np.asarray(batch.column(place)), heads)
+        merged = batch.take(pa.array(heads))
+        merged = merged.set_column(place, batch.schema.field(place), pa.array(sizes, pa.int64()))
+        held = merged.slice(merged.num_rows - 1)
+        yield merged.slice(0, merged.num_rows - 1)
+    if held is not None:
+        yield held
+
+
+def _run(entries: DataFrame, keep: str) -> DataFrame:
+    """Each partition as one sorted run without repeated digests.
+
+    The order is digest, then best identifier (a null one last).  Spark's sorter does the multiway merge of what came from
+    the partners, from disk where it does not fit in memory.
+    """
+    best = F.col("keep_id").desc_nulls_last() if keep == "max" else F.col("keep_id").asc_nulls_last()
+    return entries.sortWithinPartitions(*SAME, best).mapInArrow(_merge_entries, entries.schema)
+
+
 def tree_merge(digests: DataFrame, rounds: int, keep: str = "max") -> DataFrame:
     """One row per digest: ``digest``, ``n_bytes``, ``check_hash``, ``keep_id``, ``group_size``.
 
-    ``digests`` has ``digest`` (hex), ``n_bytes``, ``check_hash`` and ``id``.  Slots are numbers of ``rounds`` digits to
-    the base FAN_IN.  A row starts in a slot drawn from its id.  In round r a slot sends each entry of its run to the
-    one of FAN_IN partners whose digit r is that of the digest, so entries of one digest meet in groups of FAN_IN
-    slots, are merged there, and move on as one entry: a digest that fills a third of the table is never gathered, the
-    last round gets at most FAN_IN entries of it from each partner.  After the last round a slot owns a range of
-    digests.  Entries are merged only if digest, length and a second hash agree; the exchange sorts and merges runs.
+    ``digests`` has ``digest`` (hex), ``n_bytes``, ``check_hash`` and ``id``.  Each partition first turns its own rows into
+    a sorted run, so a digest that fills a third of the table leaves a partition as one entry, whatever its ids are.  Slots
+    are the numbers of ``rounds`` digits to the base FAN_IN; a run starts in the slot of its partition's number.  In round
+    r a slot sends each entry to that one of FAN_IN partners whose digit r is that of the digest, and merges the
+    FAN_IN sorted runs that it gets: of a digest at most one entry from each partner (in the first round, from each run
+    that starts there).  After the last round a slot owns all of its digests.  Entries are merged only if digest, length
+    and a second hash agree.
     """
-    best = F.max if keep == "max" else F.min
-    same = ("digest", "n_bytes", "check_hash")
-    state = digests.select(
-        *same, F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
-        *[F.pmod(F.shiftright(F.xxhash64("id"), 3 * r), F.lit(FAN_IN)).cast("int").alias(f"d{r}") for r in range(rounds)],
-    )
-    slot = [f"d{r}" for r in range(rounds)]
+    slots = FAN_IN**rounds
+    state = digests.select(*SAME, F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
+    state = _run(state, keep).withColumn("slot", F.spark_partition_id() % slots)
     for r in range(rounds):
+        unit = FAN_IN**r
         owner = F.conv(F.substring("digest", 2 * r + 1, 2), 16, 10).cast("int") % FAN_IN
-        state = (
-            state.withColumn(f"d{r}", owner).repartition(*slot).groupBy(*slot, *same)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    return state.drop(*slot)
+        digit = F.floor(F.col("slot") / unit).cast("int") % FAN_IN
+        state = state.withColumn("slot", F.col("slot") + (owner - digit) * unit)
+        state = _run(state.repartitionById(slots, F.col("slot")), keep)
+    return state.drop("slot")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
