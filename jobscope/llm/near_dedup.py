@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import words as W
-from .components import components
+from .components import components, joined_components
 from .tables import read
 
 SIZE = 5
@@ -249,36 +249,42 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # In a bucket of two the centre's pair is the only one.
     open_ = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high AND n > 2")
     found = materialise(_between(labelled, open_, held, idf, similarity), "near-links")
-    return components(links.union(found)) if found.limit(1).count() else classes
+    return materialise(joined_components(classes, found), "classes") if not found.isEmpty() else classes
 
 
 def _between(members: DataFrame, buckets: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """Links (``a``, ``b``) between the classes of each bucket, enough to join all classes that have one.
 
-    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is a group of its own.
+    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is a group of its own.  Groups of samples alone
+    tell which members have a partner; only those go on with their texts.
     """
     spread = buckets.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = (
         members.join(spread, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "of", "centre", "root")
-        .join(texts, "node")
     )
 
+    def paired(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        pairs, _ = _pairs(group, similarity)
+        return group.take(pa.array(np.unique(pairs[1:]), pa.int64())).cast(group.schema)
+
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         a, b = _links(group, idf, similarity)
         node = group.column("node").combine_chunks()
         return pa.table({"a": node.take(pa.array(a, pa.int64())).cast(pa.binary()), "b": node.take(pa.array(b, pa.int64())).cast(pa.binary())})
 
-    return placed.groupBy("band", "key", "x", "y").applyInArrow(run, "a binary, b binary")
+    keys = ["band", "key", "x", "y"]
+    some = materialise(placed.groupBy(*keys).applyInArrow(paired, placed.schema), "paired")
+    return some.join(texts, "node").groupBy(*keys).applyInArrow(run, "a binary, b binary")
 
 
-def _links(group: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Rows of ``group`` (a pair of blocks of a bucket) that are linked, until every linked class is joined.
+def _pairs(group: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (agreement, one, other) for members of different classes whose samples agree often enough, and the class of each row.
 
-    Pairs go by falling agreement of their samples; one whose rows are in one class by then needs no verification, any
-    other is verified.  Pairs with the centre were compared before.
+    ``group`` is a pair of blocks of a bucket.  Pairs with the centre were compared before.
     """
     n, least = BANDS * ROWS, _least(similarity)
     drawn = np.frombuffer(b"".join(group.column("of").to_pylist()), np.uint8).reshape(-1, n).T.copy()
@@ -286,17 +292,27 @@ def _links(group: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[in
     _, label = np.unique(np.array([x.hex() for x in group.column("root").to_pylist()]), return_inverse=True)
     x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
     left, right = np.flatnonzero((own == x) & ~centre), np.flatnonzero((own == y) & ~centre)
-    pairs = []
+    pairs = [np.zeros((3, 0), np.int64)]
     for i in range(0, len(left), 64):
-        some = left[i : i + 64]
-        same = np.zeros((len(some), len(right)), dtype=np.uint8)
+        part = left[i : i + 64]
+        same = np.zeros((len(part), len(right)), dtype=np.uint8)
         for sample in drawn:
-            same += sample[some][:, None] == sample[right][None, :]
-        near = (same >= least) & (label[some][:, None] != label[right][None, :])
+            same += sample[part][:, None] == sample[right][None, :]
+        near = (same >= least) & (label[part][:, None] != label[right][None, :])
         if x == y:
-            near &= some[:, None] < right[None, :]
+            near &= part[:, None] < right[None, :]
         p, q = np.nonzero(near)
-        pairs.append(np.stack([same[p, q].astype(np.int64), some[p], right[q]]))
+        pairs.append(np.stack([same[p, q].astype(np.int64), part[p], right[q]]))
+    return np.concatenate(pairs, axis=1), label
+
+
+def _links(group: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Rows of ``group`` (a pair of blocks of a bucket) that are linked, until every linked class is joined.
+
+    Pairs go by falling agreement of their samples; one whose rows are in one class by then needs no verification, any
+    other is verified.
+    """
+    every, label = _pairs(group, similarity)
     parent = list(range(int(label.max()) + 1))
 
     def top(k: int) -> int:
@@ -315,7 +331,6 @@ def _links(group: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[in
         return held[k]
 
     a, b = [], []
-    every = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
     for _, p, q in every[:, np.lexsort((every[2], every[1], -every[0]))].T.tolist():
         one, two = top(int(label[p])), top(int(label[q]))
         if one == two:
