@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
 from .tables import read
@@ -220,14 +221,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     doc_kind, item_kind = dict(slim.dtypes)[id_col], items.schema[item_id].dataType
     found = None
     for index in _indexes(items, item_id, item_text):
-        part = _matched(slim, index, f"`{id_col}` {doc_kind}, `{item_id}` {item_kind.simpleString()}, start_word bigint, n_words bigint, edits int")
+        part = _matched(slim, index, f"`{id_col}` {doc_kind}, `{item_id}` {item_kind.simpleString()}, start_word bigint, n_words bigint, edits int", to_arrow_type(item_kind))
         found = part if found is None else found.union(part)
     return found
 
 
-def _matched(slim: DataFrame, index: Index, schema: str) -> DataFrame:
+def _matched(slim: DataFrame, index: Index, schema: str, item_type: pa.DataType) -> DataFrame:
     names = [part.split("`")[1] for part in schema.split(", ")[:2]] + ["start_word", "n_words", "edits"]
-    item_type = pa.int64() if "bigint" in schema.split(", ")[1] else pa.int32() if " int" in schema.split(", ")[1] else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
