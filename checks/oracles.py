@@ -499,6 +499,9 @@ SELECT app_id, user_name AS "user", queue, submit_ms, start_ms, end_ms, elapsed_
     "diag_all": f"SELECT {ALERT} FROM ox_all",
     # Windows.
     "alert_throttle": f"SELECT {ALERT} FROM ox_throttled WHERE (firing - 1) % 3 = 0",
+    "alert_throttle_host": f"""
+SELECT {ALERT} FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY eval_ms, stage_id, stage_attempt_id) AS firing FROM ox_straggler_alerts)
+WHERE (firing - 1) % 2 = 0""",
     "executor_latest_sample": "SELECT app_id, executor_id, max(ts_ms) AS ts_ms, max_by(heap_used, ts_ms) AS heap_used FROM fx_samples GROUP BY app_id, executor_id",
     "executor_poll_failures": """
 SELECT app_id, executor_id, ts_ms, ok, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY app_id, executor_id ORDER BY ts_ms
@@ -575,6 +578,15 @@ SELECT {ALERT} FROM ox_throttled WHERE rule = 'heap_pressure' AND (firing - 1) %
 SELECT r.* REPLACE (coalesce(t.input_bytes, 0) AS input_bytes, coalesce(t.read_bytes, 0) AS shuffle_read_bytes) FROM ox_rollup r
 LEFT JOIN (SELECT app_id, executor_id, CAST(sum(input_bytes) AS BIGINT) AS input_bytes, CAST(sum(shuffle_local_bytes + shuffle_remote_bytes) AS BIGINT) AS read_bytes
   FROM fx_tasks WHERE status <> 'RUNNING' GROUP BY ALL) t USING (app_id, executor_id)""",
+    "stream_shuffle_notice": f"""
+SELECT app_id, 'STAGE_DIAGNOSIS' AS event, 'INFO' AS level, 'shuffle_read_notice' AS rule, stage_id, stage_attempt_id,
+  CAST(NULL AS BIGINT) AS task_id, CAST(NULL AS VARCHAR) AS executor_id, submission_ms AS eval_ms, 0 AS rule_ord,
+  'stage ' || stage_id || ' (' || name || ') prepare to shuffle read ' || {fmt_bytes('parent_bytes')} || ', total tasks: ' || num_tasks AS message
+FROM (SELECT s.app_id, s.stage_id, s.stage_attempt_id, s.name, s.num_tasks, s.submission_ms, CAST(sum(w.bytes) AS BIGINT) AS parent_bytes
+  FROM fx_stages s JOIN fx_stage_parents p ON p.app_id = s.app_id AND p.stage_id = s.stage_id
+  JOIN (SELECT app_id, stage_id, sum(CASE WHEN status NOT IN ('FAILED', 'RUNNING') THEN shuffle_write_bytes ELSE 0 END) AS bytes
+    FROM fx_tasks GROUP BY ALL) w ON w.app_id = p.app_id AND w.stage_id = p.parent_id
+  WHERE s.submission_ms IS NOT NULL GROUP BY ALL HAVING sum(w.bytes) > 0)""",
     "stream_state_expiry": """
 SELECT app_id, executor_id, count(*) AS fired, max(eval_ms) AS last_ms FROM ox_heap_alerts GROUP BY app_id, executor_id
 HAVING max(eval_ms) > (SELECT max(eval_ms) FROM ox_heap_alerts) - 60000""",

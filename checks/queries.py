@@ -45,7 +45,7 @@ from jobscope.sources import (
     parse_prometheus,
     read_executor_samples,
 )
-from jobscope.streaming import executor_state, host_state, monitors, stage_state
+from jobscope.streaming import executor_state, host_state, monitors, notices, stage_state
 from jobscope.streaming.state import BatchTable
 
 from .fixtures import EVAL_MS, HALF_MS, Tables, base_table, sql_over
@@ -496,6 +496,13 @@ def _(t):
     return throttle.throttle(materialise(alerts, "alerts"), PERIODS).select(*ALERT)
 
 
+@over_tables("alert_throttle_host")
+def _(t):
+    stragglers = _stragglers(t)
+    alerts = rules.straggler_alerts(stragglers, hosts.host_state_asof(stragglers, t.host_names, t.host_clock))
+    return throttle.throttle(materialise(alerts, "alerts"), {"host": 2}).select(*ALERT)
+
+
 @over_tables("executor_latest_sample")
 def _(t):
     return executors.latest_samples(t.samples)
@@ -696,6 +703,24 @@ def _(t):
     return t.spark.read.parquet(out).drop("batch_id")
 
 
+@over_tables("stream_shuffle_notice")
+def _(t):
+    state, out, checkpoint = _paths(t.spark)
+    root = scratch_path(t.spark, "stream-in")
+    ends = t.apps.select("app_id", F.lit(EVAL_MS).cast("bigint").alias("end_ms"))
+    clock = ends.select(F.lit("clock").alias("app_id"), F.lit(EVAL_MS + 10**10).cast("bigint").alias("end_ms")).limit(1)
+    records = notices.notice_records(
+        _in_files(t.stages_with_parents, f"{root}/stages", 2, "stage_id"), _in_files(t.tasks, f"{root}/tasks", 3, "task_id"),
+        _in_files(ends, f"{root}/ends", 1),
+    )
+    for turn in range(2):
+        # The files are not in order of time, so no stage is judged before the clock has moved.
+        notices.read_notices(records, state, out, checkpoint, lateness_ms=10**10 - 1).awaitTermination()
+        if turn == 0:
+            clock.write.mode("append").parquet(f"{root}/ends")
+    return t.spark.read.parquet(out).select(*ALERT)
+
+
 @over_tables("stream_state_expiry")
 def _(t):
     state, out, checkpoint = _paths(t.spark)
