@@ -2,7 +2,9 @@
 
 The merge list alone says how far to the right of a place the text can still decide whether a token ends there:
 :func:`sufficient_lookahead`.  A pre-token is read through a buffer; tokens that end at least that far before the end of
-the buffer are final and leave it, so memory does not depend on the length of the text.
+the buffer are final and leave it.  Texts are split a segment at a time, and ids and bytes go on to their digests and to the
+decoder as they come, so beside the text itself (and the columns that are to hold its ids or its decoded text) memory does
+not depend on its length.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,8 @@ TOKENIZER = "byte_bpe_50k.json"
 BUFFER = 2048
 CACHED = 250_000
 CACHED_LENGTH = 64
-# Rows encoded at a time.
+# Characters split into pre-tokens at a time, and rows encoded at a time.
+SEGMENT = 65_536
 ROWS = 500
 
 # White space of Unicode, and the pattern that splits text before merges.
@@ -105,15 +109,10 @@ class Bpe:
         self.made = [made for _, _, made in listed]
         self.no_rank = len(listed)
         self.of_byte = [vocab[letters[b]] for b in range(256)]
-        # Tokens that merging can reach, by their bytes; of each beginning of one, the longest token it begins with.
+        # Tokens that merging can reach, by their bytes; all endings of such tokens, with the token if one is a token itself.
         self.token_of = {bytes([b]): i for b, i in enumerate(self.of_byte)}
         self.token_of |= {self.bytes_of[i]: i for i in self.made if self.merge_all(self.bytes_of[i]) == [i]}
-        self.begins: dict[bytes, int] = {}
-        for data in self.token_of:
-            for size in range(1, len(data) + 1):
-                if data[:size] in self.token_of:
-                    longest = size
-                self.begins[data[:size]] = longest
+        self.endings = {data[i:]: -1 for data in self.token_of for i in range(len(data))} | self.token_of
         self.pairs: dict[tuple[int, int], bool] = {}
         sizes = [0] * (max(vocab.values()) + 1)
         for i, data in self.bytes_of.items():
@@ -174,92 +173,123 @@ class Bpe:
             found = self.pairs[left, right] = self.merge_all(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return found
 
-    def walk(self, data: bytes) -> list[int]:
-        """The same tokens as :meth:`merge_all`, left to right.
+    def forward(self, data: bytes) -> list[int]:
+        """The same tokens as :meth:`merge_all`, in one pass over the bytes that never goes back.
 
-        An encoding is the one cover of the bytes by tokens of which each neighbouring pair fits.  Take the longest token
-        that fits the one before; where none does, no encoding has a boundary there: step back and shorten.
+        The state is the last token of every beginning of the bytes.  Of the tokens that end at a place just one fits the
+        last token of what stands before it, so each place is settled when its byte is read; which of the places are
+        boundaries shows at the end, from the last one backwards.
         """
-        place, made, dead = 0, [], set()
-        begins, token_of, pairs, last, shorter = self.begins, self.token_of, self.pairs, None, 0
-        n = len(data)
-        while place < n:
-            if shorter:
-                size = begins[data[place : place + shorter - 1]] if shorter > 1 else 0
-            else:
-                end = place + 2
-                while end <= n and data[place:end] in begins:
-                    end += 1
-                size = begins[data[place : end - 1]]
-            while size:
-                token = token_of[data[place : place + size]]
-                if place + size not in dead and (last is None or (pairs.get((last, token)) or self.fits(last, token))):
-                    break
-                size = begins[data[place : place + size - 1]] if size > 1 else 0
-            if size:
-                made.append(token)
-                last, place, shorter = token, place + size, 0
-            else:
-                dead.add(place)
-                shorter = len(self.bytes_of[made.pop()])
-                place -= shorter
-                last = made[-1] if made else None
-        return made
+        whole = self.token_of.get(data)
+        if whole is not None:
+            return [whole]
+        endings, pairs, fits, last = self.endings, self.pairs, self.fits, [-1]
+        for end in range(1, len(data) + 1):
+            start = end - 1
+            while True:
+                token = endings[data[start:end]]
+                if token >= 0:
+                    if not start:
+                        break
+                    fit = pairs.get((last[start], token))
+                    if fit or fit is None and fits(last[start], token):
+                        break
+                start -= 1
+            last.append(token)
+        made, place = [], len(data)
+        while place:
+            made.append(last[place])
+            place -= len(self.bytes_of[last[place]])
+        return made[::-1]
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of one pre-token that arrives in parts, each as soon as no later byte can change it."""
+        """Tokens of one pre-token that arrives in parts, each as soon as no later byte can change it.
+
+        At most BUFFER bytes and the lookahead are held, beside the part that arrives.
+        """
         held = b""
         for part in parts:
             held += part
             if len(held) >= self.lookahead + BUFFER:
                 final, done = len(held) - self.lookahead, 0
-                for token in self.merge_all(held):
+                for token in self.forward(held):
                     if done + len(self.bytes_of[token]) > final:
                         break
                     done += len(self.bytes_of[token])
                     yield token
                 held = held[done:]
-        yield from self.merge_all(held)
+        yield from self.forward(held)
+
+    def _told(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join([self.digits[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
 
     def _pre_token(self, text: str) -> tuple[int, str, bytes]:
         data = text.encode()
-        if len(data) > CACHED_LENGTH:
-            ids = list(self.stream(data[i : i + BUFFER] for i in range(0, len(data), BUFFER)))
-        else:
-            ids = self.walk(data)
-        made = (len(ids), ",".join([self.digits[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]))
+        made = self._told(list(self.stream([data])))
         if len(data) <= CACHED_LENGTH:
             if len(self.known) >= CACHED:
                 self.known.clear()
             self.known[text] = made
         return made
 
-    def _plain(self, text: str) -> list[tuple[int, str, bytes]]:
-        try:
-            text.encode("latin-1")
-            parts = LATIN.findall(text)
-        except UnicodeEncodeError:
-            parts = self.pattern.findall(text)
-        known, made = self.known.get, self._pre_token
-        return [known(part) or made(part) for part in parts]
-
-    def chunked(self, text: str) -> list[tuple[int, str, bytes]]:
-        """The text's pre-tokens in order, as (number of ids, ids in decimal, bytes that the ids stand for)."""
-        place, out = 0, []
+    def _long(self, text: str) -> Iterator[list[tuple[int, str, bytes]]]:
+        """A pre-token longer than a segment, a few thousand tokens at a time."""
+        ids = self.stream(text[i : i + BUFFER].encode() for i in range(0, len(text), BUFFER))
+        while held := list(islice(ids, BUFFER)):
+            yield [self._told(held)]
+
+    def _plain(self, text: str, place: int, stop: int) -> Iterator[list[tuple[int, str, bytes]]]:
+        """Pre-tokens from ``place`` to ``stop``, a segment at a time.
+
+        What the end of a segment may have cut, its last two pre-tokens, is read again with the next segment.  A segment
+        that is hardly more than that grows.
+        """
+        known, made, size = self.known.get, self._pre_token, SEGMENT
+        while place < stop:
+            end = min(place + size, stop)
+            segment = text[place:end]
+            parts = (LATIN if _is_latin(segment) else self.pattern).findall(segment)
+            cut = 0
+            if end < stop:
+                cut = sum(map(len, parts[-2:]))
+                if 2 * cut > len(segment):
+                    size *= 2
+                    continue
+                del parts[-2:]
+            place, size = end - cut, SEGMENT
+            if len(segment) > SEGMENT:  # holds a pre-token of that size
+                for part in parts:
+                    if len(part) > SEGMENT // 4:
+                        yield from self._long(part)
+                    else:
+                        yield [known(part) or made(part)]
+            else:
+                yield [known(part) or made(part) for part in parts]
+
+    def chunked(self, text: str) -> Iterator[list[tuple[int, str, bytes]]]:
+        """The text's pre-tokens in order, some at a time, as (number of ids, ids in decimal, bytes that the ids stand for)."""
+        place = 0
         for found in self.split_added.finditer(text) if self.split_added else ():
-            out += self._plain(text[place : found.start()])
-            i = self.added[found[0]]
-            out.append((1, str(i), self.bytes_of[i]))
+            yield from self._plain(text, place, found.start())
+            yield [self._told([self.added[found[0]]])]
             place = found.end()
-        return out + self._plain(text[place:]) if place else self._plain(text)
+        yield from self._plain(text, place, len(text))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.chunked(text) for i in ids.split(",")]
+        return [int(i) for some in self.chunked(text) for _, ids, _ in some for i in ids.split(",")]
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(text_of(self.bytes_of[i] for i in ids))
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def text_of(parts: Iterable[bytes]) -> Iterator[str]:
     """Text as its bytes arrive: a character split between parts is held until whole; what is no UTF-8 becomes U+FFFD."""
     machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
@@ -310,12 +340,19 @@ def _encoded(docs: DataFrame, file, text_col: str, name: str, round_trip: bool,
             counts, ids_digest, text_digest, all_ids, texts = [], [], [], [], []
             for text in batch.column(place):
                 value = text.as_py()
-                total, listed, digest, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), [], True
-                chunks = bpe.chunked(value or "")
-                total = sum(c[0] for c in chunks)
-                ids = ",".join([c[1] for c in chunks])
-                listed.update(ids.encode())
-                for part in text_of([b"".join([c[2] for c in chunks])]):
+                total, listed, digest, decoded, held_ids = 0, hashlib.sha256(), hashlib.sha256(), [], []
+
+                def parts() -> Iterator[bytes]:
+                    nonlocal total
+                    for some in bpe.chunked(value or ""):
+                        ids = ",".join([c[1] for c in some])
+                        listed.update(f",{ids}".encode() if total else ids.encode())
+                        total += sum([c[0] for c in some])
+                        if keep_ids:
+                            held_ids.append(np.fromstring(ids, dtype=np.int32, sep=","))
+                        yield b"".join([c[2] for c in some])
+
+                for part in text_of(parts()):
                     digest.update(part.encode())
                     if round_trip:
                         decoded.append(part)
@@ -323,7 +360,7 @@ def _encoded(docs: DataFrame, file, text_col: str, name: str, round_trip: bool,
                 ids_digest.append(listed.hexdigest())
                 text_digest.append(digest.hexdigest())
                 if keep_ids:
-                    all_ids.append(np.fromstring(ids, dtype=np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                    all_ids.append(np.concatenate(held_ids) if held_ids else np.zeros(0, np.int32))
                 if round_trip:
                     texts.append(None if value is None else "".join(decoded))
             columns = [batch.column(i) for i in range(batch.num_columns)]

@@ -69,7 +69,7 @@ def test_streamed_tokens_do_not_depend_on_the_buffer(monkeypatch):
     for piece in ("ab", "ation", "0", "=-", "éèa", "abcdefghijklmnop"):
         data = "".join(random.choice(piece) for _ in range(900)).encode()
         monkeypatch.setattr(bpe, "BUFFER", random.choice([1, 7, 50]))
-        assert list(own.stream(data[i : i + 5] for i in range(0, len(data), 5))) == own.merge_all(data) == own.walk(data)
+        assert list(own.stream(data[i : i + 5] for i in range(0, len(data), 5))) == own.merge_all(data) == own.forward(data)
 
 
 def test_bpe_odd_rows(odd, nothing):
