@@ -77,6 +77,10 @@ def _stats(t: Tables) -> DataFrame:
     return stages.stage_stats(t.tasks, EVAL_MS)
 
 
+def _plain_stats(t: Tables) -> DataFrame:
+    return stages.plain_stats(t.tasks, EVAL_MS)
+
+
 def _telemetry(t: Tables) -> Telemetry:
     return Telemetry(
         tasks=t.tasks, stages=t.stages_with_parents, app_conf=t.conf, rdds=t.rdds, samples=t.samples,
@@ -388,7 +392,7 @@ def _(t):
 
 @over_tables("stage_argmax_tasks")
 def _(t):
-    return stages.argmax_tasks(_stats(t))
+    return stages.argmax_tasks(_plain_stats(t))
 
 
 @over_tables("stage_five_numbers")
@@ -398,7 +402,7 @@ def _(t):
 
 @over_tables("stage_running_bytes")
 def _(t):
-    return stages.running_bytes(_stats(t))
+    return stages.running_bytes(_plain_stats(t))
 
 
 @over_tables("executor_heap_stats")
@@ -429,10 +433,10 @@ def _(t):
 # --- rules -----------------------------------------------------------------------------------
 
 
-def _one_rule(name: str, sites: bool = False) -> None:
+def _one_rule(name: str, sites: bool = False, plain: bool = False) -> None:
     @over_tables(f"diag_{name}")
     def _(t):
-        described = _described(t) if sites else rules.describe(_stats(t), t.stages)
+        described = _described(t) if sites else rules.describe(_plain_stats(t) if plain else _stats(t), t.stages)
         return rules.one_rule(described, name, EVAL_MS).select(*ALERT)
 
 
@@ -440,7 +444,7 @@ _one_rule("long_tail")
 _one_rule("shuffle_read_skew", sites=True)
 _one_rule("shuffle_write_skew", sites=True)
 _one_rule("input_skew")
-_one_rule("gc_overhead")
+_one_rule("gc_overhead", plain=True)
 
 
 @over_tables("diag_scheduler_delay")

@@ -135,31 +135,48 @@ def _hot(measures: DataFrame) -> DataFrame:
     return base.join(picked, STAGE_KEYS, "left")
 
 
-def _statistics() -> list[str]:
-    """The published columns; an empty distribution counts as 0."""
-    def whole(sql: str, name: str) -> str:
-        return f"coalesce(bigint(floor({sql})), 0L) AS {name}"
-
+def _plain_columns() -> list[str]:
+    """The published columns that need no order statistic; an empty distribution counts as 0."""
     columns = ["n_tasks", "n_finished"]
     for m in SPREAD:
         columns += [f"coalesce({m}_{f}, 0L) AS {m}_{f}" for f in ("min", "max")]
         columns += [f"coalesce(-{m}_top.neg_id, {NO_TASK}L) AS {m}_task_id",
                     f"coalesce({m}_top.running, false) AS {m}_running"]
     columns += [
-        whole("time_pct[0]", "time_mid"),
-        "coalesce(input_sum div nullif(input_n, 0), 0L) AS input_mid", whole("input_pct[0]", "input_p75"),
-        whole("read_pct[0]", "read_mid"), whole("read_pct[1]", "read_p75"),
-        whole("write_pct[0]", "write_mid"), whole("write_pct[1]", "write_p75"),
+        "coalesce(input_sum div nullif(input_n, 0), 0L) AS input_mid",
         f"coalesce(-gc_top.neg_id, {NO_TASK}L) AS gc_task_id", "coalesce(gc_top.running, false) AS gc_running",
         "coalesce(gc_top.value, 0L) AS gc_max", "coalesce(gc_top.time, 0L) AS gc_time",
         "coalesce(time_top.host, '') AS time_host",
         "in_bytes_sum AS input_bytes", "read_bytes_sum AS shuffle_read_bytes",
         "write_bytes_sum AS shuffle_write_bytes", "out_bytes_sum AS output_bytes",
-        "run_five", "delay_five",
     ]
     return columns
 
 
+def _statistics() -> list[str]:
+    """All published columns."""
+    def whole(sql: str, name: str) -> str:
+        return f"coalesce(bigint(floor({sql})), 0L) AS {name}"
+
+    return [
+        *_plain_columns(),
+        whole("time_pct[0]", "time_mid"), whole("input_pct[0]", "input_p75"),
+        whole("read_pct[0]", "read_mid"), whole("read_pct[1]", "read_p75"),
+        whole("write_pct[0]", "write_mid"), whole("write_pct[1]", "write_p75"),
+        "run_five", "delay_five",
+    ]
+
+
+def plain_stats(tasks: DataFrame, eval_ms: int | str, th: Thresholds = Thresholds()) -> DataFrame:
+    """The statistics of :func:`stage_stats` without medians, quartiles and five-number summaries.
+
+    One aggregation with buffers of fixed size, combined before its only shuffle, for stages of any size; no job runs
+    while the query is built.  Largest tasks, bytes and the GC and running-byte rules need no more.
+    """
+    stats = _measures(tasks, eval_ms, th).groupBy(*STAGE_KEYS).agg(*map(F.expr, BOUNDED))
+    return stats.selectExpr(*STAGE_KEYS, *_plain_columns())
+
+
 def stage_stats(
     tasks: DataFrame,
     eval_ms: int | str,
@@ -172,7 +189,8 @@ def stage_stats(
     Time, shuffle-read and shuffle-write distributions cover every attempt, input only eligible ones.
     The centre is the median, except for input, where it is the mean.  Columns a caller does not
     use are pruned together with their aggregates.  Hot stages get their percentiles another way, see
-    :mod:`skew`; the look-up for them counts the attempts per stage at once.
+    :mod:`skew`; the look-up for them counts the attempts per stage at once.  Where no percentile is
+    needed, :func:`plain_stats` does without it.
 
     With ``accuracy`` the order statistics are approximate (maxima and largest tasks stay exact) and
     stages of any size take the same single pass.

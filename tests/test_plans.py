@@ -48,6 +48,20 @@ def test_statistics_take_one_shuffle(task_table):
     assert plan(stages.stage_stats(task_table, EVAL_MS)).count("Exchange") == 1
 
 
+def test_plain_statistics_equal_the_whole_ones_and_run_no_job(spark, task_table, tables):
+    spark.sparkContext.setJobGroup("plain", "plain")
+    stats = stages.plain_stats(task_table, EVAL_MS)
+    views = [stages.argmax_tasks(stats), stages.running_bytes(stats), one_rule(describe(stats, tables.stages), "gc_overhead", EVAL_MS)]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plain")
+    text = plan(stats)
+    assert text.count("Exchange") == 1 and "collect_list" not in text and "Percentile" not in text
+    whole = stages.stage_stats(task_table, EVAL_MS)
+    assert sorted(map(str, stats.collect())) == sorted(map(str, whole.select(stats.columns).collect()))
+    expected = [stages.argmax_tasks(whole), stages.running_bytes(whole), one_rule(describe(whole, tables.stages), "gc_overhead", EVAL_MS)]
+    for ours, theirs in zip(views, expected):
+        assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
+
+
 def test_views_read_only_what_they_need(spark, sf_dir):
     text = plan(Tables(spark, sf_dir).samples)
     assert "props" not in re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
