@@ -53,17 +53,23 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 @contextmanager
-def with_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which keyed state with several variables needs."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def with_rocksdb(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which keyed state with several variables needs.
+
+    They have the further ``settings`` too.
+    """
+    wanted = {PROVIDER: ROCKSDB, **(settings or {})}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:

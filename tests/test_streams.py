@@ -266,3 +266,91 @@ def test_delivery_of_a_stream(spark, tables, tmp_path):
     assert spark.read.text(log).count() == records.count()
     points = graphite_lines(records, "eval_ms div 1000").select("line")
     assert sorted(r["value"] for r in spark.read.text(events).collect()) == sorted(r["line"] for r in points.collect())
+
+
+def _pack_of(names, rows, turn=0):
+    return stage_state._packed(stage_state._table(pd.DataFrame([{**dict.fromkeys(names), **r} for r in rows]).assign(turn=turn)))
+
+
+class _Held:
+    """State of one stage, as far as its processor asks for it."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers = [], None, []
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self.Value(self)
+
+    class Value:
+        def __init__(self, held):
+            self.held = held
+
+        def exists(self):
+            return self.held.value is not None
+
+        def get(self):
+            return self.held.value
+
+        def update(self, value):
+            self.held.value = value
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers = [at]
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class _Clock:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_large_stage_is_held_and_handed_out_in_packs(monkeypatch):
+    """However many attempts a stage has, no chunk and no frame holds more than a few of them."""
+    monkeypatch.setattr(stage_state, "CHUNK_ROWS", 50)
+    names = stage_state._ATTEMPT.names
+    state = stage_state.StageState(0.5, 1, 1)
+    state.init(held := _Held())
+    facts = dict.fromkeys(stage_state._FACTS) | {"num_tasks": 1000, "submission_ms": 1}
+    told = [{**facts, "rows": None}] + [
+        {**dict.fromkeys(facts), "rows": _pack_of(names, [{"task_id": i, "status": "SUCCESS"} for i in range(j, j + 40)])} for j in range(0, 1000, 40)
+    ]
+    frames = list(state.handleInputRows(("app", 1, 0), iter([pd.DataFrame([r]) for r in told]), _Clock()))
+    sizes = [len(stage_state._unpacked(x)) for x, in held.rows]
+    assert sum(sizes) == 1000 and max(sizes) <= 2 * 50
+    handed = [stage_state._unpacked(f["rows"][0]) for f in frames[1:]]
+    assert all(len(f) == 1 for f in frames) and frames[0]["rows"][0] is None
+    assert max(map(len, handed)) <= 2 * 50 and sorted(i for x in handed for i in x["task_id"].to_pylist()) == list(range(1000))
+
+
+def test_attempts_are_packed_by_stage(spark, tables, monkeypatch):
+    """Few packs come to the state instead of a row per attempt; they hold every attempt, running ones apart."""
+    odd = tables.tasks.limit(3).withColumns({"task_id": F.lit(None).cast("bigint"), "app_id": F.lit(None).cast("string")})
+    told = tables.tasks.unionByName(odd).coalesce(1)
+    packs = stage_state.attempt_rows(told).collect()
+    assert len(packs) < 0.5 * told.count()
+    rows = [(p, r) for p in packs for r in stage_state._unpacked(p["rows"]).to_pylist()]
+    expected = tables.tasks.select("app_id", "stage_id", "task_id", "finish_ms", "failure_reason").collect()
+    assert sorted(map(str, ((p["app_id"], p["stage_id"], r["task_id"], r["finish_ms"], r["failure_reason"]) for p, r in rows))) == sorted(str(tuple(r)) for r in expected)
+    for p, r in rows:
+        assert (p["at"] is None) == (r["finish_ms"] is None)
+    assert {p["app_id"] for p in packs} >= {None}
