@@ -342,6 +342,26 @@ def test_a_large_stage_is_held_and_handed_out_in_packs(monkeypatch):
     assert max(map(len, handed)) <= 2 * 50 and sorted(i for x in handed for i in x["task_id"].to_pylist()) == list(range(1000))
 
 
+def test_replaced_rows_stay_and_rivals_are_marked():
+    """Of each attempt only the row that counts is handed out; rows of one turn that are alike in that are all."""
+    names = stage_state._ATTEMPT.names
+    state = stage_state.StageState(0.5, 1, 1)
+    state.init(_Held())
+    running = [{"task_id": i, "status": "RUNNING", "launch_ms": 1} for i in range(6)]
+    ended = [{"task_id": i, "status": "SUCCESS", "launch_ms": 2} for i in range(4)] + [{"task_id": 3, "status": "FAILED", "launch_ms": 3}]
+    facts = dict.fromkeys(stage_state._FACTS)
+    frames = []
+    for rows in (running, ended, running):
+        told = pd.DataFrame([{**facts, "num_tasks": 6, "submission_ms": 1, "rows": None}, {**facts, "rows": _pack_of(names, rows)}])
+        frames = list(state.handleInputRows(("app", 1, 0), iter([told]), _Clock()))
+    handed = {bool(f["rivals"][0]): stage_state._unpacked(f["rows"][0]).to_pylist() for f in frames[1:] if f["rivals"][0]}
+    assert sorted(r["status"] for r in handed[True]) == ["FAILED", "SUCCESS"]
+    single = [r for f in frames[1:] if not f["rivals"][0] for r in stage_state._unpacked(f["rows"][0]).to_pylist()]
+    assert sorted((r["task_id"], r["status"], r["turn"]) for r in single) == [
+        (0, "SUCCESS", 2), (1, "SUCCESS", 2), (2, "SUCCESS", 2), (4, "RUNNING", 3), (5, "RUNNING", 3)
+    ]
+
+
 def test_attempts_are_packed_by_stage(spark, tables, monkeypatch):
     """Few packs come to the state instead of a row per attempt; they hold every attempt, running ones apart."""
     odd = tables.tasks.limit(3).withColumns({"task_id": F.lit(None).cast("bigint"), "app_id": F.lit(None).cast("string")})
